@@ -220,3 +220,13 @@ def near_duplicates(
         F.when(F.col("id").isNotNull(), component).alias("component_id"),
         F.when(F.col("id").isNotNull(), F.col("id") == component).otherwise(F.lit(True)).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, **more: int) -> DataFrame:
+    """The rows of docs, all columns, with one document of each component of near_duplicates(): that with the smallest id.
+
+    Rows that repeat that id all stay: tell them apart by an exact deduplication before.
+    """
+    judged = near_duplicates(docs, id_col, text_col, words, percent, **more)
+    dropped = cut_lineage(judged.filter(~F.col("kept")).select(F.col(id_col).alias("__id")).distinct())
+    return docs.join(small(dropped), docs[id_col] == F.col("__id"), "left_anti")

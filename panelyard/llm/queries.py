@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm._common import table
+from panelyard.llm import byte_bpe, lang_id, packing, quality_rules
+from panelyard.llm._common import held_out, table
 from panelyard.llm.exact_dedup import exact_duplicates
 from panelyard.llm.minhash_dedup import near_duplicates
 
@@ -18,14 +19,78 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "clean_word_chars"
+    )
+
+
+def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    test = held_out("doc_id", 5, 0)
+    prototypes = lang_id.train(docs.filter(~test))
+    return lang_id.identify(docs, prototypes).select("doc_id", test.alias("held_out"), "lang_pred", "score")
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return byte_bpe.decode(encoded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
 SQL_OP6 = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+#: The rules of quality_rules, on lines and words unnested.
+SQL_OP7 = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM d, unnest(range(1, len(w) - 6)) AS u(i)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, unnest(range(0, 8)) AS u(k) GROUP BY doc_id),
+line AS (SELECT doc_id, l, list_filter(string_split_regex(l, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+  length(regexp_replace(l, '[\\x20\\x09-\\x0D]+', '', 'g')) AS chars FROM d, unnest(lines) AS u(l)),
+judged AS (SELECT doc_id, chars,
+  len(list_filter(w, lambda x: x IN (%s))) * 5 >= len(w)
+  OR (length(l) - length(regexp_replace(l, '[#*$%%&|<>]', '', 'g')) >= 3 AND (length(l) - length(regexp_replace(l, '[#*$%%&|<>]', '', 'g'))) * 2 > len(w))
+  OR ((length(l) - length(replace(l, '!!', ''))) // 2 + (length(l) - length(replace(l, '??', ''))) // 2) * 4 >= len(w)
+  OR (chars >= 8 AND (length(l) - length(regexp_replace(l, '[A-Z]', '', 'g'))) * 2 > chars)
+  OR %s AS fails FROM line),
+per AS (SELECT doc_id, count(*) FILTER (fails) AS removed, coalesce(sum(chars) FILTER (NOT fails), 0) AS clean FROM judged GROUP BY doc_id),
+b AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%%&|<>]', '', 'g')) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  coalesce(r.n, 0) AS n_repeat_words, coalesce(p.removed, 0) AS n_lines_removed, CAST(coalesce(p.clean, 0) AS BIGINT) AS clean_word_chars
+  FROM d LEFT JOIN repeated r USING (doc_id) LEFT JOIN per p USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 2 * (word_chars - clean_word_chars) <= word_chars AS kept FROM b
+""" % (
+    ", ".join(f"'{s}'" for s in quality_rules.SEPARATORS),
+    " OR ".join(f"contains(lower(l), '{p}')" for p in quality_rules.BOILERPLATE),
+)
+
 QUERIES = {
     "op2_minhash": op2_minhash,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_lang_id": op8_lang_id,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_packing": op10_packing,
 }
-SQL = {"op6_exact_dedup": SQL_OP6}
+SQL = {"op6_exact_dedup": SQL_OP6, "op7_quality_rules": SQL_OP7}
