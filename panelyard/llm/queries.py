@@ -5,16 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import byte_bpe, lang_id, packing, quality_rules
+from panelyard.llm import byte_bpe, chat_format, lang_id, packing, quality_rules, url_gbt
 from panelyard.llm._common import held_out, table
 from panelyard.llm.exact_dedup import exact_duplicates
 from panelyard.llm.minhash_dedup import near_duplicates
 
 
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_gbt.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, side=10, width=3)
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.sql(
+        r"""SELECT cast(-7 AS BIGINT) AS conv_id, cast(turn AS BIGINT) AS turn, role, r'\### Assistant: </turn> ok' AS text
+        FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)"""
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    chats = chat_format.format_chats(rows.withColumn("parts", chat_format.text_parts(F.col("text"))))
+    back = chats.select("conv_id", chat_format.parse(F.col("formatted")).alias("turns"), chat_format.under_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), "formatted")
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(text.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,6 +77,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+SQL_OP5 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)),
+e AS (SELECT *, length(role) + length(text) + 2 * length(role || text) - length(replace(role || text, '\', '')) - length(replace(role || text, '<', '')) + 23 AS chars FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g
+"""
+
 SQL_OP6 = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -86,11 +121,13 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
 )
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_minhash": op2_minhash,
+    "op5_chat_format": op5_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_lang_id": op8_lang_id,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_packing": op10_packing,
 }
-SQL = {"op6_exact_dedup": SQL_OP6, "op7_quality_rules": SQL_OP7}
+SQL = {"op5_chat_format": SQL_OP5, "op6_exact_dedup": SQL_OP6, "op7_quality_rules": SQL_OP7}
