@@ -21,9 +21,9 @@ from panelyard.llm._common import cut_lineage
 
 
 class WordIds:
-    """Token ids (little-endian unsigned 32-bit, as bytes) of ASCII-blank-separated words, each encoded once.
+    """Token ids (little-endian unsigned 32-bit, as bytes) of words in lower-cased UTF-8, each encoded once.
 
-    For tokenizers that never join text across white space; holds at most ``most`` words.
+    For tokenizers that lower-case and never join text across white space; holds at most ``most`` words.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -32,9 +32,9 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.most = most
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def add(self, words: set[str]) -> None:
+    def add(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.known]
         if not new:
             return
@@ -43,12 +43,18 @@ class WordIds:
             new = list(words)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
+            encoded = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
+            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
 
-    def of(self, words: list[str]) -> bytes:
+    def of(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.known.__getitem__, words))
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """Words between ASCII white space, A-Z lower-cased: bytes know no other letters and blanks."""
+    return text.encode().lower().split() if text else []
+
+
 _word_ids: dict[str, WordIds] = {}
 
 
@@ -59,9 +65,6 @@ def word_ids(path: str) -> WordIds:
     return _word_ids[path]
 
 
-_BLANKS = str.maketrans({c: " " for c in "\t\n\v\f\r"})
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, piece, start, length, ids_crc32: each document's ids and end_id, cut every capacity ids if longer."""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -72,10 +75,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # bounded by the texts of 256 documents
                 part = batch.slice(at, 256)
-                split = [(t or "").translate(_BLANKS).split(" ") for t in part.column(1).to_pylist()]
-                split = [[w for w in ws if w] for ws in split]
-                words = set().union(*split)
-                ids.add(words)
+                split = [words_of(t) for t in part.column(1).to_pylist()]
+                ids.add(set().union(*split))
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, ws in enumerate(split):
                     data = memoryview(ids.of(ws) + end)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import byte_bpe, chat_format, lang_id, packing, quality_rules, url_gbt
+from panelyard.llm import byte_bpe, chat_format, html_extract, lang_id, lm_scoring, packing, quality_rules, url_gbt
 from panelyard.llm._common import held_out, table
 from panelyard.llm.exact_dedup import exact_duplicates
 from panelyard.llm.minhash_dedup import near_duplicates
@@ -22,6 +22,16 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, side=10, width=3)
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(
         r"""SELECT cast(-7 AS BIGINT) AS conv_id, cast(turn AS BIGINT) AS turn, role, r'\### Assistant: </turn> ok' AS text
@@ -123,6 +133,8 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_minhash": op2_minhash,
+    "op3_html_extract": op3_html_extract,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_chat_format": op5_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality_rules": op7_quality_rules,
