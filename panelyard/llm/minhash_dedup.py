@@ -6,9 +6,10 @@ cost only ``2 * side * width`` MinHash values: about the square root of what sep
 A pair of similarity s meets in some table with probability ``(1 - (1 - s ** width) ** side) ** 2``; with the
 defaults that is 0.99986 at 0.85 and higher above. Every candidate is confirmed on the full shingle sets.
 
-Inside a table's bucket no pairs are listed. Members are first compared with one centre (a star), components are
-formed, and only members of one bucket that still are in different components are compared further: by more stars
-while there are many, then pair by pair. So no link between components of a bucket is lost, whatever its size.
+Inside a table's bucket no pairs are listed. Members are first compared with one centre (a star) and components are
+formed. Only members of one bucket that then still are in different components are compared further: pair by pair if
+few are open, else by an exact join on rare shingles. So no link between components of a bucket is lost, whatever
+its size, and a group of copies costs as many comparisons as it has members.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.llm._common import cut_lineage, small
@@ -139,24 +140,56 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, label (smallest node reachable) for the nodes of links (a, b); labels spread and jump until none changes."""
     both = cut_lineage(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
+    labels = cut_lineage(labels)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        spread = cut_lineage(labels.join(near, labels["node"] == near["a"], "left").select("node", "label", F.least("label", "m").alias("new")))
-        jump = spread.select(F.col("node").alias("new"), F.col("new").alias("far"))
+        spread = labels.join(near, labels["node"] == near["a"], "left").select("node", "label", F.least("label", "m").alias("new"))
+        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
         labels = cut_lineage(spread.join(jump, "new", "left").select("node", F.col("label").alias("old"), F.least("new", "far").alias("label")))
         if labels.filter("old <> label").isEmpty():
             return labels.select("node", "label")
 
 
+def _pairs_by_prefix(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of nodes (id, label) with different labels whose sets can reach percent, by prefix filtering.
+
+    Shingles are ordered by how many of the sets hold them, rarest first. Two sets that reach the similarity share
+    one of their first ``n - ceil(n * percent / 100) + 1`` shingles, so only these are joined; shingles that one set
+    alone holds fill the places but join nothing.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                own = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+                sizes = np.array([len(x) for x in own], np.int64)
+                row = pa.array(np.repeat(np.arange(len(own)), sizes))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(own))], names=["id", "label", "n", "h"])
+
+    held = nodes.join(sets, "id").select("id", "label", "shingles").mapInArrow(run, f"id {kinds['id']}, label {kinds['label']}, n long, h long")
+    counts = cut_lineage(held.groupBy("h").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).filter("f > 1"))
+    shared = held.join(counts, "h")
+    by_doc = Window.partitionBy("id")
+    place = F.row_number().over(by_doc.orderBy("f", "h")) + F.col("n") - F.count(F.lit(1)).over(by_doc)
+    first = shared.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    first = cut_lineage(first.filter("low <> high").select("h", "id", "label", "n"))
+    x, y = (first.select("h", F.col("id").alias(k), F.col("label").alias("l" + k), F.col("n").alias("n" + k)) for k in "ab")
+    fits = (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    return x.join(y, "h").filter(fits).select("a", "b").distinct()
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, side: int = 12, width: int = 3, pairs_per_class: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, side: int = 12, width: int = 3, pairs_per_class: int = 16
 ) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
     words: words per shingle (a text with fewer is one shingle). side, width: see the module; side 12 with width 3
-    finds 0.9996 of the pairs at similarity 0.8. pairs_per_class: below this many open pairs per distinct set, open
-    pairs are compared one by one; above, another star is tried first. It changes the order of work, not the result.
+    finds 0.9996 of the pairs at similarity 0.8. pairs_per_class: up to so many open pairs of buckets per distinct set
+    are compared one by one; if there are more, prefix filtering finds the pairs that can reach the similarity. Both
+    ways are exact, so it changes the work and not the result.
 
     Returns one row per input row: id_col, n_shingles, component_id (smallest id reachable), kept (id = component_id).
     Null, empty and blank texts have no shingle and are linked with nothing. A row with a null id is linked with
@@ -178,39 +211,22 @@ def near_duplicates(
     sets = cut_lineage(_sets(texts.join(small(nodes.select(F.col("a").alias("id"))), "id", "left_semi"), words))
     links = cut_lineage(_confirmed(tried, sets, percent))
     labels = components(links)
-    most = pairs_per_class * max(classes.count(), 1)
-    round_no = 0
-    while True:
-        at = cut_lineage(
-            members.select("key", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-        )
-        sizes = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
-        open_keys = cut_lineage(
-            sizes.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("own"), F.min("label").alias("low")).filter("labels > 1")
-        )
-        count, pairs = open_keys.agg(F.count(F.lit(1)), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
-        if not count:
-            break
-        last = pairs <= most or round_no >= 12
-        round_no += 1
-        open_at = at.join(open_keys.select("key", "low"), "key")
-        if last:
-            x, y = open_at.select("key", F.col("rep").alias("a"), F.col("label").alias("la")), open_at.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"))
+    at = members.select("key", "rep", "center").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    at = cut_lineage(at.select("key", "rep", F.coalesce("label", "rep").alias("label")))
+    sizes = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
+    open_keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("own")).filter("labels > 1")
+    open_keys = cut_lineage(open_keys)
+    pairs = open_keys.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0]
+    if pairs:  # some buckets hold members of several components: what the stars left open
+        open_at = cut_lineage(at.join(open_keys.select("key"), "key"))
+        if pairs <= pairs_per_class * classes.count():
+            x, y = (open_at.select("key", F.col("rep").alias(k), F.col("label").alias("l" + k)) for k in "ab")
             wanted = x.join(y, "key").filter("a > b and la <> lb").select("a", "b").distinct()
-        else:  # a new centre outside the component of the last ones, another in each round
-            order = F.xxhash64("rep", F.lit(round_no))
-            centers = cut_lineage(open_at.filter("label <> low or length(cast(key as string)) % 2 = 0").groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "label")).alias("c")))
-            wanted = (
-                open_at.select("key", "rep", "label").join(centers, "key").filter(F.col("label") != F.col("c.label")).select(F.greatest("rep", "c.rep").alias("a"), F.least("rep", "c.rep").alias("b")).distinct()
-            )
-        wanted = cut_lineage(wanted.join(tried, ["a", "b"], "left_anti"))
-        found = cut_lineage(_confirmed(wanted, sets, percent))
+        else:
+            wanted = _pairs_by_prefix(open_at.select(F.col("rep").alias("id"), "label").distinct(), sets, percent)
+        found = cut_lineage(_confirmed(wanted.join(tried, ["a", "b"], "left_anti"), sets, percent))
         if not found.isEmpty():
-            links = cut_lineage(links.union(found))
-            labels = components(links)
-        if last:
-            break
-        tried = cut_lineage(tried.union(wanted))
+            labels = components(links.union(found))
     of_class = classes.select("digest", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     of_class = cut_lineage(of_class)
     component = F.when(F.col("n") > 0, F.coalesce("label", "id")).otherwise(F.col("id"))
