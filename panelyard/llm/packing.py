@@ -8,6 +8,7 @@ Each piece finds its place from its length and its rank among the pieces of that
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -20,30 +21,53 @@ from pyspark.sql import functions as F
 from panelyard.llm._common import cut_lineage
 
 
+_CLOSING = b".,;:!?%$&*#|)"
+
+
 class WordIds:
     """Token ids (little-endian unsigned 32-bit, as bytes) of words in lower-cased UTF-8, each encoded once.
 
-    For tokenizers that lower-case and never join text across white space; holds at most ``most`` words.
+    For tokenizers that lower-case, never join text across white space and split letters and digits from other
+    signs. Holds the words used last, 2 * ``most`` at most.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only wait for each other
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.most = most
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def add(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.known]
-        if not new:
-            return
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
+        if len(self.known) + 2 * len(new) > self.most:
+            self.older, self.known = self.known, {}
             new = list(words)
+        older = self.older
+        missing = []
+        for w in new:
+            ids = older.get(w)
+            if ids is None:
+                missing.append(w)
+            else:
+                self.known[w] = ids
+        cut = {}  # word -> its part before closing signs
+        for w in missing:
+            core = w.rstrip(_CLOSING)
+            if core and core != w and core[-1:].isalnum():  # bytes: ASCII only
+                cut[w] = core
+        self._encode({*missing} - cut.keys() | {core for core in cut.values() if core not in self.known} | {w[len(core) :] for w, core in cut.items()})
+        for w, core in cut.items():
+            self.known[w] = self.known[core] + self.known[w[len(core) :]]
+
+    def _encode(self, words: set[bytes]) -> None:
+        new = list(words)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            encoded = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
+            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
 
     def of(self, words: list[bytes]) -> bytes:
