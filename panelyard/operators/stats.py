@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson over rows with both values; null without spread (Spark's corr raises there in ANSI mode)."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    size = F.stddev_pop(F.when(both, F.col(a))) * F.stddev_pop(F.when(both, F.col(b)))
+    return F.when(size > 0, F.covar_pop(a, b) / F.when(size > 0, size))
+
+
 def t_stat(x: Column) -> Column:
     """mean / (sd / sqrt(n)); null with fewer than two values or no spread."""
     sd = F.stddev_samp(x)
@@ -79,7 +86,7 @@ def ols2(df: DataFrame, keys: list[str], y: str, x1: str, x2: str) -> DataFrame:
     ok = df.filter(F.col(y).isNotNull() & F.col(x1).isNotNull() & F.col(x2).isNotNull())
     m = ok.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.var_pop(x1).alias("v1"), F.var_pop(x2).alias("v2"), F.covar_pop(x1, x2).alias("c12"), F.covar_pop(x1, y).alias("c1y"), F.covar_pop(x2, y).alias("c2y"),
-        F.avg(x1).alias("m1"), F.avg(x2).alias("m2"), F.avg(y).alias("my"), F.corr(x1, y).alias("r1"), F.corr(x2, y).alias("r2"),
+        F.avg(x1).alias("m1"), F.avg(x2).alias("m2"), F.avg(y).alias("my"), correlation(x1, y).alias("r1"), correlation(x2, y).alias("r2"),
     )
     det = F.col("v1") * F.col("v2") - F.col("c12") ** 2
     d = F.when((det > 1e-18) & (F.col("n") >= 4), det)
@@ -91,7 +98,7 @@ def ols2(df: DataFrame, keys: list[str], y: str, x1: str, x2: str) -> DataFrame:
 def regression_metrics(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     e = F.col(p) - F.col(y)
     return df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg((F.signum(y) == F.signum(p)).cast("double")).alias("direction"), F.corr(y, p).alias("pearson")
+        F.count(F.lit(1)).alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg((F.signum(y) == F.signum(p)).cast("double")).alias("direction"), correlation(y, p).alias("pearson")
     )
 
 

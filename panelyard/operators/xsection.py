@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.functions.scalars import clip
+from panelyard.operators.stats import correlation
 
 
 def rank_first(value: str, keys: list[str], tie: list[str]) -> Column:
@@ -26,9 +27,9 @@ def rank_average(value: str, keys: list[str]) -> Column:
 
 
 def bucket(rank: Column, n: Column, k: int) -> Column:
-    """Equal-frequency bucket 1..k of a rank 1..n, cut at the linear quantiles of the ranks; null if n < k."""
+    """Equal-frequency bucket 1..k of a rank 1..n, cut at the linear quantiles of the ranks; null if n < k or without a rank."""
     edge = F.floor(((rank - 1) * k + n - 2) / F.greatest(n - 1, F.lit(1)))
-    return F.when(n >= k, F.greatest(F.lit(1), edge)).cast("int")
+    return F.when((n >= k) & rank.isNotNull(), F.greatest(F.lit(1), edge)).cast("int")
 
 
 def quantile_label(df: DataFrame, value: str, keys: list[str], tie: list[str], k: int = 5) -> DataFrame:
@@ -68,7 +69,7 @@ def redundant(df: DataFrame, features: list[str], threshold: float = 0.999999999
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
     if not pairs:
         return []
-    row = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first()
+    row = df.agg(*[correlation(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first()
     close = {p for p, c in zip(pairs, row, strict=True) if c is not None and abs(c) >= threshold}
     dropped: list[str] = []
     for a, b in pairs:

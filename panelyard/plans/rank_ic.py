@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.operators.stats import t_stat
+from panelyard.operators.stats import correlation, t_stat
 from panelyard.operators.xsection import n_valid, rank_average, rank_first
 
 KEYS = ["model", "split", "month_id"]
@@ -18,7 +18,7 @@ def monthly_rank_ic(scores: DataFrame, score: str = "score", target: str = "targ
     """
     ok = scores.filter(F.col(score).isNotNull() & F.col(target).isNotNull())
     ranked = ok.withColumns({"__s": rank_average(score, keys), "__t": rank_average(target, keys)})
-    out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"), F.corr("__s", "__t").alias("__c"), F.stddev_pop("__s").alias("__a"), F.stddev_pop("__t").alias("__b"))
+    out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"), correlation("__s", "__t").alias("__c"), F.stddev_pop("__s").alias("__a"), F.stddev_pop("__t").alias("__b"))
     fine = (F.col("n_obs") >= min_obs) & (F.col("__a") > 0) & (F.col("__b") > 0)
     out = out.select(*keys, "n_obs", F.when(fine, F.col("__c")).alias("rank_ic"))
     return out if keep_null_months else out.filter("rank_ic is not null")
