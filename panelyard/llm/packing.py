@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ class WordIds:
     signs. Holds the words used last, 2 * ``most`` at most.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only wait for each other
         from tokenizers import Tokenizer
 
@@ -68,7 +69,7 @@ class WordIds:
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
+            self.known.update(zip(part, (array("I", e.ids).tobytes() for e in encoded), strict=True))
 
     def of(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.known.__getitem__, words))
