@@ -104,7 +104,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     it is kept only where all ids of its group are null. Rows that repeat the kept id are all marked kept.
     Columns other than the two named are not read. An empty table gives an empty result.
     """
-    chunked = chunks(docs, id_col, text_col, **sizes)
+    return grouped(chunks(docs, id_col, text_col, **sizes), id_col)
+
+
+def grouped(chunked: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """exact_duplicates() of the rows of chunks(): verify identifiers, then compare recipes."""
     clashes = cut_lineage(colliding_identifiers(chunked))
     recipes = chunked.select("id", "recipe", "text_sha256")
     if not clashes.isEmpty():  # two contents under one 128-bit identifier: such documents are told apart by their whole text's sha256 too

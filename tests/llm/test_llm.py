@@ -272,20 +272,18 @@ def test_op6_odd_rows_and_one_of_each(odd, empty):
     assert sorted(r["doc_id"] for r in left) == [1, 3] and exact_dedup.keep_one(odd).columns == odd.columns
 
 
-def test_op6_cuts_follow_content_and_clashes_are_told_apart(spark, monkeypatch):
+def test_op6_cuts_follow_content_and_clashes_are_told_apart(spark):
     rng = np.random.default_rng(1)
     data = rng.integers(97, 123, 200_000, dtype=np.uint8).tobytes()
     ends = exact_dedup.cut_points(data, 1024, 256, 8192)
     assert ends[-1] == len(data) and all(b - a <= 8192 for a, b in zip([0, *ends], ends, strict=False))
     moved = exact_dedup.cut_points(b"some bytes before" + data, 1024, 256, 8192)
     assert len({e + 17 for e in ends} & set(moved)) > 0.9 * len(ends)
-    docs = spark.createDataFrame([(1, "aa"), (2, "bb"), (3, "aa"), (4, "ccc")], "doc_id long, text string")
-
-    class Weak:
-        xxh3_128_digest = staticmethod(lambda part: len(part).to_bytes(16, "big"))
-
-    monkeypatch.setattr(exact_dedup, "xxhash", Weak)
-    assert exact_dedup.chunks(docs).count() == 4
+    # rows 1 and 2 have one identifier for two contents
+    clash = [(1, b"i" * 16, "s1", [b"aa"]), (2, b"i" * 16, "s2", [b"bb"]), (3, b"i" * 16, "s1", [b"aa"]), (4, b"j" * 16, "s4", [b"c"]), (5, b"j" * 16, "s4", [b"c"])]
+    df = spark.createDataFrame(clash, "id long, recipe binary, text_sha256 string, parts array<binary>")
+    assert [bytes(r["chunk"]) for r in exact_dedup.colliding_identifiers(df).collect()] == [b"i" * 16]
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.grouped(df).collect()} == {1: (3, 2), 2: (2, 1), 3: (3, 2), 4: (5, 2), 5: (5, 2)}
 
 
 @pytest.mark.parametrize("text", ["", "x", "one two three", LONG])
