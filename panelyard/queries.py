@@ -6,12 +6,12 @@ one. Doubles are rounded once, at the end, on both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelyard.functions import scalars as x
 from panelyard.functions.dates import month_id
-from panelyard.operators import dedup, joins, quality, stats, timeseries, xsection
+from panelyard.operators import dedup, features, joins, quality, stats, timeseries, xsection
 from panelyard.operators.models import fit_grid, ridge
 from panelyard.plans import overlay as overlays
 from panelyard.plans import performance, portfolio, rank_ic
@@ -644,8 +644,8 @@ def selected_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ridge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = timeseries.return_features(targets(spark, sf_dir))
-    features = ["ret_lag1", "ret_lag2", "mom_6m", "vol_12m"]
-    name, model, _ = fit_grid(df, features, "target", {f"ridge_{a:g}": ridge(a, "target") for a in (0.1, 1.0, 10.0, 100.0)})
+    used = ["ret_lag1", "ret_lag2", "mom_6m", "vol_12m"]
+    name, model, _ = fit_grid(df, used, "target", {f"ridge_{a:g}": ridge(a, "target") for a in (0.1, 1.0, 10.0, 100.0)})
     return model.transform(df.filter("split = 'test'")).select("entity", "month_id", F.lit(name).alias("model"), "score", "target")
 
 
@@ -670,4 +670,133 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
+# ---------------------------------------------------------------- further operators
+
+
+@query(
+    f"""WITH {_BETS}, ok AS (SELECT * FROM bets WHERE score IS NOT NULL AND ret IS NOT NULL),
+x AS (SELECT *, row_number() OVER (w ORDER BY score, entity) AS u, row_number() OVER (w ORDER BY score DESC, entity) AS d, greatest(1, floor(count(*) OVER w * 0.1)) AS k FROM ok WINDOW w AS (PARTITION BY model, split, month_id)),
+l AS (SELECT *, CASE WHEN d <= k THEN 1 WHEN u <= k THEN -1 END AS leg FROM x)
+SELECT model, split, month_id, CAST(leg AS INTEGER) AS leg, count(*) AS n, round(avg(ret), 6) AS ret FROM l WHERE leg IS NOT NULL GROUP BY ALL"""
+)
+def extreme_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    legs = portfolio.extreme_buckets(_bets(spark, sf_dir), 0.1)
+    return rounded(legs.groupBy("model", "split", "month_id", "leg").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("ret")))
+
+
+@query(
+    f"""WITH {_RETURNS} SELECT spec, model, split, c.cost_bps, round(avg(gross_return - c.cost_bps / 10000 * turnover), 6) AS mean_net
+FROM mr, (VALUES (0.0::DOUBLE), (5.0), (10.0), (25.0), (50.0), (100.0)) c(cost_bps) GROUP BY ALL"""
+)
+def cost_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.expand_costs(_monthly(spark, sf_dir)).groupBy("spec", "model", "split", "cost_bps").agg(F.avg("net_return").alias("mean_net")))
+
+
+@query(
+    f"""WITH {_PANEL}, c AS (SELECT CASE WHEN ret < -0.2 THEN 0 WHEN ret > 0.2 THEN 2 WHEN ret IS NOT NULL THEN 1 END AS label, target, split FROM tg)
+SELECT CAST(label AS INTEGER) AS label, round(avg(target), 6) AS mean_target, count(target) AS n FROM c WHERE split = 'train' AND label IS NOT NULL GROUP BY 1"""
+)
+def class_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("ret") < -0.2, 0).when(F.col("ret") > 0.2, 2).when(F.col("ret").isNotNull(), 1)
+    return rounded(stats.class_means(targets(spark, sf_dir).withColumn("label", label), "label", "target", F.col("split") == "train"))
+
+
+@query(
+    f"""WITH {_PANEL}, m AS (SELECT median(-ret) AS r FROM tg WHERE split = 'train'), k AS (SELECT median(revenue) AS v FROM tg WHERE split = 'train' AND n_lines > 5)
+SELECT entity, month_id, round(coalesce(-ret, r), 6) AS score_reversal, round(coalesce(CASE WHEN n_lines > 5 THEN revenue END, v), 6) AS score_momentum FROM tg, m, k WHERE split IS NOT NULL"""
+)
+def naive_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = portfolio.naive_scores(targets(spark, sf_dir), F.when(F.col("n_lines") > 5, F.col("revenue")), F.col("ret"), F.col("split") == "train")
+    return rounded(df.select("entity", "month_id", "score_reversal", "score_momentum"))
+
+
+@query(f"WITH {_PANEL} SELECT m.month_id, round(b.market_ret, 6) AS benchmark_return FROM (SELECT DISTINCT month_id FROM panel) m LEFT JOIN mk b ON b.month_id = m.month_id + 1")
+def benchmark_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = panel(spark, sf_dir)
+    market = p.select("month_id", F.col("market_ret").alias("benchmark_return")).distinct()
+    return rounded(portfolio.benchmark_aligned(p.select("month_id").distinct(), market))
+
+
+@query(
+    f"""WITH {_SMALL}, q AS (SELECT *, (1 + lag(r) OVER w) * (1 + r) - 1 AS two, CASE WHEN count(r) OVER z >= 3 THEN avg(r) OVER z END AS smooth FROM s
+  WINDOW w AS (PARTITION BY entity ORDER BY month_id), z AS (PARTITION BY entity ORDER BY month_id ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))
+SELECT entity, month_id, round(two, 6) AS trailing_2m, round(smooth, 6) AS smooth_12m FROM q"""
+)
+def trailing_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = timeseries.by("entity")
+    return rounded(_small_returns(spark, sf_dir).select("entity", "month_id", timeseries.trailing_compound(F.col("r"), 2, w).alias("trailing_2m"), timeseries.rolling(F.col("r"), "mean", 12, w, 3).alias("smooth_12m")))
+
+
+@query(
+    f"""WITH {_PANEL}, {_IC}, a AS (SELECT model, split, avg(rank_ic) AS mean_ic, count(*) AS n_months FROM ic GROUP BY ALL)
+SELECT split AS family, model, n_months, round(mean_ic, 6) AS mean_ic, CAST(row_number() OVER (PARTITION BY split ORDER BY mean_ic DESC NULLS LAST, model) AS INTEGER) AS place FROM a QUALIFY place <= 3"""
+)
+def family_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ic = rank_ic.monthly_rank_ic(scores(spark, sf_dir)).groupBy(F.col("split").alias("family"), "model").agg(F.avg("rank_ic").alias("mean_ic"), F.count(F.lit(1)).alias("n_months"))
+    return rounded(rank_ic.best_of_family(ic, ["mean_ic", "n_months"]))
+
+
+@query("SELECT 'p_name' AS \"column\", count(*) AS n_text, 0.0::DOUBLE AS parse_rate, false AS candidate FROM part UNION ALL SELECT 'p_size', count(*), 1.0, true FROM part UNION ALL SELECT 'p_retailprice', count(*), 1.0, true FROM part")
+def parse_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.parse_rates(table(spark, sf_dir, "part"), ["p_name", "p_size", "p_retailprice"])
+
+
+@query(
+    f"""WITH {_PANEL} SELECT CAST((month_id - 1) // 12 AS INTEGER) AS year, count(*) AS n_rows, count(ret) AS n_ret, round(count(ret) * 100.0 / count(*), 2) AS pct_ret, count(DISTINCT entity) AS n_entities,
+  min(month_id) AS first_month, max(month_id) AS last_month FROM panel GROUP BY 1"""
+)
+def coverage_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel(spark, sf_dir).groupBy(F.floor((F.col("month_id") - 1) / 12).cast("int").alias("year")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("ret").alias("n_ret"), F.round(F.count("ret") * 100.0 / F.count(F.lit(1)), 2).alias("pct_ret"), F.count_distinct("entity").alias("n_entities"),
+        F.min("month_id").alias("first_month"), F.max("month_id").alias("last_month"),
+    )
+
+
+@query(
+    f"""WITH {_PANEL}, q AS (SELECT split, count(*) AS n_split FROM tg WHERE split IS NOT NULL GROUP BY 1)
+SELECT split, CASE WHEN target IS NULL THEN 'none' WHEN target > 0 THEN 'up' ELSE 'down' END AS label, count(*) AS n, round(count(*) * 100.0 / any_value(n_split), 4) AS pct FROM tg JOIN q USING (split) GROUP BY ALL"""
+)
+def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("target").isNull(), "none").when(F.col("target") > 0, "up").otherwise("down").alias("label")
+    counts = targets(spark, sf_dir).groupBy("split", label).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("split")), 4))
+
+
+@query(
+    f"""WITH {_LINKS}, c AS (SELECT o_orderkey, o_orderdate, max(CASE WHEN gvkey IS NULL THEN 0 ELSE 1 END) AS hit FROM orders LEFT JOIN links ON permno = o_custkey AND CAST(o_orderdate AS DATE) BETWEEN linkdt AND linkenddt GROUP BY 1, 2)
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n_rows, CAST(sum(hit) AS BIGINT) AS n_matched, round(sum(hit) * 100.0 / count(*), 2) AS pct_matched FROM c GROUP BY 1"""
+)
+def match_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("permno"), F.to_date("o_orderdate").alias("date"))
+    linked = joins.interval_link(rows, _links(spark, sf_dir), "o_orderkey", "permno", "date", "linkdt", "linkenddt", joins.link_order(), ["gvkey"])
+    return linked.groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n_rows"), F.count("gvkey").alias("n_matched"), F.round(F.count("gvkey") * 100.0 / F.count(F.lit(1)), 2).alias("pct_matched"))
+
+
+@query(
+    f"""WITH {_PANEL}, {_FACTORS}, p AS (SELECT month_id, "R" FROM wide WHERE month_id % 5 <> 0)
+SELECT entity, panel.month_id, round("R", 6) AS factor FROM panel LEFT JOIN p ON p.month_id = panel.month_id WHERE entity <= 3"""
+)
+def month_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A many-to-one month lookup; months that the factor table lacks are null."""
+    f = _factors(spark, sf_dir).filter("month_id % 5 <> 0").select("month_id", F.col("R").alias("factor"))
+    return rounded(quality.checked_join(panel(spark, sf_dir).filter("entity <= 3"), f, ["month_id"]).select("entity", "month_id", "factor"))
+
+
+@query("SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance, NULL::VARCHAR AS segment FROM supplier UNION ALL BY NAME SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer")
+def widened_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    return s.unionByName(c, allowMissingColumns=True)
+
+
+@query(
+    f"""WITH {_PANEL}, f AS (SELECT entity, min(month_id) FILTER (ret IS NOT NULL) AS first FROM panel WHERE entity <= 3 GROUP BY 1)
+SELECT p.entity, p.month_id, p.month_id - first AS step, round(ret, 6) AS ret FROM panel p JOIN f USING (entity) WHERE p.month_id BETWEEN first - 8 AND first + 4"""
+)
+def manual_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows around the first return of three entities."""
+    df = panel(spark, sf_dir).filter("entity <= 3").withColumn("first", F.min(F.when(F.col("ret").isNotNull(), F.col("month_id"))).over(Window.partitionBy("entity")))
+    return rounded(df.filter("month_id between first - 8 and first + 4").select("entity", "month_id", (F.col("month_id") - F.col("first")).alias("step"), "ret"))
+
+
 FLAGSHIP = rank_ic_summary
