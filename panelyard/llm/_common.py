@@ -56,4 +56,4 @@ BROADCAST_ROWS = 1_000_000
 
 def small(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """ids with a broadcast hint if it was counted to be small, else as it is, so that the join shuffles."""
-    return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
+    return F.broadcast(ids) if ids.count() <= rows else ids

@@ -7,9 +7,9 @@ A pair of similarity s meets in some table with probability ``(1 - (1 - s ** wid
 defaults that is 0.99986 at 0.85 and higher above. Every candidate is confirmed on the full shingle sets.
 
 Inside a table's bucket no pairs are listed. Members are first compared with one centre (a star) and components are
-formed. Only members of one bucket that then still are in different components are compared further: pair by pair if
-few are open, else by an exact join on rare shingles. So no link between components of a bucket is lost, whatever
-its size, and a group of copies costs as many comparisons as it has members.
+formed. Members of buckets that then still hold several components are compared further by an exact join on rare
+shingles. So no link between components of a bucket is lost, whatever its size, and a group of copies costs about as
+many comparisons as it has members.
 """
 
 from __future__ import annotations
@@ -155,8 +155,9 @@ def _pairs_by_prefix(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFra
     """All pairs of nodes (id, label) with different labels whose sets can reach percent, by prefix filtering.
 
     Shingles are ordered by how many of the sets hold them, rarest first. Two sets that reach the similarity share
-    one of their first ``n - ceil(n * percent / 100) + 1`` shingles, so only these are joined; shingles that one set
-    alone holds fill the places but join nothing.
+    one of their first ``n - ceil(n * percent / 100) + 1`` shingles, and from the first that they share on there must
+    be room in both for the overlap that the similarity asks for. Shingles that one set alone holds fill the first
+    places and join nothing, so sets with many edits of their own drop out.
     """
     kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
 
@@ -175,21 +176,25 @@ def _pairs_by_prefix(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFra
     by_doc = Window.partitionBy("id")
     place = F.row_number().over(by_doc.orderBy("f", "h")) + F.col("n") - F.count(F.lit(1)).over(by_doc)
     first = shared.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    first = cut_lineage(first.filter("low <> high").select("h", "id", "label", "n"))
-    x, y = (first.select("h", F.col("id").alias(k), F.col("label").alias("l" + k), F.col("n").alias("n" + k)) for k in "ab")
-    fits = (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    first = cut_lineage(first.filter("low <> high").select("h", "id", "label", "n", (F.col("n") - F.col("place") + 1).alias("room")))
+    x, y = (first.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "label", "n", "room")]) for k in "ab")
+    x, y = x.withColumnRenamed("id_a", "a"), y.withColumnRenamed("id_b", "b")
+    fits = (
+        (F.col("a") > F.col("b"))
+        & (F.col("label_a") != F.col("label_b"))
+        & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        & (F.least("room_a", "room_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+    )
     return x.join(y, "h").filter(fits).select("a", "b").distinct()
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, side: int = 12, width: int = 3, pairs_per_class: int = 16
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, side: int = 12, width: int = 3
 ) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
     words: words per shingle (a text with fewer is one shingle). side, width: see the module; side 12 with width 3
-    finds 0.9996 of the pairs at similarity 0.8. pairs_per_class: up to so many open pairs of buckets per distinct set
-    are compared one by one; if there are more, prefix filtering finds the pairs that can reach the similarity. Both
-    ways are exact, so it changes the work and not the result.
+    finds 0.9996 of the pairs at similarity 0.8, and what the stars of a bucket leave open is settled exactly.
 
     Returns one row per input row: id_col, n_shingles, component_id (smallest id reachable), kept (id = component_id).
     Null, empty and blank texts have no shingle and are linked with nothing. A row with a null id is linked with
@@ -213,18 +218,11 @@ def near_duplicates(
     labels = components(links)
     at = members.select("key", "rep", "center").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     at = cut_lineage(at.select("key", "rep", F.coalesce("label", "rep").alias("label")))
-    sizes = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
-    open_keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("own")).filter("labels > 1")
-    open_keys = cut_lineage(open_keys)
-    pairs = open_keys.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0]
-    if pairs:  # some buckets hold members of several components: what the stars left open
-        open_at = cut_lineage(at.join(open_keys.select("key"), "key"))
-        if pairs <= pairs_per_class * classes.count():
-            x, y = (open_at.select("key", F.col("rep").alias(k), F.col("label").alias("l" + k)) for k in "ab")
-            wanted = x.join(y, "key").filter("a > b and la <> lb").select("a", "b").distinct()
-        else:
-            wanted = _pairs_by_prefix(open_at.select(F.col("rep").alias("id"), "label").distinct(), sets, percent)
-        found = cut_lineage(_confirmed(wanted.join(tried, ["a", "b"], "left_anti"), sets, percent))
+    open_keys = cut_lineage(at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key"))
+    if not open_keys.isEmpty():  # some buckets hold members of several components: what the stars left open
+        rest = at.join(open_keys, "key").select(F.col("rep").alias("id"), "label").distinct()
+        wanted = _pairs_by_prefix(rest, sets, percent).join(tried, ["a", "b"], "left_anti")
+        found = cut_lineage(_confirmed(wanted, sets, percent))
         if not found.isEmpty():
             labels = components(links.union(found))
     of_class = classes.select("digest", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))

@@ -103,16 +103,15 @@ def test_op1_trees_learn_held_out_labels_and_odd_urls(spark):
     assert {r["verdict"] for r in url_gbt.judge(pages, []).collect()} == {"allow"}
 
 
-@pytest.mark.parametrize(("words", "percent", "side", "per"), [(3, 85, 10, 16), (5, 80, 12, 16), (5, 80, 12, 0)])
-def test_op2_equals_brute_force(spark, sf_dir, words, percent, side, per):
+@pytest.mark.parametrize(("words", "percent", "side"), [(3, 85, 10), (5, 80, 12)])
+def test_op2_equals_brute_force(spark, sf_dir, words, percent, side):
     docs = table(spark, sf_dir, "documents")
     want = brute_components(_documents(spark, sf_dir), words, percent)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(docs, words=words, percent=percent, side=side, pairs_per_class=per).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(docs, words=words, percent=percent, side=side).collect()}
     assert got == want
 
 
-@pytest.mark.parametrize("per", [16, 0])
-def test_op2_families_of_unlike_copies(spark, per):
+def test_op2_families_of_unlike_copies(spark):
     """Copies of one base with different edits: some pairs reach the similarity, some do not."""
     rng = np.random.default_rng(2)
     base = [f"w{i}" for i in range(120)]
@@ -123,7 +122,7 @@ def test_op2_families_of_unlike_copies(spark, per):
             w[k] = f"e{i}x{k}"
         docs[i] = " ".join(w)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(df, words=3, percent=85, side=10, pairs_per_class=per).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(df, words=3, percent=85, side=10).collect()}
     assert got == brute_components(docs, 3, 85)
 
 
