@@ -54,11 +54,11 @@ def asof_nearest(left: DataFrame, right: DataFrame, key: str, left_date: str, ri
     empty = F.lit(None)
     one = left.select(F.struct("*").alias("__row"), F.col(key).alias("__k"), F.col(left_date).alias("__at"), F.lit(1).alias("__side"), empty.cast(right.select(ties).schema[0].dataType).alias("__tie"), empty.cast(right.select(value).schema[0].dataType).alias("__value"))
     two = right.filter(F.col(right_date).isNotNull() & F.col(key).isNotNull()).select(empty.cast(one.schema["__row"].dataType).alias("__row"), F.col(key).alias("__k"), F.col(right_date).alias("__at"), F.lit(0).alias("__side"), ties.alias("__tie"), value.alias("__value"))
-    back = Window.partitionBy("__k").orderBy("__at", "__side", "__tie")
-    stream = one.unionByName(two).withColumns({
-        "__b": F.last("__value", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
-        "__f": F.first("__value", ignorenulls=True).over(back.rowsBetween(0, Window.unboundedFollowing)),
-    }).filter("__side = 1")
+    # two running windows: one that looks back, one over the opposite order; frames to the end would be quadratic
+    back = Window.partitionBy("__k").orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("__k").orderBy(*[F.col(c).desc() for c in ("__at", "__side", "__tie")]).rowsBetween(Window.unboundedPreceding, 0)
+    latest = F.last("__value", ignorenulls=True)
+    stream = one.unionByName(two).withColumns({"__b": latest.over(back), "__f": latest.over(ahead)}).filter("__side = 1")
     behind, ahead = F.datediff("__at", "__b.__date"), F.datediff("__f.__date", "__at")
     m = F.when(F.col("__b").isNotNull() & (F.col("__f").isNull() | (behind <= ahead)), F.col("__b")).otherwise(F.col("__f"))
     near = stream.withColumn("__m", m).withColumn("__d", F.abs(F.datediff("__at", "__m.__date")))
