@@ -124,9 +124,11 @@ def measured(docs: DataFrame, text_col: str = "text", most_lost: float = 0.5) ->
 
         return let(F.filter(F.split(text, "\n"), lambda x: _word_chars(x) > 0), of_lines)
 
-    out = docs.withColumn("q", let(_words(text), of_text))
-    kept = ~F.col("q.base_failed") & ((F.col("q.word_chars") - F.col("q.clean_word_chars")) <= most_lost * F.col("q.word_chars"))
-    return out.withColumn("q", F.col("q").withField("kept", kept))
+    def with_verdict(r: Column) -> Column:
+        return r.withField("kept", ~r["base_failed"] & ((r["word_chars"] - r["clean_word_chars"]) <= most_lost * r["word_chars"]))
+
+    # inside one expression: a filter on q.kept, pushed below this projection, would else hold it once for each field named
+    return docs.withColumn("q", let(let(_words(text), of_text), with_verdict))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_lost: float = 0.5) -> DataFrame:
