@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session that names none (as in tests, on one machine) gets a temporary one.
+    Only a session on one machine (as in tests) that names none gets a temporary one; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="panelyard-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="panelyard-"))
     return sc.getCheckpointDir()
 
 
@@ -35,6 +42,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slices(batch: pa.RecordBatch, text: int, most_rows: int, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most most_rows rows and, but for single longer ones, most_bytes of column ``text``."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        room = (int(ends[at - 1]) if at else 0) + most_bytes
+        stop = max(at + 1, min(at + most_rows, int(np.searchsorted(ends, room, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes to differ from every column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)
@@ -50,10 +77,16 @@ def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-#: Rows of a narrow table of ids up to which a join may broadcast it (about 64 MB at 64 bytes a row).
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table of fixed-width rows up to which a join may broadcast it.
+BROADCAST_BYTES = 32 << 20
+
 
+def small(rows: DataFrame) -> DataFrame:
+    """rows with a broadcast hint if their counted size is below BROADCAST_BYTES, else as it is, so that the join shuffles.
 
-def small(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """ids with a broadcast hint if it was counted to be small, else as it is, so that the join shuffles."""
-    return F.broadcast(ids) if ids.count() <= rows else ids
+    The columns must have a bounded width: numbers, digests, ids. Strings and binaries count with their bytes.
+    """
+    wide = [c for c, kind in rows.dtypes if kind in ("string", "binary")]
+    size = F.lit(16 * len(rows.columns) + 32) + sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in wide), F.lit(0))
+    total = rows.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(rows) if total <= BROADCAST_BYTES else rows
