@@ -9,6 +9,7 @@ Each piece finds its place from its length and its rank among the pieces of that
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.llm._common import cut_lineage
+from panelyard.llm._common import cut_lineage, slices
 
 
 _CLOSING = b".,;:!?%$&*#|)"
@@ -29,19 +30,27 @@ class WordIds:
     """Token ids (little-endian unsigned 32-bit, as bytes) of words in lower-cased UTF-8, each encoded once.
 
     For tokenizers that lower-case, never join text across white space and split letters and digits from other
-    signs. Holds the words used last, 2 * ``most`` at most.
+    signs. Holds the words used last, 2 * ``most`` at most: about 80 MB.
+
+    plain: whether the strings of special tokens are ordinary text. Else, as in the library, they become their own ids
+    wherever they stand, and texts with one must be encoded whole: see special().
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, plain: bool = False, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only wait for each other
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain
+        added = [] if plain else [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)), re.I).search if added else lambda text: None
         self.most = most
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def add(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + 2 * len(new) > self.most:
@@ -80,31 +89,37 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-_word_ids: dict[str, WordIds] = {}
+_word_ids: dict[tuple[str, bool], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    """One for each file in a worker, kept between tasks."""
-    if path not in _word_ids:
-        _word_ids[path] = WordIds(path)
-    return _word_ids[path]
+def word_ids(path: str, plain: bool = False) -> WordIds:
+    """One in a worker, for the vocabulary used last, kept between tasks."""
+    if (path, plain) not in _word_ids:
+        _word_ids.clear()
+        _word_ids[path, plain] = WordIds(path, plain)
+    return _word_ids[path, plain]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, piece, start, length, ids_crc32: each document's ids and end_id, cut every capacity ids if longer."""
+    """id_col, piece, start, length, ids_crc32: each document's ids and end_id, cut every capacity ids if longer.
+
+    The ids are those of the library for the whole text, without added special tokens; strings of special tokens in a
+    text become their ids there, so here too.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # bounded by the texts of 256 documents
-                part = batch.slice(at, 256)
-                split = [words_of(t) for t in part.column(1).to_pylist()]
+            for part in slices(batch, 1, 256):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                special = [bool(ids.special(t)) for t in texts]
+                split = [[] if s else words_of(t) for t, s in zip(texts, special, strict=True)]
                 ids.add(set().union(*split))
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, ws in enumerate(split):
-                    data = memoryview(ids.of(ws) + end)
+                    data = memoryview((ids.whole(texts[i]) if special[i] else ids.of(ws)) + end)
                     for k, a in enumerate(range(0, len(data), 4 * capacity)):
                         own = data[a : a + 4 * capacity]
                         row.append(i)
@@ -198,7 +213,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
 
     Returns per piece: id_col, piece (from 0), start (ids of its document before it), length, ids_crc32,
     sequence_id, offset (gapless from 0 in its sequence). Null and empty texts are the one id end_id. A null or
-    repeated id makes pieces like any other row. Columns other than the two named are not read. An empty table
+    repeated id makes pieces like any other row. Very long texts are cut, never shortened. Columns other than the two named are not read. An empty table
     gives an empty result.
     """
     cut = cut_lineage(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col)).withColumn("part", F.spark_partition_id())
