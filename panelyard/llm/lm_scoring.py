@@ -1,16 +1,22 @@
-"""Language-model scores: a causal self-attention model trained in numpy, beside a unigram base.
-
-The model predicts subword ids in two steps: the id's class from the context by one layer of masked self-attention
-over the classes of the ids before, then the id within its class from its share in all training documents. Texts are
-read in windows of ``2 * HALF`` inputs that overlap by half; a window scores its second half, so each id is scored
-once and sees HALF to 2 * HALF - 1 ids before it. All windows of some hundred documents go through together.
-
-Word counts, subword counts and with them the within-class probabilities and the base cover all training documents.
-The attention weights and the classes are fitted on a sample of windows, bounded by ``most_windows``.
+"""Language-model scores: a causal self-attention model trained in numpy on subword ids, beside a unigram base.
+
+A text's subword ids are read in windows of ``2 * HALF`` inputs that overlap by half; a window scores its second half,
+so each id is scored once and sees HALF to 2 * HALF - 1 ids before it. All windows of some hundred texts go through
+together, with one mask. Each id has an embedding; one masked self-attention layer and a residual make the context,
+and the next id's probability is a product of yes-or-no decisions along its path in a Huffman tree of all ids
+(hierarchical softmax): every decision depends on the context, and probabilities sum to one exactly.
+
+Nothing is sampled. Word counts, subword counts, the tree and its starting biases (which give the unigram
+probabilities) come from all training texts. The weights are then trained on every window of every training text: the
+texts are dealt into rounds; in a round each task goes once over its windows, from the weights that the round before
+ended with, and the changes of all tasks are averaged row by row, weighted by how often the task used the row.
 """
 
 from __future__ import annotations
 
+import copy
+import hashlib
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -20,116 +26,235 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm._common import cut_lineage
+from panelyard.llm._common import cut_lineage, slices
 from panelyard.llm.packing import WordIds, word_ids, words_of
 
-HALF = 16
+HALF = 32
 _LOG10E = math.log10(math.e)
 
 
+class Tree:
+    """A Huffman tree over ids: the inner nodes on each id's path, and at each the side (+1 or -1) that the id lies on."""
+
+    def __init__(self, counts: np.ndarray):
+        """counts: of each id; half an occurrence is added, so every id has a path."""
+        n = len(counts)
+        heap = [(float(c) + 0.5, i) for i, c in enumerate(counts)]
+        heapq.heapify(heap)
+        parent, side, mass = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.int8), np.zeros(2 * n - 1)
+        mass[:n] = counts + 0.5
+        for node in range(n, 2 * n - 1):
+            a, i = heapq.heappop(heap)
+            b, j = heap[0]
+            parent[i] = parent[j] = node
+            side[i], side[j], mass[node] = -1, 1, a + b
+            heapq.heapreplace(heap, (a + b, node))
+        owners, nodes, sides = [], [], []
+        at = owner = np.arange(n)
+        while len(at) and n > 1:
+            up = parent[at]
+            owners.append(owner)
+            nodes.append(up - n)
+            sides.append(side[at])
+            inner = up != 2 * n - 2
+            at, owner = up[inner], owner[inner]
+        order = np.argsort(np.concatenate(owners), kind="stable") if owners else []
+        self.nodes = np.concatenate(nodes)[order].astype(np.int32)
+        self.sides = np.concatenate(sides)[order].astype(np.float32)
+        self.lengths = np.bincount(np.concatenate(owners), minlength=n)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        yes = np.zeros(n - 1)
+        yes[parent[:-1][side[:-1] == 1] - n] = mass[:-1][side[:-1] == 1]
+        self.bias = np.log(yes / (mass[n:] - yes)).astype(np.float32)
+
+    def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the ids' decisions one after the other: node, side, which id it belongs to; and each id's first decision."""
+        lengths = self.lengths[ids]
+        first = np.cumsum(lengths) - lengths
+        at = np.repeat(self.starts[ids] - first, lengths) + np.arange(int(lengths.sum()))
+        return self.nodes[at], self.sides[at], np.repeat(np.arange(len(ids)), lengths), first
+
+
 class Attention:
-    """One layer of single-head causal self-attention over classes, with a bigram term in the output."""
+    """Embeddings, one layer of causal self-attention with a bias by distance, decision vectors of the tree's nodes."""
 
-    def __init__(self, classes: int, dims: int = 8, seed: int = 3):
+    def __init__(self, tree: Tree, ids: int, dims: int = 16, seed: int = 3):
         rng = np.random.default_rng(seed)
-        draw = lambda *shape: (rng.standard_normal(shape) * 0.3 / math.sqrt(dims)).astype(np.float32)
-        self.classes, self.dims = classes, dims
-        self.p = {  # the last class of E and B is the start of a text
-            "E": draw(classes + 1, dims) * 3, "Q": draw(dims, dims) * 2, "K": draw(dims, dims) * 2, "V": draw(dims, dims) * 2, "PQ": draw(HALF, dims), "PK": draw(2 * HALF, dims),
-            "U": draw(dims, classes), "B": np.zeros((classes + 1, classes), np.float32),
+        draw = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
+        self.tree, self.dims = tree, dims
+        near = -0.1 * np.arange(2 * HALF)
+        self.p = {  # the last row of E is the start of a text; N's last column is the bias
+            "E": draw(0.5, ids + 1, dims), "N": np.concatenate((draw(0.02, ids - 1, dims), tree.bias[:, None]), axis=1),
+            "Q": draw(0.5 / math.sqrt(dims), dims, dims), "K": draw(0.5 / math.sqrt(dims), dims, dims), "V": draw(0.5 / math.sqrt(dims), dims, dims), "R": near.astype(np.float32),
         }
-        self.mask = np.where(np.arange(2 * HALF)[None, :] <= HALF + np.arange(HALF)[:, None], 0, -1e9).astype(np.float32)
+        self.back = np.arange(HALF)[:, None] + HALF - np.arange(2 * HALF)[None, :]  # how far a key lies before a query
+
+    def bias(self) -> np.ndarray:
+        return np.where(self.back >= 0, self.p["R"][np.maximum(self.back, 0)], np.float32(-1e9)).astype(np.float32)
 
-    def forward(self, inputs: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Logits (windows, HALF, classes) for what follows each input of the second halves."""
+    def tables(self) -> dict[str, np.ndarray]:
+        """Queries, keys and values of each id."""
         p = self.p
-        x = p["E"][inputs]
-        q = x[:, HALF:] @ p["Q"] + p["PQ"]
-        k = x @ p["K"] + p["PK"]
-        v = x @ p["V"]
-        a = q @ k.transpose(0, 2, 1)
-        a *= np.float32(1 / math.sqrt(self.dims))
-        a += self.mask
+        return {"E": p["E"], "q": p["E"] @ p["Q"] * np.float32(1 / math.sqrt(self.dims)), "k": p["E"] @ p["K"], "v": p["E"] @ p["V"], "bias": self.bias()}
+
+    @staticmethod
+    def contexts(tables: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the model knows after each input of the second halves (windows, HALF, dims), and the attention."""
+        late = inputs[:, HALF:]
+        a = tables["q"][late] @ tables["k"][inputs].transpose(0, 2, 1)
+        a += tables["bias"]
         a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
         a /= a.sum(axis=2, keepdims=True)
-        y = a @ v + x[:, HALF:]
-        return y @ p["U"] + p["B"][inputs[:, HALF:]], (x, q, k, v, a, y)
+        y = a @ tables["v"][inputs]
+        y += tables["E"][late]
+        return y, a
+
+    def decisions(self, y: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Probability of each decision on the ids' paths, and the paths."""
+        nodes, sides, owner, first = self.tree.paths(ids)
+        weights = self.p["N"][nodes]
+        z = np.einsum("ij,ij->i", y[owner], weights[:, :-1])
+        z += weights[:, -1]
+        z *= sides
+        np.clip(z, -30, 30, out=z)
+        np.negative(z, out=z)
+        np.exp(z, out=z)
+        z += 1
+        return 1 / z, nodes, sides, owner, first, weights
+
+    def log10_probabilities(self, tables: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """log10 probability of each target (windows, HALF), 0 where a target is below 0."""
+        y, _ = self.contexts(tables, inputs)
+        some = targets >= 0
+        out = np.zeros(targets.shape)
+        if some.any():
+            probability, *_, first, _ = self.decisions(y[some], targets[some])
+            out[some] = np.add.reduceat(np.log10(probability, dtype=np.float32), first, dtype=np.float64)
+        return out
 
-    def fast(self) -> _Tables:
-        return _Tables(self)
 
-    def step(self, inputs: np.ndarray, targets: np.ndarray, state: dict, rate: float, t: int) -> float:
-        """One step of Adam on windows; returns the mean loss (nats). targets < 0 do not count."""
-        p = self.p
-        logits, (x, q, k, v, a, y) = self.forward(inputs)
-        logits -= logits.max(axis=2, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(axis=2, keepdims=True)
-        counted = targets >= 0
-        n = max(int(counted.sum()), 1)
-        at = (*np.nonzero(counted), targets[counted])
-        loss = -float(np.log(np.maximum(prob[at], 1e-30)).sum()) / n
-        prob[at] -= 1
-        prob *= counted[:, :, None] / n
-        d, late = self.dims, inputs[:, HALF:]
-        g = {name: np.zeros_like(w) for name, w in p.items()}
-        np.add.at(g["B"], late.ravel(), prob.reshape(-1, self.classes))
-        g["U"] = y.reshape(-1, d).T @ prob.reshape(-1, self.classes)
-        dy = prob @ p["U"].T
-        dv = a.transpose(0, 2, 1) @ dy
-        da = dy @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(1 / math.sqrt(d))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["PQ"], g["PK"] = dq.sum(axis=0), dk.sum(axis=0)
-        g["Q"] = x[:, HALF:].reshape(-1, d).T @ dq.reshape(-1, d)
-        g["K"] = x.reshape(-1, d).T @ dk.reshape(-1, d)
-        g["V"] = x.reshape(-1, d).T @ dv.reshape(-1, d)
-        dx = dk @ p["K"].T + dv @ p["V"].T
-        dx[:, HALF:] += dq @ p["Q"].T + dy
-        np.add.at(g["E"], inputs.ravel(), dx.reshape(-1, d))
-        for name, w in p.items():
-            m, s = state.setdefault(name, (np.zeros_like(w), np.zeros_like(w)))
-            m += 0.1 * (g[name] - m)
-            s += 0.01 * (g[name] ** 2 - s)
-            w -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-        return loss
-
-
-class _Tables:
-    """The trained model with its projections looked up by class, for scoring."""
-
-    def __init__(self, model: Attention):
-        p, root = model.p, np.float32(1 / math.sqrt(model.dims))
-        self.q, self.k, self.v = (p["E"] @ p["Q"]) * root, p["E"] @ p["K"], p["E"] @ p["V"]
-        self.pq, self.pk, self.u, self.mask = p["PQ"] * root, p["PK"], p["U"], model.mask
-        self.own = p["E"] @ p["U"] + p["B"]
-
-    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target class, (windows, HALF)."""
-        late = inputs[:, HALF:]
-        q = self.q[late]
-        q += self.pq
-        k = self.k[inputs]
-        k += self.pk
-        a = q @ k.transpose(0, 2, 1)
-        a += self.mask
+class Learner:
+    """Adagrad over windows, row by row for embeddings and nodes; remembers where it began."""
+
+    def __init__(self, model: Attention, rate: float = 0.2):
+        self.model, self.rate = model, rate
+        self.began = {k: v.copy() for k, v in model.p.items()}
+        self.sums = {k: np.full(len(v) if k in "EN" else v.shape, 1e-6, np.float32) for k, v in model.p.items()}
+        self.used = {"E": np.zeros(len(model.p["E"]), np.float32), "N": np.zeros(len(model.p["N"]), np.float32)}
+        self.seen = 0
+
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, tuple | np.ndarray]]:
+        """Mean log probability (nats) and by parameter its gradient of the sum; E and N as (rows, gradient, uses)."""
+        m, p, late = self.model, self.model.p, inputs[:, HALF:]
+        x = p["E"][inputs]
+        root = np.float32(1 / math.sqrt(m.dims))
+        q, k, v = x[:, HALF:] @ p["Q"], x @ p["K"], x @ p["V"]
+        a = (q * root) @ k.transpose(0, 2, 1)
+        a += m.bias()
         a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        y = a @ self.v[inputs]
-        y /= a.sum(axis=2, keepdims=True)
-        logits = y @ self.u
-        logits += self.own[late]
-        hit = np.take_along_axis(logits, targets[:, :, None], 2)[:, :, 0]
-        top = logits.max(axis=2, keepdims=True)
-        logits -= top
-        np.exp(logits, out=logits)
-        return hit - top[:, :, 0] - np.log(logits.sum(axis=2))
+        a /= a.sum(axis=2, keepdims=True)
+        y = a @ v
+        y += x[:, HALF:]
+        some = targets >= 0
+        chosen, nodes, sides, owner, first, weights = m.decisions(y[some], targets[some])
+        mean = float(np.log(chosen).sum()) / len(first)
+        slope = (1 - chosen) * sides
+        push = slope[:, None] * weights[:, :-1]
+        dy = np.zeros_like(y)
+        dy[some] = np.add.reduceat(push, first)
+        pull = y[some][owner] * slope[:, None]
+        g: dict[str, tuple | np.ndarray] = {"N": _by_row(nodes, np.concatenate((pull, slope[:, None]), axis=1), len(p["N"]))}
+        dv = a.transpose(0, 2, 1) @ dy
+        ds = dy @ v.transpose(0, 2, 1)
+        ds -= (ds * a).sum(axis=2, keepdims=True)
+        ds *= a
+        g["R"] = np.bincount(np.maximum(m.back, 0).ravel(), np.where(m.back >= 0, ds.sum(axis=0), 0).ravel(), 2 * HALF).astype(np.float32)
+        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        dq *= root
+        dk *= root
+        flat = lambda t: t.reshape(-1, m.dims)
+        g["Q"], g["K"], g["V"] = flat(x[:, HALF:]).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
+        dx = dk @ p["K"].T
+        dx += dv @ p["V"].T
+        dx[:, HALF:] += dq @ p["Q"].T
+        dx[:, HALF:] += dy
+        g["E"] = _by_row(inputs.ravel(), flat(dx), len(p["E"]))
+        return mean, g
+
+    def step(self, inputs: np.ndarray, targets: np.ndarray) -> float:
+        mean, g = self.gradients(inputs, targets)
+        for name, value in g.items():
+            if name in self.used:
+                rows, value, uses = value
+                self.used[name][rows] += uses
+                value = value / uses[:, None]
+                self.sums[name][rows] += (value * value).mean(axis=1)
+                self.model.p[name][rows] += self.rate * value / np.sqrt(self.sums[name][rows])[:, None]
+            else:
+                value = value / targets.size
+                self.sums[name] += value * value
+                self.model.p[name] += np.float32(0.1 * self.rate) * value / np.sqrt(self.sums[name])
+        self.seen += int((targets >= 0).sum())
+        return mean
+
+    def changes(self) -> list[tuple[str, bytes, bytes, bytes]]:
+        """name, rows that were used, how often, by how much they moved; nothing if there were no windows."""
+        out = []
+        for name, value in self.model.p.items() if self.seen else ():
+            uses = self.used.get(name, np.full(len(value), self.seen, np.float32))
+            rows = np.flatnonzero(uses).astype(np.int32)
+            out.append((name, rows.tobytes(), uses[rows].tobytes(), (value[rows] - self.began[name][rows]).astype(np.float32).tobytes()))
+        return out
+
+
+def _by_row(rows: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows that occur, the sum of their values, and how often they occur."""
+    uses = np.bincount(rows, minlength=size)
+    found = np.flatnonzero(uses)
+    place = np.zeros(size, np.int64)
+    place[found] = np.arange(len(found))
+    at = place[rows]
+    columns = [np.bincount(at, values[:, k], len(found)) for k in range(values.shape[1])]
+    return found, np.stack(columns, axis=1).astype(np.float32), uses[found].astype(np.float32)
+
+
+class Average:
+    """Changes of many learners: their mean by row, weighted by uses."""
+
+    def __init__(self):
+        self.sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, name: str, rows: bytes, uses: bytes, moved: bytes) -> None:
+        at, w, v = np.frombuffer(rows, np.int32), np.frombuffer(uses, np.float32).astype(float), np.frombuffer(moved, np.float32)
+        v = v.reshape(len(at), -1)
+        size = int(at[-1]) + 1 if len(at) else 0
+        weight, total = self.sums.get(name, (np.zeros(0), np.zeros((0, v.shape[1]))))
+        if size > len(weight):
+            weight = np.concatenate((weight, np.zeros(size - len(weight))))
+            total = np.concatenate((total, np.zeros((size - len(total), v.shape[1]))))
+        weight[at] += w
+        total[at] += w[:, None] * v
+        self.sums[name] = weight, total
+
+    def rows(self) -> list[tuple[str, bytes, bytes, bytes]]:
+        out = []
+        for name, (weight, total) in self.sums.items():
+            at = np.flatnonzero(weight).astype(np.int32)
+            out.append((name, at.tobytes(), weight[at].astype(np.float32).tobytes(), (total[at] / weight[at, None]).astype(np.float32).tobytes()))
+        return out
+
+    def move(self, model: Attention) -> None:
+        for name, (weight, total) in self.sums.items():
+            at = np.flatnonzero(weight)
+            value = model.p[name] if model.p[name].ndim == 2 else model.p[name][:, None]
+            value[at] += (total[at] / weight[at, None]).astype(np.float32)
 
 
 def windows(sequences: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs (n, 2 * HALF), targets (n, HALF; -1 beyond the end) and the sequence of each window."""
-    sizes = np.array([len(s) for s in sequences])
+    sizes = np.array([len(s) for s in sequences], np.int64)
     counts = -(-sizes // HALF)
     room = counts * HALF
     base = np.cumsum(room + HALF) - (room + HALF)
@@ -143,72 +268,72 @@ def windows(sequences: list[np.ndarray], start: int) -> tuple[np.ndarray, np.nda
     return line[at[:, None] + np.arange(2 * HALF)], goal[at[:, None] + HALF + np.arange(HALF)], owner
 
 
-def cluster(sequences: np.ndarray, vocabulary: int, classes: int, seed: int = 5) -> np.ndarray:
-    """A class for each id: k-means on the hashed ids that stand before and after it; ids not seen go by their number."""
-    rng = np.random.default_rng(seed)
-    left, right = sequences[:, :-1].ravel(), sequences[:, 1:].ravel()
-    ok = (left >= 0) & (right >= 0)
-    left, right = left[ok], right[ok]
-    bucket = rng.integers(0, 64, vocabulary)
-    table = np.zeros((vocabulary, 128), np.float32)
-    np.add.at(table, (right, bucket[left]), 1)
-    np.add.at(table, (left, 64 + bucket[right]), 1)
-    seen = table.sum(axis=1)
-    out = np.arange(vocabulary) % classes
-    some = np.flatnonzero(seen)
-    if len(some) <= classes:
-        return out
-    x = np.sqrt(table[some] / seen[some, None])
-    order = np.argsort(-seen[some], kind="stable")
-    centers = x[order[:classes]].copy()
-    for _ in range(12):
-        near = (x @ centers.T - 0.5 * (centers * centers).sum(axis=1)).argmax(axis=1)
-        weight = np.bincount(near, seen[some], classes)
-        for dim in range(128):
-            centers[:, dim] = np.where(weight > 0, np.bincount(near, seen[some] * x[:, dim], classes) / np.maximum(weight, 1), centers[:, dim])
-    out[some] = (x @ centers.T - 0.5 * (centers * centers).sum(axis=1)).argmax(axis=1)
-    return out
-
-
 class SubwordModel:
-    """Classes of the ids, attention over classes, log10 probability of each id within its class."""
-
-    def __init__(self, counts: np.ndarray, sample: np.ndarray, end_id: int, classes: int = 64, steps: int = 300, batch: int = 192):
-        """counts: of each id in all training documents. sample: id windows (n, 3 * HALF), -1 beyond a text's end."""
-        self.end_id = end_id
-        self.cls = cluster(sample, len(counts), classes)
-        self.classes = classes
-        share = np.bincount(self.cls, counts + 0.5, classes)
-        self.log_share = np.log10((counts + 0.5) / share[self.cls])
-        model = Attention(classes)
-        mass = np.bincount(self.cls, counts, classes)
-        model.p["B"] += np.log((mass + 1) / (mass.sum() + classes)).astype(np.float32)
-        if len(sample):
-            rng, state = np.random.default_rng(11), {}
-            line = np.where(sample >= 0, self.cls[sample], -1)
-            inputs = np.where(line[:, : 2 * HALF] >= 0, line[:, : 2 * HALF], classes)
-            targets = line[:, HALF + 1 : 2 * HALF + 1]
-            for t in range(1, steps + 1):
-                rows = rng.integers(0, len(sample), min(batch, len(sample)))
-                model.step(inputs[rows], targets[rows], state, 0.03 * (1 - (t - 1) / steps) + 0.001, t)
-        self.tables = model.fast()
-
-    def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each text, a list of ids that ends with end_id."""
-        inputs, targets, owner = windows(texts, -1)
-        goal = np.where(targets >= 0, targets, self.end_id)
-        line = np.where(inputs >= 0, self.cls[inputs], self.classes)
+    """The tree of the ids' counts and the attention over them."""
+
+    def __init__(self, counts: np.ndarray, dims: int = 16):
+        """counts: of each id in all training texts."""
+        self.start = len(counts)
+        self.net = Attention(Tree(counts), len(counts), dims)
+
+    def learn(self, texts: Iterator[list[np.ndarray]], batch: int = 64, rate: float = 0.2) -> list[tuple[str, bytes, bytes, bytes]]:
+        """Go once over all windows of the texts, so many a step; returns the changes. The model itself moves too."""
+        learner = Learner(self.net, rate)
+        for some in texts:
+            inputs, targets, _ = windows(some, self.start)
+            order = np.random.default_rng(len(inputs)).permutation(len(inputs))  # neighbours share a step no more
+            for at in range(0, len(order), batch):
+                rows = order[at : at + batch]
+                learner.step(inputs[rows], targets[rows])
+        return learner.changes()
+
+    def score(self, texts: list[np.ndarray], tables: dict[str, np.ndarray] | None = None) -> np.ndarray:
+        """log10 probability of each text, a list of ids that ends with the end."""
+        tables = tables or self.net.tables()
+        inputs, targets, owner = windows(texts, self.start)
         out = np.zeros(len(texts))
-        for at in range(0, len(line), 512):
-            some = slice(at, at + 512)
-            logs = self.tables.log_probabilities(line[some], self.cls[goal[some]]) * _LOG10E + self.log_share[goal[some]]
-            out += np.bincount(owner[some], np.where(targets[some] >= 0, logs, 0).sum(axis=1), len(texts))
+        for at in range(0, len(inputs), 128):
+            some = slice(at, at + 128)
+            out += np.bincount(owner[some], self.net.log10_probabilities(tables, inputs[some], targets[some]).sum(axis=1), len(texts))
         return out
 
 
-def _subwords(ids: WordIds, texts: list[list[bytes]], end_id: int) -> list[np.ndarray]:
+_CHANGES = "name string, at binary, uses binary, moved binary"
+
+
+def _batch(rows: list[tuple[str, bytes, bytes, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["name", "at", "uses", "moved"])
+
+
+def averaged(changes: DataFrame, fan: int = 64) -> Average:
+    """The mean of all tasks' changes. Tasks add up ``fan`` others at a time; what comes back is as large as one model."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Average()
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total.add(*row)
+        yield _batch(total.rows())
+
+    left = changes.rdd.getNumPartitions()
+    while left > 1:
+        left = -(-left // fan)
+        changes = changes.repartition(left).mapInArrow(merge, _CHANGES)
+    total = Average()
+    for r in changes.toLocalIterator():
+        total.add(r["name"], bytes(r["at"]), bytes(r["uses"]), bytes(r["moved"]))
+    return total
+
+
+def _subwords(ids: WordIds, texts: list[list[bytes]]) -> list[bytes]:
+    """The ids of each text as 16-bit numbers."""
     ids.add(set().union(*texts))
-    return [np.append(np.frombuffer(ids.of(t), "<u4"), np.uint32(end_id)).astype(np.int64) for t in texts]
+    return [np.frombuffer(ids.of(t), "<u4").astype("<u2").tobytes() for t in texts]
+
+
+def _with_end(ids: bytes, end_id: int) -> np.ndarray:
+    return np.append(np.frombuffer(ids, "<u2").astype(np.int64), end_id)
 
 
 def word_counts(texts: DataFrame, most: int = 400_000) -> DataFrame:
@@ -233,34 +358,60 @@ def word_counts(texts: DataFrame, most: int = 400_000) -> DataFrame:
     return texts.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _frequent(counts: DataFrame, most_words: int, most_bytes: int = 64) -> tuple[dict[str, int], float]:
-    """Words of up to most_bytes with at least ``least`` occurrences, least so that they are at most most_words."""
-    short = F.octet_length("word") <= most_bytes
-    bands = counts.filter(short).groupBy(F.floor(F.log2("c") * 16).cast("int").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low")).collect()
+def _key(word: bytes) -> bytes:
+    """A word, or if it is long its digest after a byte that no word begins with."""
+    return word if len(word) <= 64 else b"\xff" + hashlib.sha256(word).digest()
+
+
+def _frequent(counts: DataFrame, most_words: int) -> tuple[dict[bytes, float], float]:
+    """log10(c + 1) by _key() of the words with at least ``least`` occurrences, least so that they are at most most_words."""
+    bands = counts.groupBy(F.floor(F.log2("c") * 16).cast("int").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low")).collect()  # some hundred rows
     total, least = 0, math.inf
     for r in sorted(bands, key=lambda r: -r["band"]):
         total += r["n"]
         if total > most_words:
             break
         least = r["low"]
-    return {r["word"]: r["c"] for r in counts.filter(short & (F.col("c") >= least)).collect()} if least < math.inf else {}, least
+    if least == math.inf:
+        return {}, least
+    word = F.col("word").cast("binary")
+    key = F.when(F.octet_length("word") <= 64, word).otherwise(F.concat(F.lit(b"\xff"), F.unhex(F.sha2(word, 256))))
+    return {bytes(r["key"]): math.log10(r["c"] + 1) for r in counts.filter(F.col("c") >= least).select(key.alias("key"), "c").collect()}, least
+
+
+def train(encoded: DataFrame, counts: np.ndarray, end_id: int, rounds: int = 4) -> SubwordModel:
+    """A model that has seen every window of encoded (id, ids: 16-bit numbers) once, a share of the texts in each round.
+
+    A text's round comes from a hash of its id and ids, so every text has one whatever its id.
+    """
+    model = SubwordModel(counts)
+    dealt = F.pmod(F.xxhash64("id", F.lit(41), F.substring("ids", 1, 4096)), F.lit(rounds))
+    for k in range(rounds):
+        shared = encoded.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=0.2 / (k + 1)) -> Iterator[pa.RecordBatch]:
+            own: SubwordModel = copy.deepcopy(shared.value)  # a worker's copy of a broadcast serves later tasks too
+            yield _batch(own.learn(([_with_end(x, end_id) for x in part.column(0).to_pylist()] for batch in batches for part in slices(batch, 0, 256, 1 << 20)), rate=rate))
+
+        averaged(encoded.filter(dealt == k).select("ids").mapInArrow(run, _CHANGES)).move(model.net)
+        shared.unpersist()
+    return model
 
 
 def score_documents(
-    docs: DataFrame, held_out: Column, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 49407, vocabulary: int = 49408,
-    most_windows: int = 20_000, sample_docs: int = 2_000, most_words: int = 1 << 18,
+    docs: DataFrame, held_out: Column, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 49407, vocabulary: int = 49408, most_words: int = 1 << 18
 ) -> DataFrame:
-    """Score every whole text, with models that learn from the rows where held_out is false.
+    """Score every whole text, with models that learn from all rows where held_out is false.
 
-    held_out: a column of docs. most_windows, sample_docs: the bound of the sample for the attention weights (of about
-    sample_docs documents chosen by a hash of the id, so many windows). most_words: words whose counts are broadcast
-    (at most 64 bytes each); all others are looked up by a join.
+    held_out: a column of docs. most_words: words whose counts are broadcast (at most 64 bytes each, longer ones by a
+    digest); all others are looked up by a join. vocabulary: ids of the tokenizer, 65,536 at most.
 
     Returns one row per input row: id_col, held_out, n_tokens (words and one end), n_known (those that training texts
     contain), train_tokens, base_score (add-one unigram log10 probability of the words), score (log10 probability of
     the text's subword ids and its end under the model). Null and empty texts are the end alone. Rows with null or
-    repeated ids are scored like others. With no training rows every count is 0. Columns not named are not read.
-    """
+    repeated ids are learned and scored like others. With no training rows every count is 0 and the model knows no id
+    from another. Very long texts are scored whole. Columns not named are not read. An empty table gives an empty result.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     training = rows.filter(~F.col("held_out"))
@@ -271,10 +422,9 @@ def score_documents(
     frequent, least = _frequent(counts, most_words)
 
     def subword_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sums = word_ids(tokenizer_path), np.zeros(vocabulary, np.int64)
+        ids, sums = word_ids(tokenizer_path, True), np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                part = batch.slice(at, 8192)
+            for part in slices(batch, 0, 8192):
                 words = part.column(0).cast(pa.binary()).to_pylist()
                 ids.add(set(words))
                 own = [ids.known[w] for w in words]
@@ -287,51 +437,49 @@ def score_documents(
     for r in by_id:
         subs[r["sub"]] = r["c"]
     subs[end_id] += n_docs
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_ids(tokenizer_path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                texts = [words_of(t) for t in batch.column(0).slice(at, 256).to_pylist()]
-                lines = [np.concatenate((np.full(HALF, -1), s, np.full(HALF, -1))) for s in _subwords(ids, texts, end_id)]
-                found = [line[k : k + 3 * HALF] for line in lines for k in range(0, len(line) - 2 * HALF, HALF)]
-                found = [np.pad(f, (0, 3 * HALF - len(f)), constant_values=-1).astype(np.int32) for f in found]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["w"])
-
-    rate = min(1.0, sample_docs / max(n_docs, 1))
-    some = training.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(rate * 1_000_000)).select("t")
-    found = some.mapInArrow(sampled, "w array<int>").orderBy(F.xxhash64("w")).limit(most_windows).collect()
-    sample = np.array([r["w"] for r in found], np.int64).reshape(len(found), 3 * HALF)
-    model = SubwordModel(subs, sample, end_id)
-    shared = spark.sparkContext.broadcast((model, {w.encode(): math.log10(c + 1) for w, c in frequent.items()}))
+    shared = spark.sparkContext.broadcast(frequent)
     end_log, end_known = math.log10(n_docs + 1), int(n_docs > 0)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, logs = shared.value
-        ids = word_ids(tokenizer_path)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = shared.value
+        ids = word_ids(tokenizer_path, True)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in slices(batch, 1, 256):
                 texts = [words_of(t) for t in part.column(1).to_pylist()]
                 known, base, rare = [], [], []
                 for words in texts:
                     values = list(map(logs.get, words))
-                    missing = [w for w, x in zip(words, values, strict=True) if x is None]
+                    missing = []
+                    for k, x in enumerate(values):
+                        if x is None and len(words[k]) > 64:
+                            x = values[k] = logs.get(_key(words[k]))
+                        if x is None:
+                            missing.append(words[k])
                     known.append(len(words) - len(missing) + end_known)
                     base.append(math.fsum(x for x in values if x is not None) + end_log)
                     rare.append(b" ".join(missing).decode())
-                score = own.score(_subwords(ids, texts, end_id))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.string()), pa.array(score)],
-                    names=["id", "held_out", "n_tokens", "n_known", "base", "rare", "score"],
+                    [part.column(0), part.column(2), pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.string()), pa.array(_subwords(ids, texts), pa.binary())],
+                    names=["id", "held_out", "n_tokens", "n_known", "base", "rare", "ids"],
                 )
 
     id_type = rows.schema["id"].dataType.simpleString()
-    per = rows.mapInArrow(scored, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base double, rare string, score double")
-    per = cut_lineage(per.withColumn("row", F.monotonically_increasing_id()))
-    others = counts.filter((F.col("c") < least) | (F.octet_length("word") > 64)) if frequent else counts
-    words = per.filter("rare <> ''").select("row", F.explode(F.split("rare", " ")).alias("word"))
-    extra = words.join(others, "word").groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_base"))
+    encoded = rows.mapInArrow(read, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base double, rare string, ids binary")
+    encoded = cut_lineage(encoded.withColumn("row", F.monotonically_increasing_id()))
+    model = spark.sparkContext.broadcast(train(encoded.filter(~F.col("held_out")), subs, end_id))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, tables = model.value, model.value.net.tables()
+        for batch in batches:
+            for part in slices(batch, 6, 256, 1 << 20):
+                score = own.score([_with_end(x, end_id) for x in part.column(6).to_pylist()], tables)
+                yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "base", "row", "score"])
+
+    per = encoded.select("id", "held_out", "n_tokens", "n_known", "base", "row", "ids")
+    per = per.mapInArrow(scored, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base double, row long, score double")
+    others = counts.filter(F.col("c") < least) if frequent else counts
+    words = encoded.filter("rare <> ''").select("row", F.explode(F.split("rare", " ")).alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("k"))
+    extra = words.join(others, "word").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("more_base"))
     none = math.log10(total + kinds + 1)
     return per.join(extra, "row", "left").select(
         F.col("id").alias(id_col),
