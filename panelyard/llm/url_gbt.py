@@ -46,12 +46,17 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
 
 
 def _entropy(text: Column) -> Column:
-    """Bits a character of the text's character distribution; 0 for the empty text."""
+    """Bits a character of the text's character distribution; 0 for the empty text. Counts runs of the sorted characters."""
     n = F.length(text)
-    of = lambda c: (n - F.length(F.replace(text, c, F.lit("")))).cast("double")
-    total = lambda distinct: F.aggregate(distinct, F.lit(0.0), lambda acc, c: acc + let(of(c), lambda k: k * F.log2(k)))
-    chars = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
-    return F.when(n > 0, F.log2(n) - total(chars) / n).otherwise(0.0)
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    bits = lambda run: run * F.log2(F.greatest(run, F.lit(1.0)))
+    start = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
+
+    def step(acc: Column, c: Column) -> Column:
+        same = acc["c"] == c
+        return F.struct(c.alias("c"), F.when(same, acc["run"] + 1).otherwise(1.0).alias("run"), F.when(same, acc["total"]).otherwise(acc["total"] + bits(acc["run"])).alias("total"))
+
+    return F.when(n > 0, F.log2(n) - F.aggregate(chars, start, step, lambda acc: acc["total"] + bits(acc["run"])) / n).otherwise(0.0)
 
 
 def features(urls: DataFrame, url_col: str = "url") -> DataFrame:
@@ -84,13 +89,15 @@ def features(urls: DataFrame, url_col: str = "url") -> DataFrame:
 class UrlModel:
     """Trees and the suffix statistics of the labelled URLs; ``trees`` is None if not both labels were there."""
 
-    def __init__(self, trees: GBTClassificationModel | None, top: DataFrame, domain: DataFrame, prior: float):
-        self.trees, self.top, self.domain, self.prior = trees, top, domain, prior
+    def __init__(self, trees: GBTClassificationModel | None, suffixes: dict[str, DataFrame], prior: float):
+        """suffixes: for top and domain key (hash of the suffix), rate and log_count, a row of 24 bytes for each suffix of the sample."""
+        self.trees, self.suffixes, self.prior = trees, suffixes, prior
 
     def with_suffixes(self, df: DataFrame) -> DataFrame:
-        for name, stats in (("top", self.top), ("domain", self.domain)):
-            df = df.join(F.broadcast(stats), name, "left").fillna({f"{name}_rate": self.prior, f"{name}_log_count": 0.0})
-        return df
+        for name, stats in self.suffixes.items():
+            renamed = stats.select(F.col("key").alias(f"{name}_key"), F.col("rate").alias(f"{name}_rate"), F.col("log_count").alias(f"{name}_log_count"))
+            df = df.withColumn(f"{name}_key", F.xxhash64(name)).join(F.broadcast(renamed), f"{name}_key", "left").drop(f"{name}_key")
+        return df.fillna({f"{name}_rate": self.prior for name in self.suffixes} | {f"{name}_log_count": 0.0 for name in self.suffixes})
 
     def block_score(self, df: DataFrame) -> DataFrame:
         """df (with features()) with block_score, the trees' probability of a block."""
@@ -100,26 +107,42 @@ class UrlModel:
         return self.trees.transform(ready).withColumn("block_score", vector_to_array("__p")[1]).drop("__x", "__r", "__p", "__y", *SUFFIX)
 
 
-def train(labelled: DataFrame, most_rows: int = 20_000, trees: int = 15, depth: int = 4, smoothing: float = 20.0) -> UrlModel:
-    """Fit trees on labelled (features() and label: 1 block, 0 allow).
+def bounded_sample(labelled: DataFrame, most_rows: int) -> DataFrame:
+    """labelled with a column ``place`` (a hash of url and row, so rows with one url are apart), most_rows rows at most.
 
-    most_rows: documented bound of the sample that is learned from; of more rows those with the least hash of host and
-    path are taken, about so many. Suffix rates are pulled to the overall rate as by ``smoothing`` more rows.
-    So the two suffix tables have at most about most_rows rows each, and only they are broadcast.
+    Of more rows those with the least places are taken: first about 1.2 times as many by a threshold, then exactly.
     """
+    placed = labelled.withColumn("place", F.xxhash64("host", "path", F.monotonically_increasing_id()))
     n = labelled.count()
-    sample = labelled if n <= most_rows else labelled.filter(F.pmod(F.xxhash64("host", "path", *LEXICAL), F.lit(1_000_003)) < int(1_000_003 * most_rows / n))
-    sample = cut_lineage(sample.select("host", "path", "top", "domain", "label", *LEXICAL).repartition(8, "host", "path"))
-    total, blocked = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    prior = float(blocked) / total if total else 0.0
+    if n <= most_rows:
+        return placed
+    share = min(1.0, 1.2 * most_rows / n)
+    return placed.filter(F.col("place") <= int(-(2**63) + share * (2**64 - 1025))).orderBy("place").limit(most_rows)
 
-    def stats(name: str) -> DataFrame:
-        rate = (F.sum("label") + smoothing * prior) / (F.count(F.lit(1)) + smoothing)
-        return cut_lineage(sample.groupBy(name).agg(rate.alias(f"{name}_rate"), F.log1p(F.count(F.lit(1))).alias(f"{name}_log_count")))
 
-    model = UrlModel(None, stats("top"), stats("domain"), prior)
+def train(labelled: DataFrame, most_rows: int = 20_000, trees: int = 15, depth: int = 4, smoothing: float = 20.0, folds: int = 4) -> UrlModel:
+    """Fit trees on labelled (features() and label: 1 block, 0 allow).
+
+    most_rows: documented bound of the sample that is learned from, see bounded_sample(). Suffix rates are pulled to
+    the overall rate as by ``smoothing`` more rows. The trees see out-of-fold rates: those of the other folds' rows, so
+    no row sees its own label. The two suffix tables have at most most_rows rows each, and only they are broadcast.
+    """
+    sample = bounded_sample(labelled, most_rows).select("place", "top", "domain", "label", *LEXICAL)
+    sample = cut_lineage(sample.repartition(8, "place")).withColumn("fold", F.pmod("place", F.lit(folds)))
+    total, blocked = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    prior = float(blocked) / total if total else 0.0
+    rate = lambda label, rows: (label + smoothing * prior) / (rows + smoothing)
+    suffixes, inner = {}, sample
+    for name in ("top", "domain"):
+        by_fold = cut_lineage(sample.groupBy(F.xxhash64(name).alias("key"), "fold").agg(F.sum("label").alias("label"), F.count(F.lit(1)).alias("rows")))
+        whole = by_fold.groupBy("key").agg(F.sum("label").alias("all_label"), F.sum("rows").alias("all_rows"))
+        suffixes[name] = cut_lineage(whole.select("key", rate(F.col("all_label"), F.col("all_rows")).alias("rate"), F.log1p(F.col("all_rows") * (folds - 1) / folds).alias("log_count")))
+        label, rows = F.col("all_label") - F.col("label"), F.col("all_rows") - F.col("rows")
+        others = by_fold.join(whole, "key").select(F.col("key").alias(f"{name}_key"), "fold", rate(label, rows).alias(f"{name}_rate"), F.log1p(rows).alias(f"{name}_log_count"))
+        inner = inner.withColumn(f"{name}_key", F.xxhash64(name)).join(F.broadcast(others), [f"{name}_key", "fold"])
+    model = UrlModel(None, suffixes, prior)
     if 0 < blocked < total:
-        ready = VectorAssembler(inputCols=LEXICAL + SUFFIX, outputCol="__x").transform(model.with_suffixes(sample))
+        ready = VectorAssembler(inputCols=LEXICAL + SUFFIX, outputCol="__x").transform(inner)
         boosting = GBTClassifier(featuresCol="__x", labelCol="label", predictionCol="__y", maxIter=trees, maxDepth=depth, maxBins=64, stepSize=0.3, seed=17)
         model.trees = boosting.setRawPredictionCol("__r").setProbabilityCol("__p").fit(ready)
     return model
@@ -130,7 +153,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
 
     verdict is the longest fitting rule's; else ``block`` if block_score is 0.5 or more, else ``allow``. labelled:
     url and label (1 block, 0 allow) to learn from; by default the pages that rules decide. Without both labels the
-    trees allow everything. Null urls are judged as empty ones. Other columns are not read.
+    trees allow everything. Null urls are judged as empty ones, very long ones whole. Repeated rows and null ids are
+    judged like others. Other columns are not read. An empty table gives an empty result.
     """
     df = features(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")))
     df = df.withColumn("m", matched_rule(F.col("host"), F.col("path"), rules))
