@@ -22,15 +22,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.llm._common import cut_lineage, small
+from panelyard.llm._common import cut_lineage, free_name, slices, small
 
 _SEED = 20_240_607
+#: Sets with one shingle among their first that one task compares with all others.
+_HOLDERS = 1000
 
 
 class _WordHashes(dict):
     """word -> 64-bit hash, filled as words turn up and emptied when it holds ``most`` words."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -72,7 +74,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, side: int,
     b = rng.integers(0, 2**63, 2 * side * width, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, 1024)):
             sizes, digests, sigs = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, words)
@@ -106,8 +108,9 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
+            for part in slices(batch, 1, 1024):
+                found = [shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
 
     return docs.mapInArrow(run, f"id {id_type}, shingles binary")
 
@@ -177,15 +180,20 @@ def _pairs_by_prefix(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFra
     place = F.row_number().over(by_doc.orderBy("f", "h")) + F.col("n") - F.count(F.lit(1)).over(by_doc)
     first = shared.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     first = cut_lineage(first.filter("low <> high").select("h", "id", "label", "n", (F.col("n") - F.col("place") + 1).alias("room")))
-    x, y = (first.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "label", "n", "room")]) for k in "ab")
-    x, y = x.withColumnRenamed("id_a", "a"), y.withColumnRenamed("id_b", "b")
+    # a shingle that stands first in many sets is dealt out: each of its sets to one share, to be met there by all
+    shares = F.ceil(F.col("holders") / F.lit(_HOLDERS)).cast("int")
+    often = cut_lineage(first.groupBy("h").agg(F.count(F.lit(1)).alias("holders")).filter(F.col("holders") > _HOLDERS).select("h", shares.alias("shares")))
+    first = first.join(small(often), "h", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    x, y = (first.select("h", "shares", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "label", "n", "room")]) for k in "ab")
+    x = x.withColumnRenamed("id_a", "a").withColumn("share", F.pmod(F.xxhash64("a"), "shares").cast("int")).drop("shares")
+    y = y.withColumnRenamed("id_b", "b").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
     fits = (
         (F.col("a") > F.col("b"))
         & (F.col("label_a") != F.col("label_b"))
         & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
         & (F.least("room_a", "room_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
     )
-    return x.join(y, "h").filter(fits).select("a", "b").distinct()
+    return x.join(y, ["h", "share"]).filter(fits).select("a", "b").distinct()
 
 
 def near_duplicates(
@@ -199,14 +207,20 @@ def near_duplicates(
     Returns one row per input row: id_col, n_shingles, component_id (smallest id reachable), kept (id = component_id).
     Null, empty and blank texts have no shingle and are linked with nothing. A row with a null id is linked with
     nothing and kept, its component_id is null. Rows that repeat an id are one node of the graph; each is
-    judged by its own text. Columns other than the two named are not read. An empty table gives an empty result.
+    judged by its own text. Very long texts are read whole. Columns other than the two named are not read. An empty table gives an empty result.
     """
     sketched = cut_lineage(sketches(docs, id_col, text_col, words, side, width))
     some = sketched.filter("id is not null and n > 0")
     classes = cut_lineage(some.groupBy("digest", "n", "sig").agg(F.min("id").alias("rep")))
-    first, second = F.slice("sig", 1, side), F.slice("sig", side + 1, side)
-    tensor = F.flatten(F.transform(first, lambda x, i: F.transform(second, lambda y, j: F.xxhash64(i, j, x, y))))
-    keyed = classes.select("rep", F.explode(tensor).alias("key"))
+    # a class joins a table's bucket with others only if it shares both sub-keys of the pair: most share none
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    single = classes.select("rep", "sig").repartition(parts, "rep").select("rep", F.posexplode("sig").alias("i", "x"))
+    single = single.select("rep", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("x").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("k"))
+    common = single.groupBy("k").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("k")
+    held = single.join(cut_lineage(common), "k", "left_semi").groupBy("rep").agg(F.collect_list("k").alias("k"))  # 2 * side at most
+    of = lambda test: F.filter("k", lambda k: test(F.shiftright(k, 32)))
+    pairs = F.flatten(F.transform(of(lambda i: i < side), lambda x: F.transform(of(lambda i: i >= side), lambda y: F.xxhash64(x, y))))
+    keyed = cut_lineage(held.select("rep", F.explode(pairs).alias("key")))
     shared = cut_lineage(keyed.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("other")).filter("center <> other").select("key", "center"))
     members = cut_lineage(keyed.join(shared, "key"))
     stars = members.filter("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
@@ -227,20 +241,23 @@ def near_duplicates(
             labels = components(links.union(found))
     of_class = classes.select("digest", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     of_class = cut_lineage(of_class)
-    component = F.when(F.col("n") > 0, F.coalesce("label", "id")).otherwise(F.col("id"))
-    return sketched.join(of_class, "digest", "left").select(
+    judged = sketched.filter("n > 0").join(of_class, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("label", "id")).alias("component"))
+    blank = sketched.filter("n = 0").select("id", "n", F.col("id").alias("component"))  # no digest, no partner: they do not meet in a join
+    return judged.unionByName(blank).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), component).alias("component_id"),
-        F.when(F.col("id").isNotNull(), F.col("id") == component).otherwise(F.lit(True)).alias("kept"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, **more: int) -> DataFrame:
     """The rows of docs, all columns, with one document of each component of near_duplicates(): that with the smallest id.
 
-    Rows that repeat that id all stay: tell them apart by an exact deduplication before.
+    Rows that repeat that id all stay: tell them apart by an exact deduplication before. Null ids and texts without a
+    word stay. Columns may have any names.
     """
     judged = near_duplicates(docs, id_col, text_col, words, percent, **more)
-    dropped = cut_lineage(judged.filter(~F.col("kept")).select(F.col(id_col).alias("__id")).distinct())
-    return docs.join(small(dropped), docs[id_col] == F.col("__id"), "left_anti")
+    name = free_name(docs, "dropped_id")
+    dropped = cut_lineage(judged.filter(~F.col("kept")).select(F.col(id_col).alias(name)).distinct())
+    return docs.join(small(dropped), docs[id_col] == F.col(name), "left_anti")
