@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm._common import cut_lineage, small
+from panelyard.llm._common import cut_lineage, free_name, slices, small
 
 #: Multiplier of the byte-window hash: a fixed odd 32-bit number (2^32 divided by the golden ratio).
 _MIX = 2654435761
@@ -63,7 +63,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, 1024)):
             recipes, hashes, parts = [], [], []
             for text in batch.column(1).to_pylist():
                 data = (text or "").encode()
@@ -110,6 +110,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def grouped(chunked: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """exact_duplicates() of the rows of chunks(): verify identifiers, then compare recipes."""
     clashes = cut_lineage(colliding_identifiers(chunked))
+    # texts are cut a second time for the recipes: that costs less than to write and read every chunk in between
     recipes = chunked.select("id", "recipe", "text_sha256")
     if not clashes.isEmpty():  # two contents under one 128-bit identifier: such documents are told apart by their whole text's sha256 too
         bad = clashes.select(F.col("chunk").alias("c"))
@@ -131,12 +132,17 @@ def grouped(chunked: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
-    """The rows of docs, all columns, whose document exact_duplicates() keeps; of a row repeated with id and text, one."""
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    judged = exact_duplicates(docs, id_col, text_col, **sizes).select(F.col(id_col).alias("__id"), "kept", F.col("text_sha256").alias("__sha"))
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
-    dropped = cut_lineage(judged.filter(~F.col("kept")).select("__id", "__sha").distinct())
-    repeated = cut_lineage(judged.filter("kept").groupBy("__id", "__sha").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"))
+    """The rows of docs, all columns, whose document exact_duplicates() keeps; of a row repeated with id and text, one.
+
+    Null texts count as empty and are equal to each other; of such rows with one null id one stays. Columns may have
+    any names.
+    """
+    i, d, r = (free_name(docs, x) for x in ("judged_id", "judged_digest", "judged_rows"))
+    short = lambda sha: F.unhex(F.substring(sha, 1, 32))  # noqa: E731  16 bytes of it tell texts with one id apart
+    judged = exact_duplicates(docs, id_col, text_col, **sizes).select(F.col(id_col).alias(i), F.col("kept").alias(r), short(F.col("text_sha256")).alias(d))
+    same = docs[id_col].eqNullSafe(F.col(i)) & (short(F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)) == F.col(d))
+    dropped = cut_lineage(judged.filter(~F.col(r)).select(i, d).distinct())
+    repeated = cut_lineage(judged.filter(r).groupBy(i, d).agg(F.count(F.lit(1)).alias(r)).filter(F.col(r) > 1).drop(r))
     left = docs.join(small(dropped), same, "left_anti")
     if repeated.isEmpty():
         return left
