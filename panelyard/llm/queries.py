@@ -111,9 +111,13 @@ windows AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM d, unne
 twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, unnest(range(0, 8)) AS u(k) GROUP BY doc_id),
 line AS (SELECT doc_id, l, list_filter(string_split_regex(l, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
-  length(regexp_replace(l, '[\\x20\\x09-\\x0D]+', '', 'g')) AS chars FROM d, unnest(lines) AS u(l)),
-judged AS (SELECT doc_id, chars,
-  len(list_filter(w, lambda x: x IN (%s))) * 5 >= len(w)
+  length(regexp_replace(l, '[\\x20\\x09-\\x0D]+', '', 'g')) AS chars,
+  coalesce(h[i], false) AND ((coalesce(h[i - 1], false) AND (coalesce(h[i + 1], false) OR coalesce(h[i - 2], false))) OR (coalesce(h[i + 1], false) AND coalesce(h[i + 2], false))) AS menu
+  FROM (SELECT doc_id, lines[i] AS l, list_concat([false, false], h) AS h, i + 2 AS i FROM
+    (SELECT doc_id, lines, list_transform(lines, lambda x: regexp_matches(x, '%s') AND NOT regexp_matches(x, '%s')) AS h FROM d), unnest(range(1, len(lines) + 1)) AS u(i))),
+judged AS (SELECT doc_id, chars, menu
+  OR len(list_filter(w, lambda x: x IN (%s))) * 5 >= len(w)
+  OR len(list_filter(w, lambda x: contains(x, '://') OR contains(x, 'www.'))) * 3 >= len(w)
   OR (length(l) - length(regexp_replace(l, '[#*$%%&|<>]', '', 'g')) >= 3 AND (length(l) - length(regexp_replace(l, '[#*$%%&|<>]', '', 'g'))) * 2 > len(w))
   OR ((length(l) - length(replace(l, '!!', ''))) // 2 + (length(l) - length(replace(l, '??', ''))) // 2) * 4 >= len(w)
   OR (chars >= 8 AND (length(l) - length(regexp_replace(l, '[A-Z]', '', 'g'))) * 2 > chars)
@@ -126,6 +130,8 @@ b AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 2 * (word_chars - clean_word_chars) <= word_chars AS kept FROM b
 """ % (
+    quality_rules.SHORT.replace("'", "''"),
+    quality_rules.ENDED.replace("'", "''"),
     ", ".join(f"'{s}'" for s in quality_rules.SEPARATORS),
     " OR ".join(f"contains(lower(l), '{p}')" for p in quality_rules.BOILERPLATE),
 )
