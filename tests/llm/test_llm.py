@@ -143,23 +143,45 @@ def test_op3_skeleton_pages_and_odd_html(spark, sf_dir):
         inner = re.search("<article>(.*)</article>", pages[r["page_id"]], re.S)[1]
         blocks = [" ".join(unescape(re.sub("</?(?:b|br)>", "", b)).split()) for b in re.split("</?(?:p|h1)>", inner)]
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+    tail = ("w " * 50).strip()
     cases = {
         None: "", "": "", "plain": "plain", "<nav>x</nav><footer>y</footer>": "", "<p>a &amp; b&#233;<p> c\n d": "a & bé\nc d", "<p>a < b</p>": "a < b", "<!-- <p>no</p> --><p>yes<br>no": "yes no",
         "<article><h1>T</h1><aside>no</aside><p>A</p><div class='comments'>c</div><p>B</p></article><footer>f": "T\nA\nB", "<script>a<b</script><p>k</p>": "k", "<p title='x>y'>q</p>": "q",
         "<div class='sidebar'>s<div>t</div></div><p>m</p>": "m", "<p>unclosed <b": "unclosed <b", "<form><p>f</p></form><main><p>M</p></main>": "M",
+        # raw elements, ends that are missing, names that only hint, articles that are furniture
+        "<article><p>a</p><svg/><p>b</p></article>": "a\nb", "<select><option>x<option>y</select><p>z</p>": "z", "<SCRIPT>q</SCRIPT><p>İ</p><SCRIPT>q</SCRIPT><p>k</p>": "İ\nk", "<iframe><p>x</p>": "x",
+        "<article><p>one</p><p class='ad'>buy<p>two</p></article>": "one\ntwo", "<article><div class='ad'>unclosed<p>x</p></article>": "", "<article><p>x</p><div class='related-work'>y</div><p id='form-of-verse'>z</p></article>": "x\ny\nz",
+        "<aside><article>teaser</article></aside><article><p>real</p></article>": "real", "<div class='comments'><article>c</article></div><p>t</p>": "t", "<article>a <span class='ad'>no <b>x</b></span>b</article>": "a b",
+        "<table><tr><td>a<td>b<tr><td>c</table>": "a b\nc", "<article><header><h1>T</h1></header><p>u</p></article>": "T\nu", "<div class='site-footer'>f</div><p>m</p>": "m",
+        # the distribution decides: lists of links are no text, in an article or before one
+        f"<article><p>{tail}</p><ul><li><a>p</a><li><a>q</a><li><a>r</a></ul></article>": tail, f"<ul><li><a>Home</a></li><li><a>News</a></li><li><a>Shop</a></li></ul><div>{tail}</div>": tail,
+        f"<article><p>{tail}</p><p><a>s</a></p><p>end</p></article>": f"{tail}\ns\nend", "<p>a<a href=x>b</a></p>": "ab", "<p><a href=x>b</a></p>": "b",
+        f"<div>outside the article</div><article><p>{tail}</p></article><div>more outside</div>": tail,
     }
     for html, want in cases.items():
         assert html_extract.main_text(html) == want, html
-    df = spark.createDataFrame([(i, None, h, "clash") for i, h in enumerate(cases)], "page_id long, url string, html string, text string")
-    assert [r["text"] for r in html_extract.extract(df).orderBy("page_id").collect()] == list(cases.values())
+    df = spark.createDataFrame([(None if i % 5 == 0 else i // 2, None, h, "clash", i) for i, h in enumerate(cases)], "page_id long, url string, html string, text string, n_chars long")
+    assert sorted(r["text"] for r in html_extract.extract(df).collect()) == sorted(cases.values())
+    assert html_extract.extract(df.limit(0)).count() == 0
 
 
 def test_op3_without_article_keeps_the_dense_run():
+    menu = "<ul>" + "<li>x</li>" * 3 + "</ul>"
     body = "".join(f"<p>{'word ' * 30}</p>" for _ in range(5))
-    page = "<ul>" + "<li>x</li>" * 3 + "</ul>" + "<div></div>" * 5 + body + "<div></div>" * 5 + "<p>tail</p>"
+    links = "<div><a>one</a></div><div><a>two</a></div><div><a>three</a></div>"
+    page = f"{links}{menu}{links}{body}{links}<p>tail</p>"
     assert html_extract.main_text(page) == "\n".join(["word " * 29 + "word"] * 5)
 
 
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<p class='", "<div>", "<div></x>", "<!--", "<iframe>", "</", "<b hidden>", "<li>", "<span class=ad><i>", "&amp;", "<article>", "<svg>x"])
+def test_op3_time_grows_with_the_page(piece):
+    import time
+
+    began = time.perf_counter()
+    html_extract.main_text(piece * 100_000)
+    assert time.perf_counter() - began < 10
+
+
 def test_op4_base_counts_and_model(spark, sf_dir):
     docs = {d: (t or "").encode().lower().split() for d, t in _documents(spark, sf_dir).items()}
     test = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in docs}
@@ -178,62 +200,92 @@ def test_op4_base_counts_and_model(spark, sf_dir):
     assert {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in again} == {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in rows}
 
 
-def _model(classes=16):
-    rng = np.random.default_rng(0)
-    chain = np.cumsum(rng.integers(1, 3, (400, 48)), axis=1) % 40
-    lines = [np.concatenate((np.full(16, -1), row, np.full(16, -1))) for row in chain]
-    sample = np.array([line[k : k + 48] for line in lines for k in range(0, len(line) - 32, 16)])
-    return lm_scoring.SubwordModel(np.bincount(chain.ravel(), minlength=50), sample, 49, classes=classes, steps=200), chain
+def _model(passes=12):
+    chain = np.cumsum(np.random.default_rng(0).integers(1, 3, (400, 48)), axis=1) % 40
+    model = lm_scoring.SubwordModel(np.bincount(chain.ravel(), minlength=50))
+    model.learn(([*chain] for _ in range(passes)), batch=32)
+    return model, chain
 
 
 def test_op4_windows_score_each_id_once_and_never_look_ahead():
-    texts = [np.arange(n) for n in (1, 15, 16, 17, 100)]
+    half = lm_scoring.HALF
+    texts = [np.arange(n) for n in (1, half - 1, half, half + 1, 5 * half)]
     inputs, targets, owner = lm_scoring.windows(texts, -1)
     for k, t in enumerate(texts):
         assert [v for row in targets[owner == k] for v in row if v >= 0] == t.tolist()
-    model, chain = _model()
-    long = chain[0]
+    model, _ = _model(1)
+    long = np.arange(200) % 40
     changed = long.copy()
-    changed[30:] = (changed[30:] + 7) % 40
-    line, goals, _ = lm_scoring.windows([long, changed], -1)
-    classes = np.where(line >= 0, model.cls[line], model.classes)
-    logs = model.tables.log_probabilities(classes, model.cls[np.where(goals >= 0, goals, 0)])
-    half = len(logs) // 2
-    assert np.allclose(logs[:half].ravel()[:30], logs[half:].ravel()[:30])
+    changed[130:] = (changed[130:] + 7) % 40
+    inputs, targets, owner = lm_scoring.windows([long, changed], model.start)
+    logs = model.net.log10_probabilities(model.net.tables(), inputs, targets)
+    a, b = (logs[owner == k].ravel() for k in (0, 1))
+    assert np.allclose(a[:130], b[:130]) and not np.allclose(a[130:], b[130:])
 
 
 def test_op4_probabilities_sum_to_one_and_beat_unigrams():
     model, chain = _model()
     for t in (chain[3][:1], chain[3][:20]):
-        total = sum(10 ** (model.score([np.append(t, k)])[0] - (model.score([t])[0])) for k in range(50))
+        total = sum(10 ** (model.score([np.append(t, k)])[0] - model.score([t])[0]) for k in range(50))
         assert total == pytest.approx(1.0, abs=1e-4)
     held = (np.cumsum(np.random.default_rng(9).integers(1, 3, (50, 40)), axis=1)) % 40
     unigram = np.log10((np.bincount(chain.ravel(), minlength=50) + 0.5) / (chain.size + 25))
-    assert model.score(list(held)).sum() > unigram[held].sum()
+    fresh = lm_scoring.SubwordModel(np.bincount(chain.ravel(), minlength=50))
+    assert fresh.score(list(held)).sum() == pytest.approx(unigram[held].sum(), rel=0.02)  # the tree begins with the unigram probabilities
+    assert model.score(list(held)).sum() > 0.5 * unigram[held].sum()  # one of two ids can follow: 0.30 a token, unigrams 1.6
 
 
 def test_op4_gradients():
-    model = lm_scoring.Attention(5, dims=4)
-    model.p = {k: v.astype(np.float64) + 0.01 * np.random.default_rng(1).standard_normal(v.shape) for k, v in model.p.items()}
     rng = np.random.default_rng(2)
-    inputs, targets = rng.integers(0, 6, (3, 32)), rng.integers(0, 5, (3, 16))
-
-    def loss():
-        logits, _ = model.forward(inputs)
-        logs = logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
-        return -np.take_along_axis(logs, targets[:, :, None], 2).mean()
-
-    for name, w in model.p.items():
-        before, state = w.copy(), {}
-        model.step(inputs, targets, state, 0.0, 1)
-        gradient = state[name][0] / 0.1
-        at = tuple(rng.integers(0, n) for n in w.shape)
-        w[at] = before[at] + 1e-5
-        high = loss()
-        w[at] = before[at] - 1e-5
-        low = loss()
-        w[at] = before[at]
-        assert (high - low) / 2e-5 == pytest.approx(gradient[at], rel=1e-3, abs=1e-6), name
+    net = lm_scoring.Attention(lm_scoring.Tree(rng.integers(0, 9, 7)), 7, dims=4)
+    net.p = {k: v.astype(np.float64) + 0.1 * rng.standard_normal(v.shape) for k, v in net.p.items()}
+    inputs, targets = rng.integers(0, 8, (3, 2 * lm_scoring.HALF)), rng.integers(-1, 7, (3, lm_scoring.HALF))
+    bias = lambda: np.where(net.back >= 0, net.p["R"][np.maximum(net.back, 0)], -1e9)  # noqa: E731  in double precision
+    net.bias = bias
+
+    def total():
+        learner = lm_scoring.Learner(net)
+        return learner.gradients(inputs, targets)[0] * net.tree.lengths[targets[targets >= 0]].size
+
+    _, found = lm_scoring.Learner(net).gradients(inputs, targets)
+    for name, w in net.p.items():
+        g = found[name]
+        if isinstance(g, tuple):
+            dense = np.zeros(w.shape)
+            dense[g[0]] = g[1]
+            g = dense
+        for _ in range(4):
+            at = tuple(rng.integers(0, n) for n in w.shape)
+            before = w[at]
+            w[at] = before + 1e-5
+            high = total()
+            w[at] = before - 1e-5
+            low = total()
+            w[at] = before
+            assert (high - low) / 2e-5 == pytest.approx(g[at], rel=2e-3, abs=2e-4), name
+
+
+def test_op4_averages_rows_by_use(spark):
+    rows = [("E", [1, 3], [2.0, 1.0], [[1.0, 1.0], [4.0, 4.0]]), ("E", [3], [3.0], [[0.0, 8.0]]), ("R", [0, 1], [5.0, 5.0], [[1.0], [2.0]])]
+    packed = [(n, np.array(r, np.int32).tobytes(), np.array(w, np.float32).tobytes(), np.array(v, np.float32).tobytes()) for n, r, w, v in rows]
+    df = spark.createDataFrame([tuple(map(lambda x: bytearray(x) if isinstance(x, bytes) else x, p)) for p in packed], lm_scoring._CHANGES).repartition(3)
+    for fan in (2, 64):
+        weight, total = lm_scoring.averaged(df, fan).sums["E"]
+        assert (total[[1, 3]] / weight[[1, 3], None]).tolist() == [[1.0, 1.0], [1.0, 7.0]] and weight.tolist() == [0, 2, 0, 4]
+
+
+def test_op4_every_window_trains_and_more_text_helps(spark, sf_dir):
+    """All training texts move the weights; the trained score beats the untrained tree (unigrams) on held-out texts."""
+    rows = queries.op4_lm_scoring(spark, sf_dir).collect()
+    docs = _documents(spark, sf_dir)
+    ids = packing.WordIds(WORDS, plain=True)
+    texts = {d: packing.words_of(t) for d, t in docs.items()}
+    ids.add(set().union(*texts.values()))
+    own = {d: np.append(np.frombuffer(ids.of(t), "<u4").astype(np.int64), 49407) for d, t in texts.items()}
+    train = [own[r["doc_id"]] for r in rows if not r["held_out"]]
+    plain = lm_scoring.SubwordModel(np.bincount(np.concatenate(train), minlength=49408))
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in held) > plain.score([own[r["doc_id"]] for r in held]).sum() * 0.97
 
 
 def test_op4_odd_rows(odd, empty):
@@ -243,6 +295,15 @@ def test_op4_odd_rows(odd, empty):
     assert [r["n_known"] for r in lm_scoring.score_documents(odd, F.lit(True), WORDS).collect()] == [0] * len(ODD)
 
 
+def test_op4_long_words_are_looked_up_by_digest(spark):
+    long = "x" * 500
+    df = spark.createDataFrame([(i, f"{long} common w{i}") for i in range(20)], "doc_id long, text string")
+    for most in (1, 1 << 18):
+        rows = lm_scoring.score_documents(df, F.col("doc_id") == 0, WORDS, most_words=most).collect()
+        assert {r["doc_id"]: r["n_known"] for r in rows} == {i: 4 - (i == 0) for i in range(20)}
+        assert len({round(r["base_score"], 6) for r in rows if r["doc_id"]}) == 1
+
+
 def test_op5_typed_parts_round_trip(spark):
     nasty = ["\\", "<", "\\l", "\\b", "<|turn|>user<|text|>", "\\\\l<", "", "a\\bl<"]
     turns = [(1, i, "assistant" if i % 2 else "us<er", t) for i, t in enumerate(nasty)] + [(None, None, None, None), (2, 1, "user", "same"), (2, 1, "user", "same")]
@@ -314,16 +375,58 @@ def test_op8_held_out_accuracy_and_odd_rows(spark, odd, empty):
     learned = lang_id.train(odd)
     got = {(r["doc_id"], r["lang_pred"]) for r in lang_id.identify(odd, learned).collect()}
     assert {(3, "und"), (4, "und"), (5, "und"), (8, "und"), (6, "en")} <= got
-    assert lang_id.train(empty) == {} and lang_id.identify(odd, {}).filter("lang_pred <> 'und'").count() == 0
+    none = lang_id.train(empty)
+    assert none.count() == 0 and lang_id.identify(odd, none).filter("lang_pred <> 'und'").count() == 0
     assert sorted(str(r["doc_id"]) for r in lang_id.accepted(odd, learned, 0.0).collect()) == ["1", "1", "2", "6", "7", "None"]
 
 
+def _by_hand(text, space, n=3):
+    """Sum of the products of rotated letter vectors, gram by gram."""
+    import regex
+
+    chars = regex.sub(r"\P{L}+", " ", f" {text.lower()} ")
+    letters = {c: space.letter(ord(c)).astype(np.int64) for c in set(chars)}
+    total = np.zeros(space.dims, np.int64)
+    for gram, k in collections.Counter(chars[i : i + n] for i in range(len(chars) - n + 1)).items():
+        total += k * np.prod([np.roll(letters[c], place) for place, c in enumerate(gram)], axis=0)
+    return total
+
+
 def test_op8_binding_by_hand():
     space = lang_id.Profiles(64, 2)
-    v = space.bundles([lang_id.grams("ab", 2)])[0]
-    letter = {c: space.letter(ord(c)) for c in " ab"}
-    by_hand = sum(letter[x] * np.roll(letter[y], 1) for x, y in ((" ", "a"), ("a", "b"), ("b", " ")))
-    assert np.array_equal(v, by_hand)
+    for text in ("ab", "Ab, c!", "é日 ab"):
+        assert np.array_equal(space.bundles([lang_id.grams(text, 2)])[0], _by_hand(text, space, 2))
+
+
+def test_op8_equals_brute_force(spark, sf_dir):
+    """The query's rows against prototypes and cosines made gram by gram."""
+    space = lang_id.Profiles(1024, 3)
+    docs = {r["doc_id"]: r for r in table(spark, sf_dir, "documents").collect()}
+    bundle = {d: _by_hand(r["text"] or "", space) for d, r in docs.items()}
+    learned = {}
+    for d, r in docs.items():
+        if zlib.crc32(str(d).encode()) % 5 and r["text"] is not None and r["lang"] is not None and any(c.isalpha() for c in r["text"]):
+            learned[r["lang"]] = learned.get(r["lang"], 0) + bundle[d]
+    names = sorted(learned)
+    for r in queries.op8_lang_id(spark, sf_dir).collect():
+        if not any(c.isalpha() for c in docs[r["doc_id"]]["text"] or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        v = bundle[r["doc_id"]]
+        cosines = [v @ learned[x] / np.linalg.norm(v) / np.linalg.norm(learned[x]) for x in names]
+        assert r["lang_pred"] == names[int(np.argmax(cosines))] and r["score"] == pytest.approx(max(0.0, max(cosines)), abs=1e-9)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_op8_equal_cosines_and_many_languages(spark):
+    same = spark.createDataFrame([(1, "guten tag", "zz"), (2, "guten tag", "aa"), (3, "buenos dias", "mm"), (4, "123", "nn")], "doc_id long, text string, lang string")
+    learned = lang_id.train(same)
+    whole = {(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in lang_id.identify(same, learned).collect()}
+    assert {(1, "aa"), (2, "aa"), (3, "mm"), (4, "und")} == {x[:2] for x in whole}
+    assert [s.names for s in lang_id.scorers(learned, block=2)] == [["aa", "mm"], ["zz"]]  # of a language without a letter nothing is learned
+    many = spark.createDataFrame([(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26)} {chr(97 + i % 7) * 3}", f"l{i:04d}") for i in range(1100)], "doc_id long, text string, lang string")
+    for r in lang_id.identify(many, lang_id.train(many)).collect():
+        assert r["score"] == pytest.approx(1.0) and r["lang_pred"] <= f"l{r['doc_id']:04d}"
 
 
 def test_op9_equals_tiktoken(spark, odd, empty, sf_dir):
@@ -339,7 +442,7 @@ def test_op9_equals_tiktoken(spark, odd, empty, sf_dir):
     encoder = byte_bpe.Encoder(BYTES, public_tokenizers.PATTERN, most=50)
     rng = np.random.default_rng(0)
     texts = ["".join(rng.choice(list("abcdeé12 \n$日"), rng.integers(0, 300))) for _ in range(300)] + ["a" * 700, "ab" * 350, "<|endoftext|>", "\x00"]
-    assert encoder.encode_batch(texts) == [own.encode_ordinary(t) for t in texts]
+    assert [x.tolist() for x in encoder.encode_batch(texts)] == [own.encode_ordinary(t) for t in texts]
     for word in [b"a" * 50, b"abcabcabc" * 9, bytes(rng.integers(97, 101, 200, dtype=np.uint8))]:
         assert byte_bpe.merge(word, ranks) == own.encode_ordinary(word.decode())
     back = byte_bpe.decode(byte_bpe.encode(odd, BYTES, public_tokenizers.PATTERN), BYTES).collect()
@@ -351,7 +454,6 @@ def _check_packing(rows, docs, capacity):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append(r)
@@ -374,7 +476,8 @@ def _check_packing(rows, docs, capacity):
 def test_op10_pieces_places_and_fill(spark, sf_dir, odd, empty):
     used, total = _check_packing(queries.op10_packing(spark, sf_dir).collect(), _documents(spark, sf_dir), 4096)
     assert used <= -(-total // 4096) * 1.05 + 1
-    unique = odd.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    extra = odd.limit(2).select((F.monotonically_increasing_id() + 50).alias("doc_id"), F.lit("a<|endoftext|>b <|STARTOFTEXT|> x<|endoftext").alias("text"), "lang", "id", "n")
+    unique = odd.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(extra)
     _check_packing(packing.pack(unique, WORDS, capacity=64).collect(), {r["doc_id"]: r["text"] for r in unique.collect()}, 64)
     assert packing.pack(odd, WORDS).count() >= len(ODD) and packing.pack(empty, WORDS).count() == 0
 
