@@ -30,13 +30,13 @@ class WordIds:
     """Token ids (little-endian unsigned 32-bit, as bytes) of words in lower-cased UTF-8, each encoded once.
 
     For tokenizers that lower-case, never join text across white space and split letters and digits from other
-    signs. Holds the words used last, 2 * ``most`` at most: about 80 MB.
+    signs. Holds the words used last, 2 * ``most`` at most: about 150 MB.
 
     plain: whether the strings of special tokens are ordinary text. Else, as in the library, they become their own ids
     wherever they stand, and texts with one must be encoded whole: see special().
     """
 
-    def __init__(self, path: str, plain: bool = False, most: int = 200_000):
+    def __init__(self, path: str, plain: bool = False, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only wait for each other
         from tokenizers import Tokenizer
 
