@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared folder and read it from there.
+
+    For loops: unlike a checkpoint, the table has the size that its files have. A checkpoint carries the estimate of
+    its plan along, and estimates of joins multiply, so after some rounds of joins they fill the driver.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def slices(batch: pa.RecordBatch, text: int, most_rows: int, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most most_rows rows and, but for single longer ones, most_bytes of column ``text``."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

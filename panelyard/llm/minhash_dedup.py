@@ -6,9 +6,9 @@ cost only ``2 * side * width`` MinHash values: about the square root of what sep
 A pair of similarity s meets in some table with probability ``(1 - (1 - s ** width) ** side) ** 2``; with the
 defaults that is 0.99986 at 0.85 and higher above. Every candidate is confirmed on the full shingle sets.
 
-Inside a table's bucket no pairs are listed. Members are first compared with one centre (a star) and components are
-formed. Members of buckets that then still hold several components are compared further by an exact join on rare
-shingles. So no link between components of a bucket is lost, whatever its size, and a group of copies costs about as
+Inside a table's bucket no pairs are listed. In rounds, each class of equal sets is compared with one centre (a star),
+that which it shares most buckets with, and components are formed; buckets whose members all have one component are
+closed. Members of buckets that are open in the end are compared further by an exact join on rare shingles. So no link between components of a bucket is lost, whatever its size, and a group of copies costs about as
 many comparisons as it has members.
 """
 
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.llm._common import cut_lineage, free_name, slices, small
+from panelyard.llm._common import cut_lineage, free_name, slices, small, written
 
 _SEED = 20_240_607
 #: Sets with one shingle among their first that one task compares with all others.
@@ -142,14 +142,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, label (smallest node reachable) for the nodes of links (a, b); labels spread and jump until none changes."""
-    both = cut_lineage(links.select("a", "b").union(links.select("b", "a")).distinct())
+    both = written(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
-    labels = cut_lineage(labels)
+    labels = written(labels)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         spread = labels.join(near, labels["node"] == near["a"], "left").select("node", "label", F.least("label", "m").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        labels = cut_lineage(spread.join(jump, "new", "left").select("node", F.col("label").alias("old"), F.least("new", "far").alias("label")))
+        labels = written(spread.join(jump, "new", "left").select("node", F.col("label").alias("old"), F.least("new", "far").alias("label")))
         if labels.filter("old <> label").isEmpty():
             return labels.select("node", "label")
 
@@ -193,16 +193,43 @@ def _pairs_by_prefix(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFra
         & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
         & (F.least("room_a", "room_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
     )
-    return x.join(y, ["h", "share"]).filter(fits).select("a", "b").distinct()
+    return x.join(y, ["h", "share"]).filter(fits).select("a", "b", F.col("label_a").alias("one"), F.col("label_b").alias("two")).distinct()
+
+
+def _open(at: DataFrame) -> DataFrame:
+    """The buckets (key) with members of several labels, and their centre (least rep) with its label."""
+    by_key = at.groupBy("key").agg(F.min("rep").alias("center"), F.min_by("label", "rep").alias("center_label"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return by_key.filter("low <> high").select("key", "center", "center_label")
+
+
+def _untried(at: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs of a member and its bucket's centre (a, b) with different labels (one, two), in how many buckets, that are not among tried."""
+    pairs = at.filter("label <> center_label").groupBy(F.col("rep").alias("a"), F.col("center").alias("b")).agg(
+        F.count(F.lit(1)).alias("buckets"), F.min("label").alias("one"), F.min("center_label").alias("two"), F.lit(False).alias("old")
+    )
+    both = pairs.unionByName(tried.withColumn("old", F.lit(True)), allowMissingColumns=True)
+    found = both.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("buckets", "one", "two", "old")])
+    return found.filter("not old").drop("old")
+
+
+def _joined(labels: DataFrame, at: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """labels (rep, label) and at (key, rep, label) with those labels made one that a confirmed pair (a, b, labels one and two) connects."""
+    found = written(_confirmed(pairs.select("a", "b"), sets, percent))
+    if found.isEmpty():
+        return labels, at
+    links = found.join(pairs, ["a", "b"]).select(F.col("one").alias("a"), F.col("two").alias("b")).distinct()
+    moved = small(components(written(links)).select(F.col("node").alias("label"), F.col("label").alias("to")))
+    return tuple(written(x.join(moved, "label", "left").select(*[c for c in x.columns if c != "label"], F.coalesce("to", "label").alias("label"))) for x in (labels, at))
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, side: int = 12, width: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, side: int = 12, width: int = 3, rounds: int = 3
 ) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
     words: words per shingle (a text with fewer is one shingle). side, width: see the module; side 12 with width 3
     finds 0.9996 of the pairs at similarity 0.8, and what the stars of a bucket leave open is settled exactly.
+    rounds: of stars; in each but the last a class is compared with one centre, in the last with all that are left.
 
     Returns one row per input row: id_col, n_shingles, component_id (smallest id reachable), kept (id = component_id).
     Null, empty and blank texts have no shingle and are linked with nothing. A row with a null id is linked with
@@ -221,24 +248,25 @@ def near_duplicates(
     of = lambda test: F.filter("k", lambda k: test(F.shiftright(k, 32)))
     pairs = F.flatten(F.transform(of(lambda i: i < side), lambda x: F.transform(of(lambda i: i >= side), lambda y: F.xxhash64(x, y))))
     keyed = cut_lineage(held.select("rep", F.explode(pairs).alias("key")))
-    shared = cut_lineage(keyed.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("other")).filter("center <> other").select("key", "center"))
-    members = cut_lineage(keyed.join(shared, "key"))
-    stars = members.filter("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
-    tried = cut_lineage(stars)
-    nodes = cut_lineage(tried.select("a").union(tried.select("b")).distinct())
+    shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("key")
+    at = written(keyed.join(cut_lineage(shared), "key", "left_semi").withColumn("label", F.col("rep")))
+    labels = written(at.select("rep", "label").distinct())
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    sets = cut_lineage(_sets(texts.join(small(nodes.select(F.col("a").alias("id"))), "id", "left_semi"), words))
-    links = cut_lineage(_confirmed(tried, sets, percent))
-    labels = components(links)
-    at = members.select("key", "rep", "center").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    at = cut_lineage(at.select("key", "rep", F.coalesce("label", "rep").alias("label")))
-    open_keys = cut_lineage(at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key"))
-    if not open_keys.isEmpty():  # some buckets hold members of several components: what the stars left open
-        rest = at.join(open_keys, "key").select(F.col("rep").alias("id"), "label").distinct()
-        wanted = _pairs_by_prefix(rest, sets, percent).join(tried, ["a", "b"], "left_anti")
-        found = cut_lineage(_confirmed(wanted, sets, percent))
-        if not found.isEmpty():
-            labels = components(links.union(found))
+    sets = cut_lineage(_sets(texts.join(small(labels.select(F.col("rep").alias("id"))), "id", "left_semi"), words))
+    tried = labels.limit(0).select(F.col("rep").alias("a"), F.col("label").alias("b"))
+    for k in range(rounds):
+        at = written(at.join(_open(at), "key").select("key", "rep", "label", "center", "center_label"))
+        pairs = written(_untried(at, tried))
+        if pairs.isEmpty():
+            break
+        if k < rounds - 1:
+            pairs = written(pairs.groupBy("a").agg(F.max(F.struct("buckets", "b", "one", "two")).alias("best")).select("a", "best.b", "best.one", "best.two"))
+        labels, at = _joined(labels, at.select("key", "rep", "label"), pairs, sets, percent)
+        tried = written(tried.unionByName(pairs.select("a", "b")))
+    rest = written(at.join(_open(at).select("key"), "key", "left_semi").select(F.col("rep").alias("id"), "label").distinct())
+    if not rest.isEmpty():  # what the stars leave open is settled for all pairs
+        labels, _ = _joined(labels, at.select("key", "rep", "label"), written(_pairs_by_prefix(rest, sets, percent)), sets, percent)
+    labels = labels.select(F.col("rep").alias("node"), "label")
     of_class = classes.select("digest", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     of_class = cut_lineage(of_class)
     judged = sketched.filter("n > 0").join(of_class, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("label", "id")).alias("component"))

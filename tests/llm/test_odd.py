@@ -95,9 +95,9 @@ def test_op2_prefix_join_shares_hot_shingles(spark, monkeypatch):
         docs.append((i, " ".join(w)))
     df = spark.createDataFrame(docs, "id long, t string")
     nodes, sets = df.select("id", F.col("id").alias("label")), minhash_dedup._sets(df, 3)
-    whole = {tuple(r) for r in minhash_dedup._pairs_by_prefix(nodes, sets, 60).collect()}
+    whole = {(r.a, r.b) for r in minhash_dedup._pairs_by_prefix(nodes, sets, 60).collect()}
     monkeypatch.setattr(minhash_dedup, "_HOLDERS", 3)
-    assert {tuple(r) for r in minhash_dedup._pairs_by_prefix(nodes, sets, 60).collect()} == whole and whole
+    assert {(r.a, r.b) for r in minhash_dedup._pairs_by_prefix(nodes, sets, 60).collect()} == whole and whole
 
 
 def test_keep_one_with_clashing_names(spark):
