@@ -20,6 +20,7 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,12 @@ _LOG10E = math.log10(math.e)
 class Tree:
     """A Huffman tree over ids: the inner nodes on each id's path, and at each the side (+1 or -1) that the id lies on."""
 
-    def __init__(self, counts: np.ndarray):
-        """counts: of each id; half an occurrence is added, so every id has a path."""
+    def __init__(self, counts: np.ndarray, top: int = 63):
+        """counts: of each id; half an occurrence is added, so every id has a path.
+
+        The ``top`` nodes that lie on most paths are held apart, with the side of every id at each (0 where its path
+        does not go), so that decisions at them are matrix products.
+        """
         n = len(counts)
         heap = [(float(c) + 0.5, i) for i, c in enumerate(counts)]
         heapq.heapify(heap)
@@ -58,21 +63,53 @@ class Tree:
             sides.append(side[at])
             inner = up != 2 * n - 2
             at, owner = up[inner], owner[inner]
-        order = np.argsort(np.concatenate(owners), kind="stable") if owners else []
-        self.nodes = np.concatenate(nodes)[order].astype(np.int32)
-        self.sides = np.concatenate(sides)[order].astype(np.float32)
-        self.lengths = np.bincount(np.concatenate(owners), minlength=n)
+        self.top = np.sort(np.argsort(-mass[n:], kind="stable")[:top])
+        place = np.full(n - 1, -1)
+        place[self.top] = np.arange(len(self.top))
+        owner, node, own = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owners, nodes, sides))
+        high = place[node] >= 0
+        self.top_sides = np.zeros((n, len(self.top)), np.int8)
+        self.top_sides[owner[high], place[node[high]]] = own[high]
+        owner, node, own = owner[~high], node[~high], own[~high]
+        order = np.argsort(owner, kind="stable")
+        self.nodes, self.sides = node[order].astype(np.int32), own[order].astype(np.float32)
+        self.lengths = np.bincount(owner, minlength=n)
         self.starts = np.cumsum(self.lengths) - self.lengths
         yes = np.zeros(n - 1)
         yes[parent[:-1][side[:-1] == 1] - n] = mass[:-1][side[:-1] == 1]
         self.bias = np.log(yes / (mass[n:] - yes)).astype(np.float32)
 
-    def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the ids' decisions one after the other: node, side, which id it belongs to; and each id's first decision."""
+    def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the ids' decisions below the top, one id after the other: node, side, which id it belongs to."""
         lengths = self.lengths[ids]
         first = np.cumsum(lengths) - lengths
         at = np.repeat(self.starts[ids] - first, lengths) + np.arange(int(lengths.sum()))
-        return self.nodes[at], self.sides[at], np.repeat(np.arange(len(ids)), lengths), first
+        return self.nodes[at], self.sides[at], np.repeat(np.arange(len(ids)), lengths)
+
+
+def _chances(z: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-z)), in the place of z."""
+    np.clip(z, -30, 30, out=z)
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
+
+
+class Decisions(NamedTuple):
+    """Probabilities of the decisions on some ids' paths: at the top nodes (1 where a path does not go), and below."""
+
+    top: np.ndarray
+    top_sides: np.ndarray
+    below: np.ndarray
+    nodes: np.ndarray
+    sides: np.ndarray
+    owner: np.ndarray
+    weights: np.ndarray
+
+    def logs(self) -> np.ndarray:
+        """Natural log probability of each id."""
+        return np.log(self.top.prod(axis=1, dtype=np.float64)) + np.bincount(self.owner, np.log(self.below), len(self.top))
 
 
 class Attention:
@@ -103,25 +140,28 @@ class Attention:
         late = inputs[:, HALF:]
         a = tables["q"][late] @ tables["k"][inputs].transpose(0, 2, 1)
         a += tables["bias"]
-        a -= a.max(axis=2, keepdims=True)
+        np.minimum(a, 60, out=a)  # no score of a trained model is near that; exp stays finite without a maximum
         np.exp(a, out=a)
         a /= a.sum(axis=2, keepdims=True)
         y = a @ tables["v"][inputs]
         y += tables["E"][late]
         return y, a
 
-    def decisions(self, y: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Probability of each decision on the ids' paths, and the paths."""
-        nodes, sides, owner, first = self.tree.paths(ids)
-        weights = self.p["N"][nodes]
+    def decisions(self, y: np.ndarray, ids: np.ndarray) -> Decisions:
+        """The decisions on the ids' paths, for contexts y."""
+        tree, p = self.tree, self.p["N"]
+        top, sides = p[tree.top], tree.top_sides[ids].astype(p.dtype)
+        z = y @ top[:, :-1].T
+        z += top[:, -1]
+        z *= sides
+        high = _chances(z)
+        high += (sides == 0) * high.dtype.type(0.5)
+        nodes, low_sides, owner = tree.paths(ids)
+        weights = p[nodes]
         z = np.einsum("ij,ij->i", y[owner], weights[:, :-1])
         z += weights[:, -1]
-        z *= sides
-        np.clip(z, -30, 30, out=z)
-        np.negative(z, out=z)
-        np.exp(z, out=z)
-        z += 1
-        return 1 / z, nodes, sides, owner, first, weights
+        z *= low_sides
+        return Decisions(high, sides, _chances(z), nodes, low_sides, owner, weights)
 
     def log10_probabilities(self, tables: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """log10 probability of each target (windows, HALF), 0 where a target is below 0."""
@@ -129,8 +169,7 @@ class Attention:
         some = targets >= 0
         out = np.zeros(targets.shape)
         if some.any():
-            probability, *_, first, _ = self.decisions(y[some], targets[some])
-            out[some] = np.add.reduceat(np.log10(probability, dtype=np.float32), first, dtype=np.float64)
+            out[some] = self.decisions(y[some], targets[some]).logs() * _LOG10E
         return out
 
 
@@ -152,20 +191,32 @@ class Learner:
         q, k, v = x[:, HALF:] @ p["Q"], x @ p["K"], x @ p["V"]
         a = (q * root) @ k.transpose(0, 2, 1)
         a += m.bias()
-        a -= a.max(axis=2, keepdims=True)
+        np.minimum(a, 60, out=a)
         np.exp(a, out=a)
         a /= a.sum(axis=2, keepdims=True)
         y = a @ v
         y += x[:, HALF:]
         some = targets >= 0
-        chosen, nodes, sides, owner, first, weights = m.decisions(y[some], targets[some])
-        mean = float(np.log(chosen).sum()) / len(first)
-        slope = (1 - chosen) * sides
-        push = slope[:, None] * weights[:, :-1]
+        own = y[some]
+        d = m.decisions(own, targets[some])
+        mean = float(d.logs().sum()) / max(len(own), 1)
+        high, low = (1 - d.top) * d.top_sides, (1 - d.below) * d.sides
+        down = high @ p["N"][m.tree.top, :-1]
+        lengths = np.bincount(d.owner, minlength=len(own))
+        ends = np.cumsum(lengths)
+        deep = lengths > 0
+        if deep.any():
+            down[deep] += np.add.reduceat(low[:, None] * d.weights[:, :-1], (ends - lengths)[deep])
         dy = np.zeros_like(y)
-        dy[some] = np.add.reduceat(push, first)
-        pull = y[some][owner] * slope[:, None]
-        g: dict[str, tuple | np.ndarray] = {"N": _by_row(nodes, np.concatenate((pull, slope[:, None]), axis=1), len(p["N"]))}
+        dy[some] = down
+        pull = np.empty((len(low), m.dims + 1), y.dtype)
+        np.multiply(own[d.owner], low[:, None], out=pull[:, :-1])
+        pull[:, -1] = low
+        rows, value, uses = _by_row(d.nodes, pull, len(p["N"]))
+        often = np.abs(d.top_sides).sum(axis=0)
+        met = often > 0
+        above = np.concatenate((high.T @ own, high.sum(axis=0)[:, None]), axis=1)[met]
+        g: dict[str, tuple | np.ndarray] = {"N": (np.concatenate((rows, m.tree.top[met])), np.concatenate((value, above)).astype(np.float32), np.concatenate((uses, often[met])).astype(np.float32))}
         dv = a.transpose(0, 2, 1) @ dy
         ds = dy @ v.transpose(0, 2, 1)
         ds -= (ds * a).sum(axis=2, keepdims=True)
