@@ -28,5 +28,5 @@ def to_date(text: Column, formats: tuple[str, ...] = ("yyyy-MM-dd", "yyyyMMdd",
 
 
 def available_from(period_end: Column, lag_months: int = 3) -> Column:
-    """When a report on a period can be used: the end of the month lag_months later."""
-    return F.last_day(F.add_months(period_end, lag_months))
+    """When a report on a period can be used: the same day lag_months later, or the last of that month if it has no such day."""
+    return F.add_months(period_end, lag_months)

@@ -9,7 +9,7 @@ from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronCl
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.plans.rank_ic import monthly_rank_ic
@@ -49,6 +49,34 @@ def perceptron(inputs: int, label: str) -> MultilayerPerceptronClassifier:
     return MultilayerPerceptronClassifier(labelCol=label, layers=[inputs, 64, 32, 3], seed=1, maxIter=60, probabilityCol="probability", predictionCol="predicted")
 
 
+def class_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
+    """df with rows / (classes * rows of the class) as the weight, for estimators' weightCol."""
+    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect() if r[label] is not None}  # a row a class
+    total = sum(counts.values())
+    pairs = [F.lit(v) for k, n in counts.items() for v in (k, total / (len(counts) * n))]
+    return df.withColumn(weight, F.try_element_at(F.create_map(*pairs), F.col(label)))
+
+
+def sequence_stats(histories: DataFrame, values: list[str]) -> DataFrame:
+    """feature, n, median, mean, sd over all steps of histories() that are no masked ones."""
+    steps = histories.select(F.explode(F.arrays_zip("steps", "masked")).alias("z")).filter("not z.masked").select("z.steps.*")
+    return steps.unpivot([], values, "feature", "v").groupBy("feature").agg(F.count("v").alias("n"), F.median("v").alias("median"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
+
+
+def save_model(model: PipelineModel, features: list[str], path: str) -> None:
+    """The model and the names of its features, in order."""
+    model.write().overwrite().save(f"{path}/model")
+    SparkSession.getActiveSession().createDataFrame(list(enumerate(features)), "place int, feature string").write.mode("overwrite").parquet(f"{path}/features")
+
+
+def load_model(spark: SparkSession, path: str, features: list[str]) -> PipelineModel:
+    """The saved model; raises if it was fitted on other features or in another order."""
+    fitted = [r["feature"] for r in spark.read.parquet(f"{path}/features").orderBy("place").collect()]
+    if fitted != list(features):
+        raise ValueError(f"fitted on {fitted}, not on {features}")
+    return PipelineModel.load(f"{path}/model")
+
+
 def with_class_scores(scored: DataFrame, means: list[float] | None = None) -> DataFrame:
     """score = p_top - p_bottom of a three-class model, and the expected return if class means are given."""
     p = vector_to_array("probability")

@@ -51,6 +51,37 @@ def require_ordered_splits(df: DataFrame, split: str, month: str, order: tuple[s
     return df
 
 
+def require_same_count(before: DataFrame, after: DataFrame) -> DataFrame:
+    """A join or write that must keep the number of rows did so."""
+    n, m = before.count(), after.count()
+    if n != m:
+        raise ValueError(f"{n} rows became {m}")
+    return after
+
+
+def require_one_date_a_month(df: DataFrame, date: str, month: str) -> DataFrame:
+    twice = df.groupBy(month).agg(F.count_distinct(date).alias("dates")).filter("dates > 1").orderBy(month).limit(20).collect()
+    if twice:
+        raise ValueError(f"months with several dates: {[r[month] for r in twice]}")
+    return df
+
+
+def require_predictions(df: DataFrame, scores: list[str], split: str = "split", skipped: tuple[str, ...] = ()) -> DataFrame:
+    """Every score but the skipped ones is there in all rows of validation and test."""
+    wanted = [s for s in scores if s not in skipped]
+    lost = df.filter(F.col(split).isin("validation", "test")).agg(*[F.count_if(F.col(s).isNull()).alias(s) for s in wanted]).first().asDict() if wanted else {}
+    if any(lost.values()):
+        raise ValueError(f"missing predictions: { {k: v for k, v in lost.items() if v} }")
+    return df
+
+
+def lookahead_audit(df: DataFrame, date: str, available: str) -> DataFrame:
+    """One row: rows, rows with a value, those that use it before it is available, and the share of these."""
+    early = F.col(available) > F.col(date)
+    n = F.count(available)
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), n.alias("n_with_value"), F.count_if(early).alias("n_early"), F.when(n > 0, F.count_if(early) / F.greatest(n, F.lit(1))).alias("share_early"))
+
+
 def checked_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", one_to_one: bool = False) -> DataFrame:
     """A join whose right keys (and left ones, if one_to_one) are known to be unique, so a left join keeps the row count."""
     require_unique(right, keys)

@@ -18,13 +18,16 @@ def shifted(value: Column, k: int, w: WindowSpec, month: str = "month_id") -> Co
     return F.when(F.lag(month, k).over(w) == F.col(month) - k, F.lag(value, k).over(w))
 
 
-def _full(value: Column, w: WindowSpec, n: int, least: int | None = None) -> tuple[WindowSpec, Column]:
-    frame = w.rowsBetween(1 - n, 0)
+def _full(value: Column, w: WindowSpec, n: int | None, least: int | None = None) -> tuple[WindowSpec, Column]:
+    frame = w.rowsBetween(Window.unboundedPreceding if n is None else 1 - n, 0)
     return frame, F.count(value).over(frame) >= (n if least is None else least)
 
 
-def rolling(value: Column, how: str, n: int, w: WindowSpec, least: int | None = None) -> Column:
-    """sum, mean, std (ddof 1), min, max or median of the last n rows; null with fewer than least (default n) values."""
+def rolling(value: Column, how: str, n: int | None, w: WindowSpec, least: int | None = None) -> Column:
+    """sum, mean, std (ddof 1), min, max or median of the last n rows; null with fewer than least (default n) values.
+
+    n None: of all rows so far, with a least given. A median keeps its frame's values in each row: for series of months.
+    """
     frame, enough = _full(value, w, n, least)
     if how == "median":  # a frame's values as a list, since Spark's median takes no frame
         middle = lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2
@@ -107,7 +110,7 @@ def volatility_state(df: DataFrame, ret: str, keys: list[str], month: str, lookb
     w = by(keys, month)
     df = df.withColumn("__r", F.lag(F.coalesce(ret, F.lit(0.0)), 1).over(w))
     df = df.withColumn("realized_vol", rolling(F.col("__r"), "std", lookback, w) * F.sqrt(F.lit(12.0)))
-    middle = F.coalesce(rolling(F.col("realized_vol"), "median", normal, w, lookback), rolling(F.col("realized_vol"), "median", 100_000, w, lookback))
+    middle = F.coalesce(rolling(F.col("realized_vol"), "median", normal, w, lookback), rolling(F.col("realized_vol"), "median", None, w, lookback))
     return df.withColumn("normal_vol", clip(middle, low, high)).drop("__r")
 
 

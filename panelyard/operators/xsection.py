@@ -45,16 +45,22 @@ def zscore(value: str, keys: list[str], ddof: int = 1) -> Column:
     return F.when(sd > 0, (F.col(value) - F.avg(value).over(w)) / F.when(sd > 0, sd))
 
 
+def _by_month(df: DataFrame, of_month: DataFrame, key: str) -> DataFrame:
+    """df with the columns of of_month (one row a key); a null key is a key like others."""
+    renamed = of_month.withColumnRenamed(key, "__key")
+    return df.join(renamed, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+
+
 def winsorise_impute(df: DataFrame, values: list[str], key: str, low: float = 0.01, high: float = 0.99, flags: list[str] = ()) -> DataFrame:
     """Clip to exact per-month quantiles, then fill nulls with the median of the clipped values.
 
     Months without any value stay null. flags: columns that get a ``<name>_missing`` indicator of the nulls before.
     """
     bounds = df.groupBy(key).agg(*[F.percentile(v, F.array(F.lit(low), F.lit(high))).alias(f"__q_{v}") for v in values])
-    clipped = df.join(bounds, key).withColumns({f"{v}_missing": F.col(v).isNull().cast("int") for v in flags})
+    clipped = _by_month(df, bounds, key).withColumns({f"{v}_missing": F.col(v).isNull().cast("int") for v in flags})
     clipped = clipped.withColumns({v: clip(F.col(v), F.col(f"__q_{v}")[0], F.col(f"__q_{v}")[1]) for v in values}).drop(*[f"__q_{v}" for v in values])
     middle = clipped.groupBy(key).agg(*[F.median(v).alias(f"__m_{v}") for v in values])
-    return clipped.join(middle, key).withColumns({v: F.coalesce(v, f"__m_{v}") for v in values}).drop(*[f"__m_{v}" for v in values])
+    return _by_month(clipped, middle, key).withColumns({v: F.coalesce(v, f"__m_{v}") for v in values}).drop(*[f"__m_{v}" for v in values])
 
 
 def missingness(df: DataFrame, features: list[str], keys: list[str] = ()) -> DataFrame:
@@ -67,10 +73,11 @@ def missingness(df: DataFrame, features: list[str], keys: list[str] = ()) -> Dat
 def redundant(df: DataFrame, features: list[str], threshold: float = 0.999999999) -> list[str]:
     """Later columns whose absolute correlation with an earlier kept one reaches the threshold, in column order."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    if not pairs:
-        return []
-    row = df.agg(*[correlation(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first()
-    close = {p for p, c in zip(pairs, row, strict=True) if c is not None and abs(c) >= threshold}
+    close = set()
+    for at in range(0, len(pairs), 300):  # so many correlations in one pass: thousands in one plan would not compile
+        part = pairs[at : at + 300]
+        row = df.agg(*[correlation(a, b).alias(f"{i}") for i, (a, b) in enumerate(part)]).first()
+        close |= {p for p, c in zip(part, row, strict=True) if c is not None and abs(c) >= threshold}
     dropped: list[str] = []
     for a, b in pairs:
         if (a, b) in close and a not in dropped and b not in dropped:

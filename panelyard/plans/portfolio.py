@@ -61,6 +61,7 @@ def portfolio_returns(held: DataFrame, months: DataFrame, cost_bps: float = 25.0
     Turnover is sum |w| in the first month, else sum |w - w_prev (1 + r_prev) / (1 + gross_prev)|; undrifted if
     1 + gross_prev is not positive.
     """
+    held = held.persist()  # four branches read it; executors that are lost compute their share again
     order = Window.partitionBy("model", "split").orderBy("month_id")
     index = months.withColumn("idx", F.row_number().over(order)).withColumn("last_idx", F.count(F.lit(1)).over(Window.partitionBy("model", "split")))
     spine = held.select(*keys).distinct().join(index, ["model", "split"])

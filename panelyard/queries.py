@@ -578,9 +578,17 @@ def break_even(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(performance.break_even_simple(_monthly(spark, sf_dir), ["spec", "model", "split"]), 4)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE mr AS (WITH {_RETURNS} SELECT * FROM mr), l AS (SELECT spec, model, split, list(gross_return ORDER BY month_id) AS g, list(turnover ORDER BY month_id) AS t FROM mr GROUP BY ALL),
+w(spec, model, split, g, t, lo, hi, k) AS (SELECT spec, model, split, g, t, 0.0::DOUBLE, 0.0005::DOUBLE, 0 FROM l WHERE list_product(list_transform(g, lambda x: 1 + x)) > 1
+  UNION ALL SELECT spec, model, split, g, t, CASE WHEN k >= 100 AND up THEN (lo + hi) / 2 ELSE lo END, CASE WHEN k < 100 AND up THEN hi * 2 WHEN k < 100 THEN hi WHEN up THEN hi ELSE (lo + hi) / 2 END,
+    CASE WHEN k < 100 AND NOT up THEN 100 ELSE k + 1 END
+  FROM (SELECT *, list_min(list_transform(range(1, len(g) + 1), lambda i: 1 + g[i] - c * t[i])) > 0 AND list_product(list_transform(range(1, len(g) + 1), lambda i: 1 + g[i] - c * t[i])) > 1 AS up
+    FROM (SELECT *, CASE WHEN k < 100 THEN hi ELSE (lo + hi) / 2 END AS c FROM w)) WHERE k < 160 AND (k >= 100 OR hi <= 5))
+SELECT l.spec, l.model, l.split, round(CASE WHEN list_product(list_transform(l.g, lambda x: 1 + x)) > 1 THEN (lo + hi) / 2 * 10000 ELSE 0 END, 4) AS break_even_cumulative_bps FROM l LEFT JOIN (SELECT * FROM w WHERE k = 160) e USING (spec, model, split)"""
+)
 def break_even_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return performance.break_even_cumulative(_monthly(spark, sf_dir), ["spec", "model", "split"])
+    return rounded(performance.break_even_cumulative(_monthly(spark, sf_dir), ["spec", "model", "split"]), 4)
 
 
 @query(
@@ -608,34 +616,85 @@ def baseline_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _market_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly series of some specifications, for the overlay."""
-    return _monthly(spark, sf_dir).filter("spec like '%|none|%'")
-
-
-@query()
+    """Monthly series of all specifications, for the overlay; several branches read them."""
+    return _monthly(spark, sf_dir).persist()
+
+
+_OVERLAY = (
+    f"mr AS (WITH {_RETURNS} SELECT * FROM mr)"  # inside, since DuckDB takes every UNION ALL of WITH RECURSIVE for a recursion
+    + """, om AS (SELECT spec, model, split, month_id, gross_return AS g, turnover AS t, gross_exposure AS e, row_number() OVER s AS idx, lag(net_return) OVER s AS b1, lag(net_return, 2) OVER s AS b0
+  FROM mr WINDOW s AS (PARTITION BY spec, model, split ORDER BY month_id)),
+ov AS (SELECT *, (1 + b0) * (1 + b1) - 1 AS b2, CASE WHEN count(b1) OVER q = 4 THEN stddev_samp(b1) OVER q * sqrt(12) END AS rv FROM om WINDOW q AS (PARTITION BY spec, model, split ORDER BY month_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+oc AS (SELECT *, CASE WHEN count(rv) OVER q >= 4 THEN median(rv) OVER q END AS m36, CASE WHEN count(rv) OVER z >= 4 THEN median(rv) OVER z END AS mall FROM ov
+  WINDOW q AS (PARTITION BY spec, model, split ORDER BY month_id ROWS BETWEEN 35 PRECEDING AND CURRENT ROW), z AS (PARTITION BY spec, model, split ORDER BY month_id)),
+oi AS (SELECT *, CASE WHEN coalesce(m36, mall) < 0.03 THEN 0.03 WHEN coalesce(m36, mall) > 1 THEN 1 ELSE coalesce(m36, mall) END AS nv FROM oc),
+fold(spec, model, split, vt, idx, month_id, l_dd, l, state, dd, net, turn, wealth, peak, trough, age, recovered, d1, d2, d3, e) AS (
+  SELECT DISTINCT spec, model, split, v.vt, 0::BIGINT, NULL::INTEGER, NULL::DOUBLE, NULL::DOUBLE, NULL::VARCHAR, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 0, 0, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 0.0::DOUBLE
+  FROM oi, (VALUES (false), (true)) v(vt)
+  UNION ALL SELECT spec, model, split, vt, idx, month_id, l_dd, l, state, dd, net, turn, w2, CASE WHEN w2 >= peak THEN w2 ELSE peak END, CASE WHEN w2 >= peak OR w2 < trough THEN w2 ELSE trough END, CASE WHEN w2 >= peak THEN 0 ELSE age + 1 END,
+    CASE WHEN w2 >= peak OR w2 < trough THEN 0 WHEN w2 > trough * 1.01 THEN recovered + 1 ELSE recovered END, dd, d1, d2, e FROM (
+  SELECT *, wealth * (1 + net) AS w2 FROM (SELECT *, l * g - turn * 0.0025 AS net FROM (
+  SELECT *, CASE WHEN before IS NULL THEN l * e ELSE l * t + abs(l - before) * e_before END AS turn FROM (
+  SELECT *, least(l_dd, CASE WHEN vt AND rv > 0 THEN coalesce(least(nv * multiple / rv, 1), 1) ELSE 1 END) AS l FROM (
+  SELECT *, concat_ws('_', band, CASE WHEN two THEN 'reentry_2m_gt_2pct' WHEN one THEN 'reentry_1m_positive' END) AS state,
+    CASE WHEN two THEN 1 WHEN one THEN greatest(exposure, 0.75) ELSE exposure END AS l_dd, CASE WHEN two THEN 1.5 WHEN one THEN 1.25 ELSE usual END AS multiple FROM (
+  SELECT *, CASE band WHEN 'new_high' THEN 1.0 WHEN 'shock_drawdown' THEN 0.5 WHEN 'grinding_drawdown' THEN 0.5 WHEN 'stale_recovery' THEN 0.75 WHEN 'recovery' THEN 0.75 WHEN 'deep_drawdown_not_recovering' THEN 0.65 ELSE 0.85 END::DOUBLE AS exposure,
+    CASE band WHEN 'shallow_drawdown' THEN 1.10 WHEN 'recovery' THEN 1.25 WHEN 'stale_recovery' THEN 1.05 WHEN 'deep_drawdown_not_recovering' THEN 0.90 WHEN 'shock_drawdown' THEN 0.75 WHEN 'grinding_drawdown' THEN 0.75 END::DOUBLE AS usual FROM (
+  SELECT *, coalesce(b2 > 0.02, false) AS two, coalesce(b1 > 0, false) AS one, CASE WHEN NOT dd < 0 THEN 'new_high' WHEN speed <= -0.10 OR coalesce(b1 <= -0.10, false) THEN 'shock_drawdown'
+    WHEN age >= 3 AND (coalesce(dd - d3 <= -0.05, false) OR (NOT speed > 0 AND coalesce(b2 < 0, false))) THEN 'grinding_drawdown'
+    WHEN wealth > trough * 1.01 AND speed > 0 AND recovered >= 3 AND dd < -0.05 AND NOT coalesce(b2 > 0.02, false) THEN 'stale_recovery' WHEN wealth > trough * 1.01 AND speed > 0 THEN 'recovery'
+    WHEN dd <= -0.25 THEN 'deep_drawdown_not_recovering' ELSE 'shallow_drawdown' END AS band FROM (
+  SELECT f.spec, f.model, f.split, f.vt, o.idx, o.month_id, o.g, o.t, o.e, o.b1, o.b2, o.rv, o.nv, f.wealth, f.peak, f.trough, f.age, f.recovered, f.d1, f.d2, f.d3, f.l AS before, f.e AS e_before,
+    f.wealth / f.peak - 1 AS dd, f.wealth / f.peak - 1 - coalesce(f.d1, 0) AS speed FROM fold f JOIN oi o ON o.spec = f.spec AND o.model = f.model AND o.split = f.split AND o.idx = f.idx + 1)))))))))"""
+)
+
+
+@query(
+    f"""WITH RECURSIVE {_OVERLAY} SELECT spec, model, split, month_id, round(l_dd, 6) AS lambda_dd, round(l, 6) AS lambda_t, state, round(dd, 6) AS drawdown_before, round(net, 6) AS overlay_net_return, round(turn, 6) AS overlay_turnover,
+  round(wealth / peak - 1, 6) AS drawdown_after, CASE WHEN vt THEN 'dd_speed_phase_vol_target' ELSE 'dd_speed_phase_control' END AS method FROM fold WHERE idx > 0"""
+)
 def drawdown_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, keys = _market_paths(spark, sf_dir), ["spec", "model", "split"]
     a, b = (overlays.overlay(df, keys, v).withColumn("method", F.lit(m)) for v, m in ((False, "dd_speed_phase_control"), (True, "dd_speed_phase_vol_target")))
-    return a.unionByName(b)
+    return rounded(a.unionByName(b))
 
 
-@query()
+_MEASURES = """{w} AS (SELECT spec, model, split, month_id, r, product(1 + r) OVER (PARTITION BY spec, model, split ORDER BY month_id) AS v FROM {of}),
+{p} AS (SELECT spec, model, split, count(*) AS n_months, CASE WHEN product(1 + r) > 0 THEN power(product(1 + r), 12.0 / count(*)) - 1 END AS annual_return, stddev_samp(r) * sqrt(12) AS annual_vol, min(v / h - 1) AS max_drawdown,
+  CASE WHEN stddev_samp(r) > 0 THEN avg(r) / (stddev_samp(r) / sqrt(count(*))) END AS t FROM (SELECT *, max(v) OVER (PARTITION BY spec, model, split ORDER BY month_id) AS h FROM {w}) GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_OVERLAY}, x1 AS (SELECT spec, model, split, month_id, net_return AS r FROM mr), x2 AS (SELECT spec, model, split, month_id, net AS r FROM fold WHERE idx > 0 AND NOT vt),
+{_MEASURES.format(w="w1", p="p1", of="x1")}, {_MEASURES.format(w="w2", p="p2", of="x2")},
+ch AS (SELECT model, split, p2.annual_return - p1.annual_return AS a, p2.annual_vol - p1.annual_vol AS b, p2.max_drawdown - p1.max_drawdown AS c FROM p1 JOIN p2 USING (spec, model, split))
+SELECT model, split, count(*) AS n, {", ".join(f"round(avg({c}), 5) AS mean_{m}, round(median({c}), 5) AS median_{m}, round(avg(CAST({c} > 0 AS DOUBLE)), 5) AS share_up_{m}" for c, m in zip("abc", ("annual_return", "annual_vol", "max_drawdown")))}
+FROM (SELECT model, split, round(a, 9) AS a, round(b, 9) AS b, round(c, 9) AS c FROM ch) GROUP BY ALL"""
+)
 def overlay_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, keys, measures = _market_paths(spark, sf_dir), ["spec", "model", "split"], ["annual_return", "annual_vol", "max_drawdown"]
     changed = overlays.overlay(df, keys, False).withColumnRenamed("overlay_net_return", "net_return")
     deltas = overlays.overlay_changes(performance.performance(df, keys), performance.performance(changed, keys), keys, measures)
-    return overlays.average_changes(deltas, ["model", "split"], measures)
+    deltas = deltas.withColumns({f"delta_{m}": F.round(f"delta_{m}", 9) for m in measures})  # noise of sums in another order is no change
+    return rounded(overlays.average_changes(deltas, ["model", "split"], measures), 5)
 
 
-@query()
+@query(
+    f"""WITH {_RETURNS}, x1 AS (SELECT spec, model, split, month_id, net_return AS r FROM mr), {_MEASURES.format(w="w1", p="p1", of="x1")},
+nm AS (SELECT *, model || '/' || spec AS id, CASE WHEN annual_vol > 0 THEN round(annual_return / annual_vol, 9) END AS sharpe, coalesce(t > 1.96 AND max_drawdown > -0.4, false) AS passes FROM p1),
+pre AS (SELECT *, row_number() OVER (ORDER BY passes DESC, sharpe DESC NULLS LAST, round(annual_return, 9) DESC NULLS LAST, id) AS rk FROM nm WHERE split = 'validation'),
+rep AS (SELECT id FROM pre QUALIFY row_number() OVER (PARTITION BY model ORDER BY passes DESC, rk) = 1),
+pick AS (SELECT id, CASE WHEN id IN (SELECT id FROM pre WHERE rk <= 20) THEN 'top' ELSE 'representative' END AS role FROM (SELECT id FROM pre WHERE rk <= 20 UNION SELECT id FROM rep))
+SELECT pick.id, role, n_months, round(annual_return, 5) AS annual_return, round(max_drawdown, 5) AS max_drawdown FROM pick LEFT JOIN (SELECT * FROM nm WHERE split = 'test') e ON e.id = pick.id"""
+)
 def selected_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best specifications on validation that pass the filters, the best of each model, and their results on test."""
     perf = performance.performance(_monthly(spark, sf_dir), ["spec", "model", "split"])
     named = perf.withColumn("id", F.concat_ws("/", "model", "spec"))
     passes = (F.col("t") > 1.96) & (F.col("max_drawdown") > -0.4)
-    pre = performance.preselect(named.filter("split = 'validation'"), [F.col("sharpe_geometric").desc_nulls_last(), F.col("annual_return").desc_nulls_last()], passes, "id")
+    pre = performance.preselect(named.filter("split = 'validation'"), [F.round("sharpe_geometric", 9).desc_nulls_last(), F.round("annual_return", 9).desc_nulls_last()], passes, "id")
     picks = [("top", pre.filter("validation_rank <= 20")), ("representative", performance.representative(pre, "model"))]
-    return performance.compact_choice(picks, "id").join(named.filter("split = 'test'").select("id", "n_months", "annual_return", "max_drawdown"), "id", "left")
+    return rounded(performance.compact_choice(picks, "id").join(named.filter("split = 'test'").select("id", "n_months", "annual_return", "max_drawdown"), "id", "left"), 5)
 
 
 # ---------------------------------------------------------------- models, samples, streams
@@ -649,7 +708,7 @@ def ridge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(df.filter("split = 'test'")).select("entity", "month_id", F.lit(name).alias("model"), "score", "target")
 
 
-@query()
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('7|' || o_orderkey::VARCHAR), o_orderkey LIMIT 100")
 def sampled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stable_sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 100, seed=7)
 
@@ -800,3 +859,5 @@ def manual_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLAGSHIP = rank_ic_summary
+
+from panelyard import more_queries  # noqa: E402, F401  registers its queries beside these

@@ -39,11 +39,16 @@ def directory(spark: SparkSession, path: str, suffix: str = "*.parquet") -> Data
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", suffix).parquet(path).withColumn("source_file", F.input_file_name())
 
 
+def sql_text(value: str) -> str:
+    """value as a text literal of SQL."""
+    return "'" + value.replace("'", "''") + "'"
+
+
 def jdbc(spark: SparkSession, url: str, source: str, columns: dict[str, str], positive: str, kinds: tuple[str, list[str]] | None = None, **options: str) -> DataFrame:
     """A database scan whose projection, renaming and predicates run in the database."""
     fields = ", ".join(f"{old} AS {new}" for old, new in columns.items())
-    where = f"{positive} > 0" + (f" AND {kinds[0]} IN ({', '.join(repr(k) for k in kinds[1])})" if kinds else "")
-    return spark.read.format("jdbc").option("url", url).option("query", f"SELECT {fields} FROM {source} WHERE {where}").options(**options).load()
+    query = f"SELECT {fields} FROM {source} WHERE {positive} > 0" + (f" AND {kinds[0]} IN ({', '.join(map(sql_text, kinds[1]))})" if kinds else "")
+    return spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load()
 
 
 def best_candidate(schemas: dict[str, list[str]], required: list[str], tokens: dict[str, int]) -> str | None:
@@ -66,8 +71,8 @@ def predictions(df: DataFrame, rename: dict[str, str], keys: list[str], numbers:
 
 
 def stable_sample(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
-    """n rows by a hash of the keys and a seed: the same rows on every run and any cluster."""
-    return df.orderBy(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), *keys).limit(n)
+    """n rows by the md5 of seed and keys (as text, joined by ``|``): the same rows on every run and any cluster."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), *keys).limit(n)
 
 
 def json_groups(text: str) -> dict[str, list[str]]:

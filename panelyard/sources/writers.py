@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def parquet(df: DataFrame, path: str, compression: str = "zstd", partition_by: list[str] = ()) -> None:
@@ -18,6 +20,20 @@ def csv(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below ``spark.checkpoint.dir``, or, on one machine that names none, below the temporary folder."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{base or tempfile.gettempdir()}/{name}-{uuid.uuid4().hex}"
+
+
+def report(spark: SparkSession, text: str, path: str) -> None:
+    """Write a small report (markdown(), json_lines()) as one text file of a folder."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def json_lines(summary: dict) -> str:
     return json.dumps(summary, indent=2, sort_keys=True, default=str)
 
