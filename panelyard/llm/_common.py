@@ -54,6 +54,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that was written to the shared folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def slices(batch: pa.RecordBatch, text: int, most_rows: int, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most most_rows rows and, but for single longer ones, most_bytes of column ``text``."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
