@@ -11,31 +11,37 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from panelyard.llm import exact_dedup, lang_id, minhash_dedup, packing, quality_rules
-from panelyard.llm._common import shared_folder
+from panelyard.llm._common import remove, shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the languages of the labelled documents; texts without letters go."""
+    """Documents whose text is in one of the languages of the labelled documents.
+
+    Null and empty texts and those without a letter go; repeated rows are judged alike. Without labelled texts all go.
+    """
     return lang_id.accepted(docs, lang_id.train(docs), least=0.1)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first quality rules keep."""
+    """Documents that the line-first quality rules keep, texts as they are. Null and empty texts go; repeated rows are judged alike."""
     return quality_rules.accepted(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with one text, that with the largest id."""
+    """Of documents with one text, that with the largest id (a null id is the smallest); of rows that repeat it, one."""
     return exact_dedup.keep_one(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more on five-word shingles, that with the smallest id."""
+    """Of documents linked by a similarity of 0.8 or more on five-word shingles, that with the smallest id.
+
+    Null ids and texts without a word are linked with nothing and stay.
+    """
     return minhash_dedup.keep_one(docs, words=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens."""
+    """Pieces of all documents in sequences of 4096 tokens; null and empty texts are the end alone, null and repeated ids stay."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
@@ -48,10 +54,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the stages' results are tables in the shared folder, so a lost executor costs no stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; the stages' results are tables in the shared folder, so a lost executor costs no stage.
+
+    A stage's table goes when the next one's is written; the last one's is the result.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     at = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}-{name}")
-        docs = spark.read.parquet(f"{at}/{i}-{name}")
+        path = f"{at}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
