@@ -30,13 +30,13 @@ class WordIds:
     """Token ids (little-endian unsigned 32-bit, as bytes) of words in lower-cased UTF-8, each encoded once.
 
     For tokenizers that lower-case, never join text across white space and split letters and digits from other
-    signs. Holds the words used last, 2 * ``most`` at most: about 150 MB.
+    signs. Holds the words used last, 2 * ``most`` at most: about 200 bytes each.
 
     plain: whether the strings of special tokens are ordinary text. Else, as in the library, they become their own ids
     wherever they stand, and texts with one must be encoded whole: see special().
     """
 
-    def __init__(self, path: str, plain: bool = False, most: int = 400_000):
+    def __init__(self, path: str, plain: bool = False, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only wait for each other
         from tokenizers import Tokenizer
 
@@ -89,18 +89,21 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-_word_ids: dict[tuple[str, bool], WordIds] = {}
+_word_ids: dict[tuple[str, bool, int], WordIds] = {}
 
 
-def word_ids(path: str, plain: bool = False) -> WordIds:
+def word_ids(path: str, plain: bool = False, most: int = 600_000) -> WordIds:
     """One in a worker, for the vocabulary used last, kept between tasks."""
-    if (path, plain) not in _word_ids:
+    key = path, plain, most
+    if key not in _word_ids:
         _word_ids.clear()
-        _word_ids[path, plain] = WordIds(path, plain)
-    return _word_ids[path, plain]
+        _word_ids[key] = WordIds(path, plain, most)
+    return _word_ids[key]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 600_000
+) -> DataFrame:
     """id_col, piece, start, length, ids_crc32: each document's ids and end_id, cut every capacity ids if longer.
 
     The ids are those of the library for the whole text, without added special tokens; strings of special tokens in a
@@ -110,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_ids(tokenizer_path)
+        ids = word_ids(tokenizer_path, most=cached_words)
         for batch in batches:
             for part in slices(batch, 1, 256):
                 texts = [t or "" for t in part.column(1).to_pylist()]
@@ -208,15 +211,19 @@ def slots(groups: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarr
     return {k: np.array(v, np.int64) for k, v in found.items()}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 600_000
+) -> DataFrame:
     """Pack all documents into sequences of at most capacity tokens.
 
+    cached_words: a worker keeps the ids of the words used last, twice so many at most; it changes time and memory only.
+
     Returns per piece: id_col, piece (from 0), start (ids of its document before it), length, ids_crc32,
     sequence_id, offset (gapless from 0 in its sequence). Null and empty texts are the one id end_id. A null or
     repeated id makes pieces like any other row. Very long texts are cut, never shortened. Columns other than the two named are not read. An empty table
     gives an empty result.
     """
-    cut = cut_lineage(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col)).withColumn("part", F.spark_partition_id())
+    cut = cut_lineage(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col, cached_words)).withColumn("part", F.spark_partition_id())
     by_part = cut_lineage(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
     histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     places = docs.sparkSession.sparkContext.broadcast(slots(plan(histogram, capacity)))
