@@ -166,9 +166,9 @@ def merge_many(words: list[bytes], leaves: int, pairs: PairRanks) -> list[list[i
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of up to ``most`` matches no longer than 65 bytes: some 25 MB at 150 bytes a match."""
+    """Encodes texts; keeps the ids of up to ``most`` matches no longer than 65 bytes: some 50 MB at 150 bytes a match."""
 
-    def __init__(self, path: str, pattern: str, most: int = 150_000):
+    def __init__(self, path: str, pattern: str, most: int = 300_000):
         self.ranks = read_ranks(path)
         self.pairs = PairRanks(self.ranks)
         self.find = regex.compile(pattern).findall
