@@ -42,8 +42,11 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
-        added = [] if plain else [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added)), re.I).search if added else lambda text: None
+        added = {} if plain else {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
+        strings = [] if plain else [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, strings)), re.I).search if strings else lambda text: None
+        added.pop(getattr(self.tokenizer.model, "unk_token", None), None)
+        self.between = next(iter(added.items()), None)  # a string that no word holds, and its id, which no word has
         self.most = most
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -74,11 +77,20 @@ class WordIds:
             self.known[w] = self.known[core] + self.known[w[len(core) :]]
 
     def _encode(self, words: set[bytes]) -> None:
+        """Ids of new words: 32 in one string, parted by the special token, as a call for each word costs more than its ids."""
         new = list(words)
+        together = 32 if self.between else 1
         for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (array("I", e.ids).tobytes() for e in encoded), strict=True))
+            groups = [new[i : i + together] for i in range(at, min(at + 4096, len(new)), together)]
+            mark, mark_id = self.between or ("", -1)
+            encoded = self.tokenizer.encode_batch_fast([mark.join([w.decode() for w in g]) for g in groups], add_special_tokens=False)
+            for group, e in zip(groups, encoded, strict=True):
+                ids = np.array(e.ids, "<u4")
+                cuts = np.flatnonzero(ids == mark_id).tolist() if mark else []
+                data, at_id = ids.tobytes(), 0
+                for w, cut in zip(group, [*cuts, len(ids)], strict=True):
+                    self.known[w] = data[4 * at_id : 4 * cut]
+                    at_id = cut + 1
 
     def of(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.known.__getitem__, words))
