@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from panelyard.functions import dates
 from panelyard.functions import scalars as x
 from panelyard.operators import features, models, quality, stats, timeseries, xsection
-from panelyard.plans import performance
-from panelyard.queries import _PANEL, _RETURNS, _monthly, panel, query, rounded, targets
+from panelyard.plans import performance, portfolio, rank_ic
+from panelyard.queries import _BETS, _MEASURES, _PANEL, _RETURNS, _bets, _monthly, panel, query, rounded, scores, targets
 from panelyard.sources import readers, writers
 from panelyard.sources.readers import table
 
@@ -221,3 +221,70 @@ def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.split(F.col("value"), r"\s*\|\s*")
     rows = spark.read.text(path).filter("value like '| %' and value not like '%l_returnflag%'")
     return rows.select(cells[1].alias("l_returnflag"), cells[2].alias("l_linestatus"), cells[3].cast("long").alias("n"))
+
+
+@query(
+    f"""WITH {_PANEL}, ok AS (SELECT * FROM sc WHERE score IS NOT NULL AND target IS NOT NULL),
+rk AS (SELECT *, rank() OVER (PARTITION BY model, split, month_id ORDER BY score) + (count(*) OVER (PARTITION BY model, split, month_id, score) - 1) / 2.0 AS a,
+  rank() OVER (PARTITION BY model, split, month_id ORDER BY target) + (count(*) OVER (PARTITION BY model, split, month_id, target) - 1) / 2.0 AS b FROM ok)
+SELECT model, split, month_id, count(*) AS n_obs, CASE WHEN count(*) >= 9 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN round(corr(a, b), 6) END AS rank_ic FROM rk GROUP BY ALL"""
+)
+def rank_ic_all_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months with too few rows are kept, without a correlation."""
+    return rounded(rank_ic.monthly_rank_ic(scores(spark, sf_dir), min_obs=9, keep_null_months=True))
+
+
+@query(
+    f"""WITH {_BETS}, ok AS (SELECT * FROM bets WHERE score IS NOT NULL AND ret IS NOT NULL),
+pf AS (SELECT q, ls, CASE WHEN ls THEN 'long_short_' ELSE 'long_only_' END || printf('%g', q) AS portfolio FROM (VALUES (0.1::DOUBLE), (0.2)) a(q), (VALUES (true), (false)) b(ls)),
+x AS (SELECT ok.*, portfolio, ls, row_number() OVER (w ORDER BY score, entity) AS u, row_number() OVER (w ORDER BY score DESC, entity) AS d, greatest(1, floor(count(*) OVER w * q)) AS k FROM ok, pf WINDOW w AS (PARTITION BY portfolio, model, split, month_id)),
+l AS (SELECT *, CASE WHEN d <= k THEN 1 WHEN u <= k THEN -1 END AS leg FROM x), f AS (SELECT *, count(*) FILTER (leg = -1) OVER (PARTITION BY portfolio, model, split, month_id) AS s FROM l WHERE leg = 1 OR (ls AND leg = -1)),
+wt AS (SELECT portfolio, model, split, month_id, entity, ret AS r, leg / count(*) OVER (PARTITION BY portfolio, model, split, month_id, leg) AS w FROM f WHERE s > 0 OR NOT ls),
+wi AS (SELECT *, dense_rank() OVER (PARTITION BY portfolio, model, split ORDER BY month_id) AS idx FROM wt), gr AS (SELECT portfolio, model, split, idx, any_value(month_id) AS month_id, sum(w * r) AS g FROM wi GROUP BY portfolio, model, split, idx),
+tr AS (SELECT portfolio, model, split, idx, entity, w, 0 AS b FROM wi UNION ALL SELECT portfolio, model, split, idx + 1, entity, 0, CASE WHEN 1 + g > 0 THEN w * (1 + r) / (1 + g) ELSE w END FROM wi JOIN gr USING (portfolio, model, split, idx)),
+nt AS (SELECT portfolio, model, split, idx, entity, sum(w) AS w, sum(b) AS b FROM tr GROUP BY ALL), tu AS (SELECT portfolio, model, split, idx, sum(abs(w - b)) AS turnover FROM nt GROUP BY ALL),
+mo AS (SELECT portfolio, model, split, month_id, cost_bps, g - cost_bps / 10000 * turnover AS r FROM gr JOIN tu USING (portfolio, model, split, idx), (VALUES (0.0::DOUBLE), (5.0), (10.0), (25.0), (50.0), (100.0)) c(cost_bps)),
+v AS (SELECT *, product(1 + r) OVER (PARTITION BY portfolio, model, split, cost_bps ORDER BY month_id) AS v FROM mo), h AS (SELECT *, v / max(v) OVER (PARTITION BY portfolio, model, split, cost_bps ORDER BY month_id) - 1 AS dd FROM v)
+SELECT portfolio, model, split, cost_bps, count(*) AS n_months, round(avg(r), 5) AS mean_return, round(CASE WHEN product(1 + r) > 0 THEN power(product(1 + r), 12.0 / count(*)) - 1 END, 5) AS annual_return, round(min(dd), 5) AS max_drawdown FROM h GROUP BY ALL"""
+)
+def baseline_portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long-only and long-short baselines of both fractions at every cost."""
+    monthly = features.expand_costs(portfolio.baseline_portfolios(_bets(spark, sf_dir)))
+    df = performance.performance(monthly, ["portfolio", "model", "split", "cost_bps"])
+    return rounded(df.select("portfolio", "model", "split", "cost_bps", "n_months", "mean_return", "annual_return", "max_drawdown"), 5)
+
+
+@query(
+    f"""WITH {_RETURNS}, x1 AS (SELECT spec, model, split, month_id, net_return AS r FROM mr), {_MEASURES.format(w="w1", p="p1", of="x1")},
+nm AS (SELECT *, model || '/' || spec AS id, CASE WHEN annual_vol > 0 THEN round(annual_return / annual_vol, 9) END AS sharpe, coalesce(t > 1.96 AND max_drawdown > -0.4, false) AS passes FROM p1 WHERE split = 'validation'),
+pre AS (SELECT id, row_number() OVER (ORDER BY passes DESC, sharpe DESC NULLS LAST, round(annual_return, 9) DESC NULLS LAST, id) AS rk FROM nm),
+e AS (SELECT model || '/' || spec AS id, net_return AS r, b.market_ret AS b FROM mr JOIN mk b ON b.month_id = mr.month_id + 1 WHERE split = 'test' AND b.market_ret IS NOT NULL)
+SELECT id, count(*) AS n, round(covar_samp(r, b) / var_samp(b), 5) AS beta, round(avg(r) - covar_samp(r, b) / var_samp(b) * avg(b), 5) AS alpha, CASE WHEN stddev_pop(r) > 0 THEN round(corr(r, b), 5) END AS corr
+FROM e WHERE id IN (SELECT id FROM pre WHERE rk <= 20) GROUP BY 1"""
+)
+def spec_alpha_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market alpha and beta on test of the specifications that did best on validation."""
+    p, monthly = panel(spark, sf_dir), _monthly(spark, sf_dir).withColumn("id", F.concat_ws("/", "model", "spec"))
+    validation = performance.performance(monthly.filter("split = 'validation'"), ["id"])
+    passes = (F.col("t") > 1.96) & (F.col("max_drawdown") > -0.4)
+    pre = performance.preselect(validation, [F.round("sharpe_geometric", 9).desc_nulls_last(), F.round("annual_return", 9).desc_nulls_last()], passes, "id")
+    chosen = performance.choose_specs(monthly.filter("split = 'test'"), pre, top=20, id_col="id")
+    market = p.select("month_id", F.col("market_ret").alias("benchmark_return")).distinct()
+    return rounded(performance.benchmark_alpha_beta(chosen, market, ["id"]), 5)
+
+
+@query("SELECT 'nation' AS run, n_nationkey AS key, n_name AS name FROM nation UNION ALL SELECT 'region', r_regionkey, r_name FROM region")
+def results_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of two runs written as CSV and read as one table."""
+    path = writers.scratch(spark, "results")
+    for run, key in (("nation", "n_nationkey"), ("region", "r_regionkey")):
+        writers.csv(table(spark, sf_dir, run).select(F.lit(run).alias("run"), F.col(key).alias("key"), F.col(f"{run[0]}_name").alias("name")), f"{path}/{run}")
+    return readers.results(spark, [f"{path}/nation", f"{path}/region"], "run string, key int, name string")
+
+
+@query("SELECT s_suppkey, s_acctbal AS score, 's_acctbal' AS used FROM supplier")
+def fallback_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first score column of a list that the table has stands in for those before it."""
+    s = table(spark, sf_dir, "supplier")
+    used = readers.first_column(s, ["expected_return", "S_ACCTBAL", "s_suppkey"])
+    return s.select("s_suppkey", F.col(used).alias("score"), F.lit(used).alias("used"))

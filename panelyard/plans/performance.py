@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelyard.operators import stats
 from panelyard.operators.timeseries import with_drawdown
+from panelyard.plans.portfolio import benchmark_aligned
 
 
 def performance(monthly: DataFrame, keys: list[str], ret: str = "net_return", month: str = "month_id", from_one: bool = False) -> DataFrame:
@@ -71,3 +72,17 @@ def compact_choice(picks: list[tuple[str, DataFrame]], id_col: str = "spec") ->
         part = df.select(id_col, F.lit(role).alias("role"), F.lit(place).alias("__p"))
         out = part if out is None else out.unionByName(part)
     return out.groupBy(id_col).agg(F.min_by("role", "__p").alias("role"))
+
+
+def choose_specs(monthly: DataFrame, preselected: DataFrame | None = None, ids: tuple[str, ...] = (), top: int = 20, id_col: str = "spec") -> DataFrame:
+    """Months of the specifications named by ids, else of the best ``top`` of preselected, else of all."""
+    if ids:
+        return monthly.filter(F.col(id_col).isin(*ids))
+    if preselected is None:
+        return monthly
+    return monthly.join(preselected.filter(F.col("validation_rank") <= top).select(id_col), id_col, "left_semi")
+
+
+def benchmark_alpha_beta(monthly: DataFrame, benchmark: DataFrame, keys: list[str], ret: str = "net_return") -> DataFrame:
+    """n, beta, alpha and corr per keys against the benchmark (month_id, benchmark_return) of the month after formation."""
+    return stats.beta_alpha(benchmark_aligned(monthly, benchmark), keys, ret, "benchmark_return")

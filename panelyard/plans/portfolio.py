@@ -6,6 +6,7 @@ all specifications of all models go through the same few shuffles on (spec, spli
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -112,6 +113,12 @@ def baseline_returns(panel: DataFrame, fraction: float, long_short: bool, keys:
     return portfolio_returns(held, months, 0.0, entity=entity).select(*keys, "month_id", "gross_return", "turnover", "n_long", "n_short")
 
 
+def baseline_portfolios(panel: DataFrame, fractions: tuple[float, ...] = (0.1, 0.2), keys: tuple[str, ...] = ("model", "split"), entity: str = "entity") -> DataFrame:
+    """baseline_returns() of long-only and long-short portfolios of every fraction, told apart by ``portfolio``."""
+    made = [baseline_returns(panel, q, ls, keys, entity).withColumn("portfolio", F.lit(f"{'long_short' if ls else 'long_only'}_{q:g}")) for ls, q in product((False, True), fractions)]
+    return reduce(DataFrame.unionByName, made)
+
+
 def quantile_portfolios(panel: DataFrame, k: int = 5, score: str = "score", target: str = "ret", keys: tuple[str, ...] = ("model", "split", "month_id"), tie: tuple[str, ...] = ("entity",)) -> DataFrame:
     """Equal-weight return of each of k score buckets a month, and of the highest less the lowest."""
     ok = panel.filter(F.col(score).isNotNull() & F.col(target).isNotNull())

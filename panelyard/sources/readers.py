@@ -112,3 +112,17 @@ def schema_table(df: DataFrame) -> DataFrame:
         parts += [F.count(c).alias(f"__n_{c}"), F.count_distinct(c).alias(f"__u_{c}")]
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.col(f"__n_{c}").alias("nonmissing"), F.col(f"__u_{c}").alias("n_unique")) for c, kind in df.dtypes])
     return df.agg(*parts).select(F.explode(rows).alias("r")).select("r.*")
+
+
+def results(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """CSV results of several runs, of one schema, as one table."""
+    return spark.read.schema(schema).option("header", True).csv(list(paths))
+
+
+def first_column(df: DataFrame, names: list[str]) -> str:
+    """The first of names that df has, in any case, as df writes it; raises if it has none."""
+    own = {c.lower(): c for c in df.columns}
+    for name in names:
+        if name.lower() in own:
+            return own[name.lower()]
+    raise ValueError(f"none of {names} is a column")
