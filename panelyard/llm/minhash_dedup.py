@@ -46,6 +46,11 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def _forget() -> None:
+    """At a task's end: a worker that is used again keeps no words."""
+    _hashes.clear()
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h *= np.uint64(0x9E3779B97F4A7C15)
@@ -98,6 +103,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, side: int,
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))],
                 names=["id", "n", "digest", "sig"],
             )
+        _forget()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {id_type}, n long, digest binary, sig array<int>")
 
@@ -111,6 +117,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             for part in slices(batch, 1, 1024):
                 found = [shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
+        _forget()
 
     return docs.mapInArrow(run, f"id {id_type}, shingles binary")
 
