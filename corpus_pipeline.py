@@ -44,7 +44,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens; null and empty texts are the end alone, null and repeated ids stay."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, cached_words=200_000)  # beside what earlier stages hold
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, cached_words=50_000)  # beside what earlier stages hold
 
 
 STAGES = [("language", language), ("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("packing", pack)]
