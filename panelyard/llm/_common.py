@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,16 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[str]:
+    """A path in the shared folder for a table; what is there goes at the end."""
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        remove(spark, path)
+
+
 def slices(batch: pa.RecordBatch, text: int, most_rows: int, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most most_rows rows and, but for single longer ones, most_bytes of column ``text``."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
