@@ -10,7 +10,6 @@ run of content starts, where it dives back to nothing the run ends, and the text
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from typing import NamedTuple
@@ -22,8 +21,9 @@ from pyspark.sql import functions as F
 from panelyard.llm._common import slices
 
 _OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)|<[!?/]")
-#: The rest of a tag. Quoted values may hold a ``>``, if they are not longer than any value that does.
-_REST = re.compile(r"""((?:[^'">]|"[^"]{0,65536}+"|'[^']{0,65536}+')*+)>""")
+#: The rest of a tag of usual length; of longer ones _TagEnds finds the end.
+_REST = re.compile(r"""((?:[^'">]{1,256}+|"[^"]{0,256}+"|'[^']{0,256}+'){0,32}+)>""")
+_MARK = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _BLANKS = re.compile(r"\s+")
 #: Elements whose content is raw text of no page; those that swallow the rest of the page if they are not closed.
@@ -79,6 +79,43 @@ def _signal(tag: str, attributes: str, in_article: bool) -> int:
     return found
 
 
+class _TagEnds:
+    """Where the tags of a page end: at the first ``>`` that stands in no quoted value, however long the values are.
+
+    Each mark that a search meets outside values is remembered with its result, and so is the last stretch without a
+    mark, so all searches together take time in proportion to the page's length.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.known: dict[int, int] = {}
+        self.gap = (0, -1)
+
+    def _next(self, at: int) -> int:
+        if not self.gap[0] <= at <= self.gap[1]:
+            m = _MARK.search(self.html, at)
+            self.gap = (at, m.start() if m else len(self.html))
+        return self.gap[1]
+
+    def find(self, at: int) -> int:
+        """The place of the ``>`` of a tag that is read up to ``at``; -1 if a value or the tag has no end."""
+        path, found = [], -1
+        while (mark := self._next(at)) < len(self.html):
+            if mark in self.known:
+                found = self.known[mark]
+                break
+            path.append(mark)
+            if self.html[mark] == ">":
+                found = mark
+                break
+            close = self.html.find(self.html[mark], mark + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.known.update(dict.fromkeys(path, found))
+        return found
+
+
 def lines_of(html: str) -> list[Line | None]:
     """The page's blocks in order. Furniture outside articles leaves lines without text, furniture in one leaves none.
 
@@ -88,7 +125,9 @@ def lines_of(html: str) -> list[Line | None]:
     lines: list[Line | None] = []
     parts: list[str] = []
     stack: list[tuple[str, int, bool, bool]] = []  # tag, signal, is an article, is a block
-    opened: Counter[str] = Counter()
+    places: dict[str, list[int]] = {}  # of each tag on the stack
+    blocks: list[int] = []  # places of blocks on the stack
+    ends = _TagEnds(html)
     unclosed: set[str] = set()
     hidden = hinted = inside = linked = 0
     in_link = unseen = False
@@ -118,8 +157,15 @@ def lines_of(html: str) -> list[Line | None]:
 
     def count(entry: tuple[str, int, bool, bool], by: int) -> None:
         nonlocal hidden, hinted, inside
-        tag, signal, article, _ = entry
-        opened[tag] += by
+        tag, signal, article, block = entry
+        if by > 0:
+            places.setdefault(tag, []).append(len(stack) - 1)
+        else:
+            places[tag].pop()
+        if block and by > 0:
+            blocks.append(len(stack) - 1)
+        elif block:
+            blocks.pop()
         hidden, hinted = hidden + by * (signal == 2), hinted + by * (signal == 1)
         if article:
             if inside + by == 0 or not inside:
@@ -148,6 +194,8 @@ def lines_of(html: str) -> list[Line | None]:
             text(m.start(), n)
             break
         rest = _REST.match(html, m.end())
+        if not rest and (far := ends.find(m.end())) >= 0:
+            end = far  # else a quote is not closed: the tag ends at the first >
         attributes, at = (rest[1], rest.end()) if rest else (html[m.end() : end], end + 1)
         block = tag not in _INLINE
         if m[1]:
@@ -155,18 +203,10 @@ def lines_of(html: str) -> list[Line | None]:
                 in_link = False
             if block:
                 flush()
-            if opened[tag]:
-                place = len(stack) - 1
-                if block:
-                    while stack[place][0] != tag:
-                        place -= 1
-                else:  # an inline end does not close blocks
-                    least = max(0, place - 64)
-                    while place >= least and stack[place][0] != tag:
-                        place = -1 if stack[place][3] else place - 1
-                    if place < least:
-                        continue
-                pop_to(place)
+            if places.get(tag):
+                place = places[tag][-1]
+                if block or not blocks or place > blocks[-1]:  # an inline end does not close blocks
+                    pop_to(place)
             continue
         if tag in _RAW:
             found = None if tag in unclosed else _RAW[tag].search(html, at)
