@@ -73,7 +73,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """One row per conversation: conv_col, formatted, loss_spans (start, end in code points), attachments (with their turn), expanded_tokens.
 
     Turns are ordered by turn number, nulls first; ties by role and content, so repeated rows are repeated turns.
-    A null role is empty. Rows with a null conversation id form one conversation. loss_spans cover the content of
+    A null role is empty. A row with a null conversation id is a conversation of its own: nothing says that
+    two such rows belong together, and there is no bound on how many there are. Very long texts are kept whole, other
+    columns are not read, an empty table gives an empty result. loss_spans cover the content of
     the turns whose role is in learned. A conversation is one row of the result, so its turns meet in one task; the
     offsets are running sums, and a conversation takes memory in proportion to its own length.
     """
@@ -83,20 +85,19 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     rows = rows.select("conv", "turn", "role", head.alias("head"), "p.content", "p.attachments")
     own = F.length("head") + F.length("content") + len(END)
     order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "content")
-    rows = rows.withColumns({"n": F.row_number().over(order), "start": F.sum(own).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("content") - len(END)})
+    places = {"n": F.row_number().over(order), "start": F.sum(own).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("content") - len(END)}
+    turn = F.struct("n", "turn", "role", "head", "content", "attachments", "start")
+    together = rows.filter("conv is not null").withColumns(places).groupBy("conv").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    alone = rows.filter("conv is null").withColumns({"n": F.lit(1), "start": F.length("head").cast("long")}).select("conv", F.array(turn).alias("t"))
     spans = F.filter("t", lambda x: x["role"].isin(*learned))
     tokens = lambda x: F.aggregate(x["attachments"], F.lit(0).cast("long"), lambda acc, a: acc + a["tokens"])
     attached = F.flatten(F.transform("t", lambda x: F.transform(x["attachments"], lambda a: F.struct(x["turn"].alias("turn"), a["number"].alias("number"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
-    return (
-        rows.groupBy("conv")
-        .agg(F.array_sort(F.collect_list(F.struct("n", "turn", "role", "head", "content", "attachments", "start"))).alias("t"))
-        .select(
-            F.col("conv").alias(conv_col),
-            F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["content"], F.lit(END))), "").alias("formatted"),
-            F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["content"])).alias("end"))).alias("loss_spans"),
-            attached.alias("attachments"),
-            F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc + tokens(x)).alias("expanded_tokens"),
-        )
+    return together.unionByName(alone).select(
+        F.col("conv").alias(conv_col),
+        F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["content"], F.lit(END))), "").alias("formatted"),
+        F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["content"])).alias("end"))).alias("loss_spans"),
+        attached.alias("attachments"),
+        F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc + tokens(x)).alias("expanded_tokens"),
     )
 
 

@@ -1,5 +1,8 @@
 """Odd rows, clashing names, bounds and helpers of the training-data operators and the pipeline."""
 
+import random
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -132,3 +135,71 @@ def test_pipeline_on_odd_repeated_and_empty_rows(spark, tmp_path):
 
 def test_queries_of_the_subpackage_are_the_ten():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)] and packing.slots([]) == {}
+
+
+def test_op3_has_no_bound_on_attributes_and_open_elements():
+    from panelyard.llm import html_extract
+
+    for n in (100, 70_000, 300_000):
+        page = f'<article><p title="{"x" * n}>LEAK">ok text here</p><p class=\'{"y" * n}">\' data-a="b>c">and more</p></article>'
+        assert html_extract.main_text(page) == "ok text here\nand more"
+    for n in (10, 70, 1000):
+        assert html_extract.main_text(f'<article><p>a <span class="ad">hidden {"<i>" * n}x</span> b</p></article>') == "a b"
+        assert html_extract.main_text(f'<article><p>a <b>{"<i>" * n}x</b><span class="ad">y</span> b</p></article>') == "a x b"
+    for bad in ("<a 'x ", '<a "x', "<a ><b '", "<a x", '<a "' + "'", "<i>", "<div title='" + "z" * 300):
+        began = time.perf_counter()
+        html_extract.main_text("<p>text " + bad * 60_000 + "'>\"> end")
+        assert time.perf_counter() - began < 20, bad
+
+
+def test_op3_tag_ends_equal_a_plain_scan():
+    from panelyard.llm import html_extract
+
+    rng = random.Random(2)
+    for _ in range(400):
+        page = "".join(rng.choices("\"'>ab ", k=rng.randint(0, 40)))
+        ends = html_extract._TagEnds(page)
+        for at in rng.sample(range(len(page) + 1), len(page) + 1):
+            quote, want = "", -1
+            for i in range(at, len(page)):
+                c = page[i]
+                if quote:
+                    quote = "" if c == quote else quote
+                elif c == ">":
+                    want = i
+                    break
+                elif c in "\"'":
+                    quote = c
+            assert ends.find(at) == want, (page, at)
+
+
+def test_op4_attention_takes_any_scores():
+    from panelyard.llm import lm_scoring
+
+    rng = np.random.default_rng(0)
+    n, half = 7, lm_scoring.HALF
+    back = np.arange(half)[:, None] + half - np.arange(2 * half)[None, :]
+    inputs = rng.integers(0, n, (3, 2 * half))
+    for scale in (1.0, 200.0, -200.0):
+        tables = {"E": rng.standard_normal((n, 4)), "q": np.full((n, 4), scale / 2), "k": rng.uniform(0.2, 1, (n, 4)), "v": rng.standard_normal((n, 4)), "bias": np.where(back >= 0, 0.0, -1e9)}
+        y, a = lm_scoring.Attention.contexts(tables, inputs)
+        assert np.isfinite(y).all() and np.allclose(a.sum(axis=2), 1)
+        for w in range(3):
+            for i in range(0, half, 11):
+                raw = [float(tables["q"][inputs[w, half + i]] @ tables["k"][inputs[w, j]]) for j in range(half + i + 1)]
+                weights = np.exp(np.array(raw) - max(raw))
+                weights /= weights.sum()
+                want = sum(x * tables["v"][inputs[w, j]] for j, x in enumerate(weights)) + tables["E"][inputs[w, half + i]]
+                assert np.allclose(y[w, i], want)
+
+
+def test_op5_rows_without_a_conversation_stay_alone(spark):
+    from panelyard.llm import chat_format
+
+    turns = spark.createDataFrame([(None, 1, "user", "hi"), (None, 1, "user", "hi"), (None, 2, "assistant", "yes"), (3, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    chats = chat_format.format_chats(turns.withColumn("parts", chat_format.text_parts(F.col("text"))))
+    got = sorted((r["conv_id"] or 0, r["formatted"], [tuple(s) for s in r["loss_spans"]]) for r in chats.collect())
+    one = lambda role, text: f"<|turn|>{role}<|text|>{text}<|end|>"
+    start = len("<|turn|>assistant<|text|>")
+    assert got == [(0, one("assistant", "yes"), [(start, start + 3)]), (0, one("user", "hi"), []), (0, one("user", "hi"), []), (3, one("assistant", "a"), [(start, start + 1)])]
+    assert chat_format.format_chats(turns.limit(0).withColumn("parts", chat_format.text_parts(F.col("text")))).count() == 0
