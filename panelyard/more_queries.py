@@ -87,28 +87,72 @@ def prefixed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.missing_as_null(readers.prefixed(n, "geo_", ["n_nationkey"]))
 
 
+#: part under the names of accounting columns.
+_COMP = {"comp_saley": "p_retailprice", "comp_niy": "p_size", "comp_oancfy": "p_partkey", "comp_cusip": "p_name", "comp_fyr": "p_size", "comp_datadate": "p_brand", "comp_atq": "p_partkey"}
+
+
+def _comp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    as_double = lambda c: F.col(c).cast("double") if c in ("p_retailprice", "p_size", "p_partkey") else F.col(c)
+    return table(spark, sf_dir, "part").select("p_partkey", *[as_double(c).alias(name) for name, c in _COMP.items()])
+
+
+@query("SELECT p_partkey, round(ln(p_retailprice), 6) AS acct_log_sales, round(p_size / p_retailprice, 6) AS acct_net_income_margin, round((p_size - p_partkey) / p_retailprice, 6) AS acct_accruals_to_sales FROM part")
+def accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios whose inputs are there."""
+    made = features.accounting_ratios(_comp(spark, sf_dir))
+    return rounded(made.select("p_partkey", "acct_log_sales", "acct_net_income_margin", "acct_accruals_to_sales"))
+
+
+_WANTED = [(d.name, d.kind, ",".join(d.inputs)) for d in features.derived_features()]
+
+
 @query(
-    """SELECT p_partkey, round(ln(p_retailprice), 6) AS acct_log_sales, round(p_size / p_retailprice, 6) AS acct_net_income, round((p_size - p_partkey) / p_retailprice, 6) AS acct_accruals, 'missing cogsy' AS gross_margin FROM part"""
+    f"""WITH have AS (SELECT list(column_name) AS c FROM (DESCRIBE SELECT {", ".join(f"{c} AS {name}" for name, c in _COMP.items())} FROM part)),
+want AS (SELECT *, list_filter(string_split(required_columns, ','), lambda x: NOT list_contains(c, x)) AS lost FROM (VALUES {", ".join(map(str, _WANTED))}) AS v(feature, feature_type, required_columns), have)
+SELECT feature, feature_type, required_columns, len(lost) = 0 AS created, CASE WHEN len(lost) > 0 THEN 'missing required columns: ' || array_to_string(lost, ',') ELSE '' END AS skipped_reason FROM want"""
 )
-def accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratios whose inputs are there, and why another is not."""
-    df = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("comp_saley"), F.col("p_size").cast("double").alias("comp_niy"), F.col("p_partkey").cast("double").alias("comp_oancfy"))
-    made, status = features.accounting_ratios(df)
-    return rounded(made.select("p_partkey", "acct_log_sales", "acct_net_income", "acct_accruals", F.lit(status["acct_gross_margin"]).alias("gross_margin")))
+def accounting_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which accounting features the columns allow, and what the others lack."""
+    return features.feature_status(_comp(spark, sf_dir))
+
+
+_CHOICE = {
+    "l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "twin": "l_quantity * 2 + 1", "l_discount": "l_discount", "l_tax": "l_tax", "fixed": "l_linenumber * 0.0",
+    "mostly_empty": "CASE WHEN l_linenumber = 1 AND l_tax > 0.04 THEN l_tax END", "half_empty": "CASE WHEN l_linenumber <= 2 THEN l_discount END", "late_twin": "3 - l_tax", "tiny": "l_discount * 0.000001",
+}
+_CHOICE_COLUMNS = ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in _CHOICE.items())
 
 
-@query("SELECT 'constant' AS reason, 'fixed' AS feature UNION ALL SELECT 'missing', 'empty' UNION ALL SELECT 'redundant', 'twin' UNION ALL SELECT 'kept', 'p_size' UNION ALL SELECT 'kept', 'p_retailprice' UNION ALL SELECT 'indicator', 'empty'")
+@query(
+    f"""WITH f AS (SELECT {_CHOICE_COLUMNS} FROM lineitem),
+s AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, {i} AS o, 1 - count({c}) / count(*) AS missing, min({c}) = max({c}) AS flat, var_pop({c}) <= 1e-12 AS still FROM f" for i, c in enumerate(_CHOICE))}),
+fell AS (SELECT *, CASE WHEN missing >= 0.6 THEN 'missing' WHEN flat THEN 'constant' WHEN still THEN 'variance' END AS reason FROM s),
+pairs AS ({" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) >= 0.999999999 AS same FROM f" for i, a in enumerate(_CHOICE) for b in list(_CHOICE)[i + 1 :] if "fixed" not in (a, b))}),
+twins AS (SELECT DISTINCT b FROM pairs JOIN fell x ON x.feature = a JOIN fell y ON y.feature = b WHERE same AND x.reason IS NULL AND y.reason IS NULL)
+SELECT coalesce(reason, CASE WHEN b IS NOT NULL THEN 'redundant' ELSE 'kept' END) AS reason, feature FROM fell LEFT JOIN twins ON b = feature
+UNION ALL SELECT 'indicator', feature FROM (SELECT feature FROM s WHERE missing >= 0.1 ORDER BY missing DESC, feature LIMIT 10)"""
+)
 def feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "part").select("p_size", "p_retailprice", (F.col("p_size") * 2.0 + 1).alias("twin"), F.lit(1.0).alias("fixed"), F.lit(None).cast("double").alias("empty"))
+    """Which of ten columns of the order lines are features, why the others are none, and which get an indicator."""
+    df = table(spark, sf_dir, "lineitem").selectExpr(*[f"CAST({e} AS DOUBLE) AS {c}" for c, e in _CHOICE.items()])
     kept, why = features.select_features(df, df.columns)
     rows = [(reason, name) for name, reason in why.items()] + [("kept", k) for k in kept] + [("indicator", c) for c in features.missing_indicators(df, df.columns)]
     return spark.createDataFrame(rows, "reason string, feature string")
 
 
-@query("SELECT 'identifier' AS reason, 'permno' AS name UNION ALL SELECT 'helper', 'target_ret' UNION ALL SELECT 'date', 'month_id' UNION ALL SELECT NULL, 'mom_6m'")
+@query(
+    f"""WITH names AS ({" UNION ALL ".join(f"SELECT '{t}' AS source, column_name AS name FROM (DESCRIBE {t})" for t in ("orders", "lineitem", "events", "pages"))}
+UNION ALL SELECT 'comp', column_name FROM (DESCRIBE SELECT {", ".join(f"{c} AS {name}" for name, c in _COMP.items())} FROM part))
+SELECT source, name, CASE WHEN name IN ('comp_cik', 'comp_cik_norm', 'comp_conm', 'comp_cusip', 'comp_tic') OR contains(lower(name), 'cusip') OR contains(lower(name), 'cik') THEN 'identifier_or_name'
+  WHEN name IN ('comp_available_date', 'comp_datadate') OR contains(lower(name), 'date') THEN 'date_or_availability_metadata'
+  WHEN name IN ('compustat_age_days', 'compustat_match') THEN 'linking_or_validation_helper'
+  WHEN name IN ('comp_costat', 'comp_curcdq', 'comp_exchg', 'comp_fic', 'comp_fqtr', 'comp_fyearq', 'comp_fyr') THEN 'categorical_or_fiscal_metadata' END AS reason FROM names"""
+)
 def column_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["permno", "target_ret", "mom_6m", "month_id"]
-    return spark.createDataFrame([("date" if n == "month_id" and features.exclusion_reason(n) in ("identifier", "date") else features.exclusion_reason(n), n) for n in names], "reason string, name string")
+    """The columns of some tables, and why they are no features."""
+    frames = {t: table(spark, sf_dir, t) for t in ("orders", "lineitem", "events", "pages")} | {"comp": _comp(spark, sf_dir).drop("p_partkey")}
+    names = spark.createDataFrame([(t, c) for t, df in frames.items() for c in df.columns], "source string, name string")  # metadata: a row a column
+    return names.withColumn("reason", features.column_reason(F.col("name")))
 
 
 @query(

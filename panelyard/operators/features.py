@@ -2,30 +2,54 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.functions.scalars import log_positive, safe_divide
-from panelyard.operators.xsection import redundant
+from panelyard.operators import moments
 
-#: Classes of columns that are no features; the first that fits gives the reason.
-REASONS = [
-    ("identifier", r"(permno|permco|gvkey|cusip|cik|ticker|entity|.*_id|.*key)"),
-    ("date", r"(date|month|month_id|year|.*date|.*dt)"),
-    ("helper", r"(target.*|label|split|.*_match|.*_age_days|__.*)"),
-    ("categorical", r"(sic.*|naics.*|.*segment|.*status|.*flag|exchange)"),
-]
+#: Why a column is no feature; the first reason that fits counts. Names stand for themselves, tokens for any name that holds them.
+IDENTIFIER, DATE, HELPER, CATEGORICAL = "identifier_or_name", "date_or_availability_metadata", "linking_or_validation_helper", "categorical_or_fiscal_metadata"
+REASON_NAMES = {
+    IDENTIFIER: ("comp_cik", "comp_cik_norm", "comp_conm", "comp_cusip", "comp_tic"),
+    DATE: ("comp_available_date", "comp_datadate"),
+    HELPER: ("compustat_age_days", "compustat_match"),
+    CATEGORICAL: ("comp_costat", "comp_curcdq", "comp_exchg", "comp_fic", "comp_fqtr", "comp_fyearq", "comp_fyr"),
+}
+REASON_TOKENS = {IDENTIFIER: ("cusip", "cik"), DATE: ("date",), HELPER: (), CATEGORICAL: ()}
+#: Keys, targets and labels of the panels here, which no list of scores may hold.
+PANEL_COLUMNS = ("permno", "permco", "gvkey", "ticker", "entity", "month_id", "split", "label", "quintile")
 
 
-def exclusion_reason(column: str) -> str | None:
-    return next((reason for reason, pattern in REASONS if re.fullmatch(pattern, column.lower())), None)
+def column_reason(column: Column) -> Column:
+    """Why the column of that name is no feature, or null; for names in rows, as schema_table() has them."""
+    out, low = F.lit(None).cast("string"), F.lower(column)
+    for reason in reversed(REASON_NAMES):
+        fits = column.isin(*REASON_NAMES[reason])
+        for token in REASON_TOKENS[reason]:
+            fits |= F.contains(low, F.lit(token))
+        out = F.when(fits, F.lit(reason)).otherwise(out)
+    return out
+
+
+def reason_of(column: str) -> str | None:
+    """column_reason() of one name on the driver."""
+    fits = (r for r in REASON_NAMES if column in REASON_NAMES[r] or any(t in column.lower() for t in REASON_TOKENS[r]))
+    return next(fits, None)
+
+
+def feature_columns(df: DataFrame, prefix: str = "comp_") -> list[str]:
+    """Numeric columns with the prefix and without a reason against them, in order."""
+    numeric = ("double", "float", "int", "bigint", "smallint", "tinyint")
+    return [c for c, kind in df.dtypes if c.lower().startswith(prefix) and (kind in numeric or kind.startswith("decimal")) and reason_of(c) is None]
 
 
 def score_columns(df: DataFrame, prefixes: tuple[str, ...] = ("prediction_", "score_")) -> list[str]:
     """Numeric columns with a score's prefix, no probability, target or id, and at least one value."""
-    named = [c for c, kind in df.dtypes if kind in ("double", "float", "int", "bigint") and c.lower().startswith(prefixes) and not c.lower().startswith("prob_") and exclusion_reason(c) is None]
+    named = [c for c, kind in df.dtypes if kind in ("double", "float", "int", "bigint") and c.lower().startswith(prefixes) and not c.lower().startswith(("prob_", "target")) and c.lower() not in PANEL_COLUMNS and reason_of(c) is None]
     if not named:
         return []
     row = df.agg(*[F.count(c).alias(c) for c in named]).first()
@@ -44,19 +68,22 @@ def parse_rates(df: DataFrame, columns: list[str], least: float = 0.995) -> Data
 
 
 def select_features(df: DataFrame, columns: list[str], most_missing: float = 0.6, least_variance: float = 1e-12) -> tuple[list[str], dict[str, str]]:
-    """Columns with enough values, more than one of them, some variance, and no earlier twin; and why the others fell."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[x for c in columns for x in (F.count(c).alias(f"c_{c}"), F.min(c).alias(f"a_{c}"), F.max(c).alias(f"b_{c}"), F.var_pop(c).alias(f"v_{c}"))]).first()
+    """Columns with enough values, more than one of them, some variance, and no earlier twin; and why the others fell.
+
+    All of it comes from one moment matrix, so the data are read once whatever the number of columns.
+    """
+    m = moments.moment_matrix(df, columns)
     why = {}
-    for c in columns:
-        if row["n"] == 0 or 1 - row[f"c_{c}"] / row["n"] >= most_missing:
+    for i, c in enumerate(columns):
+        if m.rows == 0 or 1 - m.n[i, i] / m.rows >= most_missing:
             why[c] = "missing"
-        elif row[f"a_{c}"] == row[f"b_{c}"]:
+        elif m.low[i] == m.high[i]:
             why[c] = "constant"
-        elif row[f"v_{c}"] <= least_variance:
+        elif m.variance(i) <= least_variance:
             why[c] = "variance"
-    left = [c for c in columns if c not in why]
-    why |= {c: "redundant" for c in redundant(df, left)}
-    return [c for c in left if c not in why], why
+    left = [i for i, c in enumerate(columns) if c not in why]
+    why |= {columns[i]: "redundant" for i in m.redundant(left)}
+    return [c for c in columns if c not in why], why
 
 
 def missing_indicators(df: DataFrame, columns: list[str], least: float = 0.1, most: int = 10) -> list[str]:
@@ -66,36 +93,77 @@ def missing_indicators(df: DataFrame, columns: list[str], least: float = 0.1, mo
     return sorted((c for c in columns if rates[c] >= least), key=lambda c: (-rates[c], c))[:most]
 
 
-#: Numerators over sales, by name; a tuple is a difference.
-OVER_SALES = {
-    "gross_margin": ("saley", "cogsy"), "cogs": "cogsy", "operating_after": "oiadpy", "operating_before": "oibdpy", "net_income": "niy", "income_before_extra": "ibcy", "pretax": "piy",
-    "operating_cash": "oancfy", "free_cash": ("oancfy", "capxy"), "expense": "xopry", "sga": "xsgay", "rd": "xrdy", "capex": "capxy", "interest": "xinty", "tax": "txty", "dividend": "dvy",
-    "preferred_dividend": "dvpy", "stock_issue": "sstky", "buyback": "prstkcy", "debt_issue": "dltisy", "debt_repaid": "dltry", "current_debt": "dlcchy", "cash_change": "chechy",
-    "receivables_change": "recchy", "inventory_change": "invchy", "acquisitions": "aqcy", "working_capital": "wcapcy", "investing": "ivncfy", "financing": "fincfy", "accruals": ("niy", "oancfy"),
+#: Features from the accounting columns, by kind: name -> input, or (minuend, subtrahend).
+LOGS = {"log_sales": "saley", "log_revenue": "revty", "log_common_shares": "cshpry"}
+RAW = {"epspxy": "epspxy"}
+MARGINS = {
+    "gross": ("saley", "cogsy"), "operating": "oiadpy", "ebitda": "oibdpy", "net_income": "niy", "income_before_extra": "ibcy", "pretax": "piy",
+    "operating_cf": "oancfy", "free_cash_flow": ("oancfy", "capxy"),
+}
+EXPENSES = {"cogs": "cogsy", "total_expense": "xopry", "sga": "xsgay", "rd": "xrdy", "capex": "capxy", "interest": "xinty", "tax": "txty"}
+PAYOUTS = {"dividends": "dvy", "preferred_dividends": "dvpy"}
+FINANCING = {
+    "stock_issuance": "sstky", "stock_repurchases": "prstkcy", "long_debt_issuance": "dltisy", "debt_reduction": "dltry", "short_debt_change": "dlcchy",
+}
+FLOWS = {
+    "cash_change": "chechy", "receivables_change": "recchy", "inventory_change": "invchy", "acquisition": "aqcy", "working_capital_change": "wcapcy",
+    "investing_cf": "ivncfy", "financing_cf": "fincfy", "accruals": ("niy", "oancfy"),
 }
-LOG_LEVELS = {"log_sales": "saley", "log_revenue": "revty", "log_shares": "cshpry"}
+#: Ratios that were asked for: they are only reported, with the inputs that they would need.
+REQUESTED = {
+    "operating_income_to_assets": "comp_oiadpy comp_atq", "net_income_to_assets": "comp_niy comp_atq", "gross_profit_to_assets": "comp_saley comp_cogsy comp_atq",
+    "debt_to_assets": "comp_dlcq comp_dlttq comp_atq", "debt_to_equity": "comp_dlcq comp_dlttq comp_ceqq", "cash_to_assets": "comp_cheq comp_atq", "current_ratio": "comp_actq comp_lctq",
+    "asset_growth": "comp_atq", "capex_to_assets": "comp_capxy comp_atq", "log_assets": "comp_atq", "book_to_market": "comp_ceqq market_equity", "dividends_to_assets": "comp_dvy comp_atq",
+    "accruals_to_assets": "comp_niy comp_oancfy comp_atq",
+}
+
+
+class Derived(NamedTuple):
+    """A derived feature: its name, kind, the columns that it needs, and its value (None if it is only reported)."""
+
+    name: str
+    kind: str
+    inputs: list[str]
+    value: Callable[[], Column] | None
+
+
+def derived_features(prefix: str = "comp_") -> list[Derived]:
+    """All accounting features, made or not: levels, margins, expenses, payouts, financing and flows over sales, and requested ratios."""
+    named = lambda top: [prefix + c for c in ([top] if isinstance(top, str) else top)]
+    sales = prefix + "saley"
+
+    def ratio(top: list[str], bottom: str) -> Callable[[], Column]:
+        return lambda: safe_divide(F.col(top[0]) - F.col(top[1]) if len(top) > 1 else F.col(top[0]), F.col(bottom))
+
+    def over_sales(group: dict, ending: str) -> list[Derived]:
+        return [Derived(f"acct_{n}_{ending}", "constructed_ratio", list(dict.fromkeys([*named(top), sales])), ratio(named(top), sales)) for n, top in group.items()]
+
+    out = [Derived(f"acct_{n}", "transformed_level", named(c), lambda c=c: log_positive(F.col(prefix + c))) for n, c in LOGS.items()]
+    out += [Derived(f"acct_{n}", "per_share_raw", named(c), lambda c=c: F.col(prefix + c)) for n, c in RAW.items()]
+    out += over_sales(MARGINS, "margin")
+    for group in (EXPENSES, PAYOUTS, FINANCING, FLOWS):
+        out += over_sales(group, "to_sales")
+    paid, earned = named(("dvy", "niy"))
+    out.append(Derived("acct_dividends_to_earnings", "constructed_ratio", [paid, earned], ratio([paid], earned)))
+    return out + [Derived(f"requested_{n}", "requested_ratio_unavailable", inputs.split(), None) for n, inputs in REQUESTED.items()]
+
+
+def accounting_ratios(df: DataFrame, prefix: str = "comp_") -> DataFrame:
+    """df with the acct_* features whose inputs it has, as doubles; infinite values are null."""
+    have = {c.lower() for c in df.columns}
+    finite = lambda c: F.when(F.abs(c) < float("inf"), c)
+    made = [d for d in derived_features(prefix) if d.value is not None and have.issuperset(d.inputs)]
+    return df.withColumns({d.name: finite(d.value().cast("double")) for d in made})
 
 
-def accounting_ratios(df: DataFrame, prefix: str = "comp_") -> tuple[DataFrame, dict[str, str]]:
-    """acct_* columns whose inputs are there, and for each of all of them ``made`` or the missing input."""
+def feature_status(df: DataFrame, prefix: str = "comp_") -> DataFrame:
+    """feature, feature_type, required_columns, created, skipped_reason: a row for each feature that can be derived or was asked for."""
     have = {c.lower() for c in df.columns}
-    made, status = {}, {}
-
-    def add(name: str, inputs: list[str], value) -> None:
-        lost = [i for i in inputs if prefix + i not in have]
-        status[f"acct_{name}"] = f"missing {lost[0]}" if lost else "made"
-        if not lost:
-            made[f"acct_{name}"] = value()
-
-    col = lambda c: F.col(prefix + c)
-    for name, c in LOG_LEVELS.items():
-        add(name, [c], lambda c=c: log_positive(col(c)))
-    add("eps", ["epspxy"], lambda: col("epspxy"))
-    for name, top in OVER_SALES.items():
-        inputs = [top] if isinstance(top, str) else list(top)
-        add(name, [*inputs, "saley"], lambda i=inputs: safe_divide(col(i[0]) - col(i[1]) if len(i) > 1 else col(i[0]), col("saley")))
-    add("payout", ["dvy", "niy"], lambda: safe_divide(col("dvy"), col("niy")))
-    return df.withColumns(made), status
+    rows = []
+    for d in derived_features(prefix):
+        lost = ",".join(c for c in d.inputs if c not in have)
+        rows.append((d.name, d.kind, ",".join(d.inputs), not lost, f"missing required columns: {lost}" if lost else ""))
+    return df.sparkSession.createDataFrame(rows, "feature string, feature_type string, required_columns string, created boolean, skipped_reason string")
 
 
 def expand_costs(monthly: DataFrame, levels: tuple[float, ...] = (0.0, 5.0, 10.0, 25.0, 50.0, 100.0)) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.functions.scalars import clip
-from panelyard.operators.stats import correlation
+from panelyard.operators.moments import moment_matrix
 
 
 def rank_first(value: str, keys: list[str], tie: list[str]) -> Column:
@@ -72,17 +72,7 @@ def missingness(df: DataFrame, features: list[str], keys: list[str] = ()) -> Dat
 
 def redundant(df: DataFrame, features: list[str], threshold: float = 0.999999999) -> list[str]:
     """Later columns whose absolute correlation with an earlier kept one reaches the threshold, in column order."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    close = set()
-    for at in range(0, len(pairs), 300):  # so many correlations in one pass: thousands in one plan would not compile
-        part = pairs[at : at + 300]
-        row = df.agg(*[correlation(a, b).alias(f"{i}") for i, (a, b) in enumerate(part)]).first()
-        close |= {p for p, c in zip(part, row, strict=True) if c is not None and abs(c) >= threshold}
-    dropped: list[str] = []
-    for a, b in pairs:
-        if (a, b) in close and a not in dropped and b not in dropped:
-            dropped.append(b)
-    return dropped
+    return [features[i] for i in moment_matrix(df, features).redundant(range(len(features)), threshold)]
 
 
 def fixed_pivot(df: DataFrame, keys: list[str], name: str, value: str, names: list[str], agg=F.first) -> DataFrame:
