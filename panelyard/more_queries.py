@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelyard.functions import dates
 from panelyard.functions import scalars as x
-from panelyard.operators import features, models, quality, stats, timeseries, xsection
+from panelyard.operators import features, joins, models, orders, quality, quantiles, stats, timeseries, xsection
 from panelyard.plans import performance, portfolio, rank_ic
 from panelyard.queries import _BETS, _MEASURES, _PANEL, _RETURNS, _bets, _monthly, panel, query, rounded, scores, targets
 from panelyard.sources import readers, writers
@@ -207,7 +207,54 @@ r AS (SELECT split, rank() OVER (PARTITION BY split ORDER BY a) + (count(*) OVER
 SELECT split, count(*) AS n, round(corr(x, y), 6) AS spearman FROM r GROUP BY 1"""
 )
 def pooled_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.spearman(targets(spark, sf_dir), ["split"], "ret", "target"))
+    return rounded(orders.spearman(targets(spark, sf_dir), ["split"], "ret", "target"))
+
+
+@query(
+    """WITH r AS (SELECT rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2.0 AS x, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS y FROM lineitem)
+SELECT 'all' AS part, count(*) AS n, round(corr(x, y), 6) AS spearman FROM r"""
+)
+def spearman_of_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key holds all rows, and one column has eleven values."""
+    lines = table(spark, sf_dir, "lineitem", ["l_discount", "l_extendedprice"]).withColumn("part", F.lit("all"))
+    return rounded(orders.spearman(lines, ["part"], "l_discount", "l_extendedprice"))
+
+
+@query(
+    """WITH u AS (UNPIVOT (SELECT o_orderpriority, o_totalprice, CAST(o_custkey AS DOUBLE) AS o_custkey FROM orders) ON o_totalprice, o_custkey INTO NAME "column" VALUE v),
+q AS (SELECT o_orderpriority, "column", count(v) AS n, unnest([0.01, 0.25, 0.5, 0.99]) AS probability, unnest(quantile_cont(v, [0.01, 0.25, 0.5, 0.99])) AS value FROM u GROUP BY 1, 2)
+SELECT o_orderpriority, "column", n, CAST(probability AS DOUBLE) AS probability, round(value, 6) AS value FROM q"""
+)
+def quantile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of two columns by priority, in one selection."""
+    return rounded(quantiles.exact_quantiles(table(spark, sf_dir, "orders"), ["o_orderpriority"], ["o_totalprice", "o_custkey"], [0.01, 0.25, 0.5, 0.99]))
+
+
+_HOT = """l AS (SELECT l_shipdate AS since, l_orderkey * 8 + l_linenumber AS line FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey % 5 = 0),
+o AS (SELECT o_orderkey, o_orderdate AS day FROM orders), last AS (SELECT since, max(line) AS line FROM l GROUP BY 1), next AS (SELECT since, min(line) AS line FROM l GROUP BY 1)"""
+
+
+def _hot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    left = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"]).select("o_orderkey", F.col("o_orderdate").alias("day"), F.lit("all").alias("k"))
+    lines = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag"]).filter("l_returnflag = 'R' AND l_orderkey % 5 = 0")
+    return left, lines.select(F.lit("all").alias("k"), F.col("l_shipdate").alias("since"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"))
+
+
+@query(f"WITH {_HOT} SELECT o_orderkey, line, CAST(date_diff('day', since, day) AS INTEGER) AS age_days FROM o ASOF LEFT JOIN last ON day >= since")
+def asof_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order with the last returned line before it; all rows have one key, which is cut into ranges of dates."""
+    return joins.asof_backward(*_hot(spark, sf_dir), "k", "day", "since", ["line"], ["line"], segmented=True).select("o_orderkey", "line", "age_days")
+
+
+@query(
+    f"""WITH {_HOT}, b AS (SELECT o_orderkey, line, date_diff('day', since, day) AS away FROM o ASOF LEFT JOIN last ON day >= since),
+f AS (SELECT o_orderkey, line, date_diff('day', day, since) AS away FROM o ASOF LEFT JOIN next ON day <= since),
+m AS (SELECT o_orderkey, CASE WHEN f.away IS NULL OR b.away <= f.away THEN b.line ELSE f.line END AS line, CASE WHEN f.away IS NULL OR b.away <= f.away THEN b.away ELSE f.away END AS away FROM b JOIN f USING (o_orderkey))
+SELECT o_orderkey, CASE WHEN away <= 2 THEN line END AS line, CAST(CASE WHEN away <= 2 THEN away END AS INTEGER) AS distance_days FROM m"""
+)
+def asof_nearest_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order with the nearest returned line within two days, over one key cut into ranges."""
+    return joins.asof_nearest(*_hot(spark, sf_dir), "k", "day", "since", ["line"], ["line"], 2, segmented=True).select("o_orderkey", "line", "distance_days")
 
 
 @query(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.operators import orders
+
 
 def interval_link(rows: DataFrame, links: DataFrame, row_id: str, key: str, date: str, start: str, end: str, best: list[Column], carry: list[str]) -> DataFrame:
     """Left join to the best link whose [start, end] holds the row's date; an open end never ends.
@@ -29,36 +31,54 @@ def link_order(primary: str = "linkprim", kind: str = "linktype", start: str = "
     ]
 
 
-def asof_backward(left: DataFrame, right: DataFrame, key: str, left_date: str, right_date: str, carry: list[str], tie: list[str], max_age_days: int | None = None) -> DataFrame:
+def _stream(left: DataFrame, right: DataFrame, key: str, left_date: str, right_date: str, carry: list[str], tie: list[str]) -> DataFrame:
+    """Both sides as rows of one stream: __k, __at, __side (0: right), __tie, and __row or __value."""
+    value = F.struct(F.col(right_date).alias("__date"), *[F.col(c) for c in carry])
+    ties = F.struct(*[F.col(c) for c in tie])
+    kind = lambda c: right.select(c).schema[0].dataType
+    none = F.lit(None)
+    one = left.select(F.struct("*").alias("__row"), F.col(key).alias("__k"), F.col(left_date).alias("__at"), F.lit(1).alias("__side"), none.cast(kind(ties)).alias("__tie"), none.cast(kind(value)).alias("__value"))
+    usable = right.filter(F.col(right_date).isNotNull() & F.col(key).isNotNull())
+    two = usable.select(none.cast(one.schema["__row"].dataType).alias("__row"), F.col(key).alias("__k"), F.col(right_date).alias("__at"), F.lit(0).alias("__side"), ties.alias("__tie"), value.alias("__value"))
+    return one.unionByName(two)
+
+
+def _latest(stream: DataFrame, out: str, segmented: bool, ahead: bool = False) -> DataFrame:
+    """stream with the last right value at or before each row, or the next one at or after it."""
+    names = ("__at", "__side", "__tie")
+    if segmented:
+        return orders.carried(stream, "__k", [F.col(c) for c in names], "__value", out, ahead)
+    order = [F.col(c).desc() if ahead else F.col(c).asc() for c in names]
+    return stream.withColumn(out, F.last("__value", ignorenulls=True).over(Window.partitionBy("__k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def asof_backward(
+    left: DataFrame, right: DataFrame, key: str, left_date: str, right_date: str, carry: list[str], tie: list[str], max_age_days: int | None = None, segmented: bool = False
+) -> DataFrame:
     """Each left row with the last right row of its key at or before its date.
 
     Both sides are put into one ordered stream per key, so one shuffle and one sort do it. Of right rows with one date
     the last by tie wins. With max_age_days older matches are nulls. Adds carry, age_days and matched.
+
+    segmented: for data where one key may have more rows than a task should sort. The stream is cut into ranges of key
+    and date, and each range is handed the last right row of those before it.
     """
-    value = F.struct(F.col(right_date).alias("__date"), *[F.col(c) for c in carry])
-    ties = F.struct(*[F.col(c) for c in tie])
-    empty = F.lit(None)
-    one = left.select(F.struct("*").alias("__row"), F.col(key).alias("__k"), F.col(left_date).alias("__at"), F.lit(1).alias("__side"), empty.cast(right.select(ties).schema[0].dataType).alias("__tie"), empty.cast(right.select(value).schema[0].dataType).alias("__value"))
-    two = right.filter(F.col(right_date).isNotNull() & F.col(key).isNotNull()).select(empty.cast(one.schema["__row"].dataType).alias("__row"), F.col(key).alias("__k"), F.col(right_date).alias("__at"), F.lit(0).alias("__side"), ties.alias("__tie"), value.alias("__value"))
-    order = Window.partitionBy("__k").orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = one.unionByName(two).withColumn("__m", F.last("__value", ignorenulls=True).over(order)).filter("__side = 1")
+    found = _latest(_stream(left, right, key, left_date, right_date, carry, tie), "__m", segmented).filter("__side = 1")
     age = F.datediff("__at", "__m.__date")
     fresh = F.col("__m").isNotNull() & (age <= max_age_days if max_age_days is not None else F.lit(True))
     return found.select("__row.*", *[F.when(fresh, F.col(f"__m.{c}")).alias(c) for c in carry], F.when(fresh, age).alias("age_days"), fresh.alias("matched"))
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, key: str, left_date: str, right_date: str, carry: list[str], tie: list[str], tolerance_days: int) -> DataFrame:
-    """Each left row with the nearest right row of its key within tolerance_days; equally near, the earlier one."""
-    value = F.struct(F.col(right_date).alias("__date"), *[F.col(c) for c in carry])
-    ties = F.struct(*[F.col(c) for c in tie])
-    empty = F.lit(None)
-    one = left.select(F.struct("*").alias("__row"), F.col(key).alias("__k"), F.col(left_date).alias("__at"), F.lit(1).alias("__side"), empty.cast(right.select(ties).schema[0].dataType).alias("__tie"), empty.cast(right.select(value).schema[0].dataType).alias("__value"))
-    two = right.filter(F.col(right_date).isNotNull() & F.col(key).isNotNull()).select(empty.cast(one.schema["__row"].dataType).alias("__row"), F.col(key).alias("__k"), F.col(right_date).alias("__at"), F.lit(0).alias("__side"), ties.alias("__tie"), value.alias("__value"))
-    # two running windows: one that looks back, one over the opposite order; frames to the end would be quadratic
-    back = Window.partitionBy("__k").orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("__k").orderBy(*[F.col(c).desc() for c in ("__at", "__side", "__tie")]).rowsBetween(Window.unboundedPreceding, 0)
-    latest = F.last("__value", ignorenulls=True)
-    stream = one.unionByName(two).withColumns({"__b": latest.over(back), "__f": latest.over(ahead)}).filter("__side = 1")
+def asof_nearest(
+    left: DataFrame, right: DataFrame, key: str, left_date: str, right_date: str, carry: list[str], tie: list[str], tolerance_days: int, segmented: bool = False
+) -> DataFrame:
+    """Each left row with the nearest right row of its key within tolerance_days; equally near, the earlier one.
+
+    segmented: as in asof_backward().
+    """
+    # two running passes: one that looks back, one over the opposite order; frames to the end would be quadratic
+    stream = _latest(_stream(left, right, key, left_date, right_date, carry, tie), "__b", segmented)
+    stream = _latest(stream, "__f", segmented, ahead=True).filter("__side = 1")
     behind, ahead = F.datediff("__at", "__b.__date"), F.datediff("__f.__date", "__at")
     m = F.when(F.col("__b").isNotNull() & (F.col("__f").isNull() | (behind <= ahead)), F.col("__b")).otherwise(F.col("__f"))
     near = stream.withColumn("__m", m).withColumn("__d", F.abs(F.datediff("__at", "__m.__date")))

@@ -89,14 +89,6 @@ def beta_alpha(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
     return m.select(*keys, "n", "beta", (F.col("__y") - F.col("beta") * F.col("__x")).alias("alpha"), "corr")
 
 
-def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """Pooled rank correlation per keys: Pearson's over average ranks of the rows with both values."""
-    ok = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    rank = lambda c: F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2.0
-    ranked = ok.withColumns({"__a": rank(a), "__b": rank(b)})
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation("__a", "__b").alias("spearman"))
-
-
 def ols2(df: DataFrame, keys: list[str], y: str, x1: str, x2: str) -> DataFrame:
     """Per group y = a + b1 x1 + b2 x2 from moments, with R2 of the single regressions; nulls if x1 and x2 are collinear."""
     ok = df.filter(F.col(y).isNotNull() & F.col(x1).isNotNull() & F.col(x2).isNotNull())

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from panelyard.functions.scalars import clip, log1p_return
 
@@ -24,18 +30,50 @@ def _full(value: Column, w: WindowSpec, n: int | None, least: int | None = None)
 
 
 def rolling(value: Column, how: str, n: int | None, w: WindowSpec, least: int | None = None) -> Column:
-    """sum, mean, std (ddof 1), min, max or median of the last n rows; null with fewer than least (default n) values.
+    """sum, mean, std (ddof 1), min or max of the last n rows; null with fewer than least (default n) values.
 
-    n None: of all rows so far, with a least given. A median keeps its frame's values in each row: for series of months.
+    n None: of all rows so far, with a least given. Medians: with_medians().
     """
     frame, enough = _full(value, w, n, least)
-    if how == "median":  # a frame's values as a list, since Spark's median takes no frame
-        middle = lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2
-        return F.when(enough, F.transform(F.array(F.array_sort(F.collect_list(value).over(frame))), middle)[0])
     made = {"sum": F.sum, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}[how](value).over(frame)
     return F.when(enough, made)
 
 
+def running_medians(values: np.ndarray, n: int | None, least: int) -> np.ndarray:
+    """Median of the last n values (None: of all so far) at each place; NaN are no values, and so is the result below least.
+
+    The values of the frame are held in order: one is put in and one taken out at each place.
+    """
+    held: list[float] = []
+    out = np.full(len(values), np.nan)
+    for i, v in enumerate(values.tolist()):
+        if v == v:
+            insort(held, v)
+        if n is not None and i >= n and (gone := float(values[i - n])) == gone:
+            held.pop(bisect_left(held, gone))
+        if len(held) >= least:
+            k = len(held) // 2
+            out[i] = held[k] if len(held) % 2 else (held[k - 1] + held[k]) / 2
+    return out
+
+
+def with_medians(df: DataFrame, value: str, keys: list[str], month: str, windows: dict[str, tuple[int | None, int]]) -> DataFrame:
+    """df with a column for each window (rows, least values): the running median of value along the months of the keys.
+
+    rows None: all rows so far. One ordered pass per series and window; nulls are no values.
+    """
+    schema = StructType([*df.schema.fields, *[StructField(name, DoubleType()) for name in windows]])
+
+    def run(series: pa.Table) -> pa.Table:
+        series = series.take(pc.sort_indices(series, sort_keys=[(month, "ascending")]))
+        v = series.column(value).cast(pa.float64()).to_numpy()
+        for name, (n, least) in windows.items():
+            series = series.append_column(name, pa.array(running_medians(v, n, least), from_pandas=True))
+        return series
+
+    return df.groupBy(*keys).applyInArrow(run, schema)
+
+
 def momentum(logs: Column, lag: int, n: int, w: WindowSpec, month: str = "month_id") -> Column:
     """Compounded return of n months that end lag months ago, from logs = log(1 + return); the n months must be whole."""
     ends = w.rowsBetween(1 - n - lag, -lag)
@@ -110,8 +148,8 @@ def volatility_state(df: DataFrame, ret: str, keys: list[str], month: str, lookb
     w = by(keys, month)
     df = df.withColumn("__r", F.lag(F.coalesce(ret, F.lit(0.0)), 1).over(w))
     df = df.withColumn("realized_vol", rolling(F.col("__r"), "std", lookback, w) * F.sqrt(F.lit(12.0)))
-    middle = F.coalesce(rolling(F.col("realized_vol"), "median", normal, w, lookback), rolling(F.col("realized_vol"), "median", None, w, lookback))
-    return df.withColumn("normal_vol", clip(middle, low, high)).drop("__r")
+    df = with_medians(df.drop("__r"), "realized_vol", keys, month, {"__recent": (normal, lookback), "__all": (None, lookback)})
+    return df.withColumn("normal_vol", clip(F.coalesce("__recent", "__all"), low, high)).drop("__recent", "__all")
 
 
 def history(panel: DataFrame, entity: str, values: list[str], steps: int = 24, month: str = "month_id") -> DataFrame:
@@ -121,13 +159,14 @@ def history(panel: DataFrame, entity: str, values: list[str], steps: int = 24, m
     """
     w = by(entity, month).rangeBetween(1 - steps, 0)
     seen = F.collect_list(F.struct(F.col(month).alias("m"), *values)).over(w)
-    at = lambda m: F.filter("__seen", lambda x: x["m"] == m)
-    months = F.sequence(F.col(month) - (steps - 1), F.col(month))
-    made = panel.withColumn("__seen", seen)
+    # where a month stands among those seen: 0 if it does not
+    place = F.transform(F.sequence(F.col(month) - (steps - 1), F.col(month)), lambda m: F.array_position("__months", m).cast("int"))
+    made = panel.withColumn("__seen", seen).withColumn("__months", F.transform("__seen", lambda x: x["m"])).withColumn("__place", place)
+    value = lambda i, v: F.when(i > 0, F.coalesce(F.get(F.col("__seen"), i - 1)[v], F.lit(0.0))).otherwise(0.0).alias(v)
     return made.withColumns({
-        "steps": F.transform(months, lambda m: F.struct(*[F.coalesce(F.get(at(m), F.lit(0))[v], F.lit(0.0)).alias(v) for v in values])),
-        "masked": F.transform(months, lambda m: F.size(at(m)) == 0),
-    }).drop("__seen")
+        "steps": F.transform("__place", lambda i: F.struct(*[value(i, v) for v in values])),
+        "masked": F.transform("__place", lambda i: i == 0),
+    }).drop("__seen", "__months", "__place")
 
 
 def calendar_years(df: DataFrame, keys: list[str], ret: str, month: str = "month_id") -> DataFrame:

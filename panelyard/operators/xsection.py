@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.functions.scalars import clip
+from panelyard.operators import quantiles
 from panelyard.operators.moments import moment_matrix
 
 
@@ -54,13 +56,24 @@ def _by_month(df: DataFrame, of_month: DataFrame, key: str) -> DataFrame:
 def winsorise_impute(df: DataFrame, values: list[str], key: str, low: float = 0.01, high: float = 0.99, flags: list[str] = ()) -> DataFrame:
     """Clip to exact per-month quantiles, then fill nulls with the median of the clipped values.
 
-    Months without any value stay null. flags: columns that get a ``<name>_missing`` indicator of the nulls before.
+    The quantiles of all columns and months are found together without sorting or gathering a month's values. Months
+    without any value stay null. flags: columns that get a ``<name>_missing`` indicator of the nulls before.
     """
-    bounds = df.groupBy(key).agg(*[F.percentile(v, F.array(F.lit(low), F.lit(high))).alias(f"__q_{v}") for v in values])
-    clipped = _by_month(df, bounds, key).withColumns({f"{v}_missing": F.col(v).isNull().cast("int") for v in flags})
-    clipped = clipped.withColumns({v: clip(F.col(v), F.col(f"__q_{v}")[0], F.col(f"__q_{v}")[1]) for v in values}).drop(*[f"__q_{v}" for v in values])
-    middle = clipped.groupBy(key).agg(*[F.median(v).alias(f"__m_{v}") for v in values])
-    return _by_month(clipped, middle, key).withColumns({v: F.coalesce(v, f"__m_{v}") for v in values}).drop(*[f"__m_{v}" for v in values])
+    s = quantiles.select(df, [key], values, [low, 0.5, high])
+    q = s.quantiles([low, 0.5, high])
+    floor, cap = q[:, :, 0], q[:, :, 2]
+    # clipping keeps the order, so the middle values of what is clipped are the clipped middle values
+    middle = (np.clip(s.lower[:, :, 1], floor, cap) + np.clip(s.upper[:, :, 1], floor, cap)) / 2
+    number = lambda v: None if np.isnan(v) else float(v)
+    rows = [(k, *[number(x[g, i]) for i in range(len(values)) for x in (floor, cap, middle)]) for g, (k,) in enumerate(s.groups)]
+    kinds = df.select(key).schema
+    for v in values:
+        for name in ("lo", "hi", "mid"):
+            kinds = kinds.add(f"__{name}_{v}", "double")
+    df = df.withColumns({f"{v}_missing": F.col(v).isNull().cast("int") for v in flags})
+    joined = _by_month(df, F.broadcast(df.sparkSession.createDataFrame(rows, kinds)), key)  # a row a month
+    made = {v: F.coalesce(clip(F.col(v), F.col(f"__lo_{v}"), F.col(f"__hi_{v}")), F.col(f"__mid_{v}")) for v in values}
+    return joined.withColumns(made).drop(*[f"__{name}_{v}" for v in values for name in ("lo", "hi", "mid")])
 
 
 def missingness(df: DataFrame, features: list[str], keys: list[str] = ()) -> DataFrame:

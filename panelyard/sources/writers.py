@@ -29,6 +29,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base or tempfile.gettempdir()}/{name}-{uuid.uuid4().hex}"
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df from files in the shared folder, so that partitions are the same for all its readers and outlive executors."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or scratch(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)
+
+
 def report(spark: SparkSession, text: str, path: str) -> None:
     """Write a small report (markdown(), json_lines()) as one text file of a folder."""
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
