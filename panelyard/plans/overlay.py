@@ -1,95 +1,174 @@
 """Drawdown overlay: a monthly exposure from drawdown state, speed and re-entry signals; its own wealth feeds back.
 
-The state of a month depends on the months before through the overlay's wealth, so each series is folded in order
-with ``aggregate`` over its sorted list of months, inside the JVM. A series is one specification's months.
+The state of a month depends on the months before through the overlay's wealth, so a series is followed in order, one
+month after the other. A series is one specification's months, for all methods at once; series are spread over the
+cluster. The same steps serve a whole table and a stream, whose state they carry.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import json
+import math
+from bisect import insort
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field
 
-from panelyard.operators.timeseries import by, trailing_compound, volatility_state
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 #: Fixed values of the state table: exposure by state and multiple of normal volatility by state or re-entry.
 EXPOSURE = {"new_high": 1.0, "shock_drawdown": 0.5, "grinding_drawdown": 0.5, "stale_recovery": 0.75, "recovery": 0.75, "deep_drawdown_not_recovering": 0.65, "shallow_drawdown": 0.85}
 MULTIPLE = {"shallow_drawdown": 1.10, "recovery": 1.25, "stale_recovery": 1.05, "deep_drawdown_not_recovering": 0.90, "shock_drawdown": 0.75, "grinding_drawdown": 0.75}
 ONE_MONTH, TWO_MONTHS = "reentry_1m_positive", "reentry_2m_gt_2pct"
 
-STATE = "struct<wealth:double,peak:double,trough:double,age:int,recovered:int,d1:double,d2:double,d3:double,lambda:double,gross:double,rows:array<{row}>>"
-ROW = "struct<month_id:int,lambda_dd:double,lambda_t:double,state:string,drawdown_before:double,overlay_net_return:double,overlay_turnover:double,drawdown_after:double>"
-
-
-def _band(s: Column, m: Column, dd: Column, threshold: float) -> Column:
-    speed = dd - F.coalesce(s["d1"], F.lit(0.0))
-    slow = dd - s["d3"]
-    improving, down = speed > 0, dd < 0
-    recovering = (s["wealth"] > s["trough"] * 1.01) & improving
-    no = lambda c: F.coalesce(c, F.lit(False))  # noqa: E731  an unknown value does not fire a rule
-    return (
-        F.when(~down, "new_high")
-        .when((speed <= -0.10) | no(m["b1"] <= -0.10), "shock_drawdown")
-        .when((s["age"] >= 3) & (no(slow <= -0.05) | (~improving & no(m["b2"] < 0))), "grinding_drawdown")
-        .when(recovering & (s["recovered"] >= 3) & (dd < -0.05) & ~no(m["b2"] > threshold), "stale_recovery")
-        .when(recovering, "recovery")
-        .when(dd <= -0.25, "deep_drawdown_not_recovering")
-        .otherwise("shallow_drawdown")
-    )
+#: method -> whether the volatility target limits the exposure too.
+METHODS = {"dd_speed_phase_control": False, "dd_speed_phase_vol_target": True}
+
+ROW = [
+    ("month_id", IntegerType()), ("lambda_dd", DoubleType()), ("lambda_t", DoubleType()), ("state", StringType()), ("drawdown_before", DoubleType()),
+    ("overlay_net_return", DoubleType()), ("overlay_turnover", DoubleType()), ("drawdown_after", DoubleType()), ("method", StringType()),
+]
+
+
+@dataclass
+class Path:
+    """The overlay's wealth by one method, as months before left it. drawdowns: of the last three months, latest first."""
+
+    wealth: float = 1.0
+    peak: float = 1.0
+    trough: float = 1.0
+    age: int = 0
+    recovered: int = 0
+    drawdowns: list[float] = field(default_factory=list)
+    exposure: float | None = None
+    gross: float = 0.0
+
+    def band(self, drawdown: float, last: float | None, last_two: float | None, threshold: float) -> str:
+        speed = drawdown - (self.drawdowns[0] if self.drawdowns else 0.0)
+        slow = drawdown - self.drawdowns[2] if len(self.drawdowns) == 3 else None
+        recovering = self.wealth > self.trough * 1.01 and speed > 0
+        if not drawdown < 0:
+            return "new_high"
+        if speed <= -0.10 or (last is not None and last <= -0.10):
+            return "shock_drawdown"
+        if self.age >= 3 and ((slow is not None and slow <= -0.05) or (speed <= 0 and last_two is not None and last_two < 0)):
+            return "grinding_drawdown"
+        if recovering:
+            strong = last_two is not None and last_two > threshold
+            return "stale_recovery" if self.recovered >= 3 and drawdown < -0.05 and not strong else "recovery"
+        return "deep_drawdown_not_recovering" if drawdown <= -0.25 else "shallow_drawdown"
+
+    def moved(self, net: float, drawdown: float, exposure: float, gross: float) -> None:
+        wealth = self.wealth * (1 + net)
+        high, deeper = wealth >= self.peak, wealth < self.trough
+        if high or deeper:
+            self.recovered = 0
+        elif wealth > self.trough * 1.01:
+            self.recovered += 1
+        self.age = 0 if high else self.age + 1
+        self.peak = wealth if high else self.peak
+        self.trough = wealth if high or deeper else self.trough
+        self.wealth, self.exposure, self.gross = wealth, exposure, gross
+        self.drawdowns = [drawdown, *self.drawdowns][:3]
+
+
+@dataclass
+class Series:
+    """What the months so far leave to the next one; to_json() and from_json() carry it over a stream's batches."""
+
+    paths: dict[str, Path]
+    month: int | None = None
+    returns: list[float] = field(default_factory=list)  # the last four
+    recent: list[float | None] = field(default_factory=list)  # realised volatilities of the last 36 months
+    ordered: list[float] = field(default_factory=list)  # of all months, ascending
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @staticmethod
+    def from_json(text: str) -> Series:
+        d = json.loads(text)
+        return Series(**{**d, "paths": {k: Path(**v) for k, v in d["paths"].items()}})
+
+    def volatilities(self) -> tuple[float | None, float | None]:
+        """(realised, normal): annualised deviation of the last four returns, and its median over 36 months, or over all, within bounds."""
+        realised = None
+        if len(self.returns) == 4:
+            mean = sum(self.returns) / 4
+            realised = math.sqrt(sum((r - mean) ** 2 for r in self.returns) / 3) * math.sqrt(12)
+            insort(self.ordered, realised)
+        self.recent = [*self.recent, realised][-36:]
+        known = sorted(v for v in self.recent if v is not None)
+        known = known if len(known) >= 4 else self.ordered
+        if len(known) < 4:
+            return realised, None
+        k = len(known) // 2
+        middle = known[k] if len(known) % 2 else (known[k - 1] + known[k]) / 2
+        return realised, min(max(middle, 0.03), 1.0)
+
+    def follow(self, month: dict, cost: float, threshold: float) -> Iterator[tuple]:
+        """The rows (ROW) of the next month: month_id, gross_return, net_return, turnover, gross_exposure; nulls count as 0, an exposure as 1."""
+        value = lambda name, other=0.0: other if month[name] is None or month[name] != month[name] else month[name]
+        last = self.returns[-1] if self.returns else None
+        last_two = (1 + self.returns[-2]) * (1 + last) - 1 if len(self.returns) > 1 else None
+        realised, normal = self.volatilities()
+        two, one = last_two is not None and last_two > threshold, last is not None and last > 0
+        for method, path in self.paths.items():
+            drawdown = path.wealth / path.peak - 1
+            state = path.band(drawdown, last, last_two, threshold)
+            by_state, multiple = EXPOSURE[state], MULTIPLE.get(state)
+            if two:
+                by_state, multiple, state = 1.0, 1.5, f"{state}_{TWO_MONTHS}"
+            elif one:
+                by_state, multiple, state = max(by_state, 0.75), 1.25, f"{state}_{ONE_MONTH}"
+            exposure = by_state
+            if METHODS[method] and realised and normal is not None and multiple is not None:
+                exposure = min(exposure, normal * multiple / realised, 1.0)
+            gross = value("gross_exposure", 1.0)
+            turnover = exposure * gross if path.exposure is None else exposure * value("turnover") + abs(exposure - path.exposure) * path.gross
+            net = exposure * value("gross_return") - turnover * cost
+            path.moved(net, drawdown, exposure, gross)
+            yield month["month_id"], by_state, exposure, state, drawdown, net, turnover, path.wealth / path.peak - 1, method
+        self.month = month["month_id"]
+        self.returns = [*self.returns, value("net_return")][-4:]
+
+
+MONTH = ["month_id", "gross_return", "net_return", "turnover", "gross_exposure"]
+
+
+def row_schema(df: DataFrame, keys: list[str]) -> StructType:
+    return StructType([*df.select(*keys).schema.fields, *[StructField(name, kind) for name, kind in ROW]])
+
+
+def overlays(monthly: DataFrame, keys: list[str], methods: tuple[str, ...] = tuple(METHODS), cost_bps: float = 25.0, threshold: float = 0.02) -> DataFrame:
+    """keys, method and, for each month, exposure, state, drawdowns, overlay net return and turnover.
+
+    monthly: keys and the columns MONTH. Signals use months before only: the last net return, and the last two
+    compounded. With a volatility target the exposure is also at most the state's multiple of normal volatility over
+    the realised one. One exchange and one ordered pass for all methods.
+    """
 
+    def run(series: pa.Table) -> pa.Table:
+        key = series.slice(0, 1).select(keys)
+        series = series.take(pc.sort_indices(series, sort_keys=[("month_id", "ascending")])).select(MONTH)
+        carried = Series({m: Path() for m in methods})
+        rows = [r for month in series.to_pylist() for r in carried.follow(month, cost_bps / 10_000, threshold)]
+        out = key.take(pa.array([0] * len(rows)))
+        for i, (name, kind) in enumerate(ROW):
+            out = out.append_column(name, pa.array([r[i] for r in rows], {IntegerType: pa.int32(), DoubleType: pa.float64(), StringType: pa.string()}[type(kind)]))
+        return out
 
-def _of(table: dict[str, float], key: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    rows = monthly.select(*keys, F.col("month_id").cast("int").alias("month_id"), *[F.col(c).cast("double").alias(c) for c in MONTH[1:]])
+    return rows.groupBy(*keys).applyInArrow(run, row_schema(rows, keys))
 
 
 def overlay(monthly: DataFrame, keys: list[str], vol_target: bool, cost_bps: float = 25.0, threshold: float = 0.02) -> DataFrame:
-    """keys and, for each month, exposure, state, drawdowns, overlay net return and turnover.
-
-    monthly: keys, month_id, gross_return, net_return, turnover, gross_exposure. Signals use months before only: b1 is
-    the last net return, b2 the last two compounded. vol_target: exposure is also at most the state's multiple of
-    normal volatility over realised volatility.
-    """
-    w = by(keys)
-    base = F.coalesce("net_return", F.lit(0.0))
-    df = volatility_state(monthly, "net_return", keys, "month_id").withColumn("b1", F.lag(base, 1).over(w))
-    df = df.withColumn("b2", trailing_compound(F.col("b1"), 2, w))
-    month = F.struct(
-        F.col("month_id").cast("int").alias("month_id"), F.coalesce("gross_return", F.lit(0.0)).alias("gross_return"), "turnover", F.coalesce("gross_exposure", F.lit(1.0)).alias("gross_exposure"), "b1", "b2", "realized_vol", "normal_vol"
-    )
-    series = df.groupBy(*keys).agg(F.array_sort(F.collect_list(month)).alias("m"))
-    start = F.expr(f"cast(named_struct('wealth', 1D, 'peak', 1D, 'trough', 1D, 'age', 0, 'recovered', 0, 'd1', null, 'd2', null, 'd3', null, 'lambda', null, 'gross', 0D, 'rows', array()) as {STATE.format(row=ROW)})")
-    no = lambda c: F.coalesce(c, F.lit(False))
-    let = lambda value, body: F.transform(F.array(value), body)[0]
-
-    def step(s: Column, m: Column) -> Column:
-        def with_band(x: Column) -> Column:
-            two, one = no(m["b2"] > threshold), no(m["b1"] > 0)
-            note = F.when(two, TWO_MONTHS).when(one, ONE_MONTH)
-            l_dd = F.when(two, 1.0).when(one, F.greatest(_of(EXPOSURE, x["band"]), F.lit(0.75))).otherwise(_of(EXPOSURE, x["band"]))
-            multiple = F.when(two, 1.5).when(one, 1.25).otherwise(F.try_element_at(F.create_map(*[F.lit(v) for p in MULTIPLE.items() for v in p]), x["band"]))
-            cap = F.when(m["realized_vol"] > 0, F.least(m["normal_vol"] * multiple / F.when(m["realized_vol"] > 0, m["realized_vol"]), F.lit(1.0))) if vol_target else F.lit(None).cast("double")
-            return let(F.struct(l_dd.alias("l_dd"), F.least(l_dd, F.coalesce(cap, F.lit(1.0))).alias("l"), F.concat_ws("_", x["band"], note).alias("state"), x["dd"].alias("dd")), traded)
-
-        def traded(x: Column) -> Column:
-            first = s["lambda"].isNull()
-            usual = F.coalesce(m["turnover"], F.lit(0.0))
-            turnover = F.when(first, x["l"] * m["gross_exposure"]).otherwise(x["l"] * usual + F.abs(x["l"] - s["lambda"]) * s["gross"])
-            net = x["l"] * m["gross_return"] - turnover * (cost_bps / 10_000)
-            return let(F.struct(x["l_dd"].alias("l_dd"), x["l"].alias("l"), x["state"].alias("state"), x["dd"].alias("dd"), net.alias("net"), turnover.alias("turnover"), (s["wealth"] * (1 + net)).alias("wealth")), moved)
-
-        def moved(x: Column) -> Column:
-            high, deeper = x["wealth"] >= s["peak"], x["wealth"] < s["trough"]
-            peak = F.when(high, x["wealth"]).otherwise(s["peak"])
-            row = F.struct(m["month_id"].alias("month_id"), x["l_dd"].alias("lambda_dd"), x["l"].alias("lambda_t"), x["state"].alias("state"), x["dd"].alias("drawdown_before"), x["net"].alias("overlay_net_return"), x["turnover"].alias("overlay_turnover"), (x["wealth"] / peak - 1).alias("drawdown_after"))
-            return F.struct(
-                x["wealth"].alias("wealth"), peak.alias("peak"), F.when(high | deeper, x["wealth"]).otherwise(s["trough"]).alias("trough"), F.when(high, 0).otherwise(s["age"] + 1).alias("age"),
-                F.when(high | deeper, 0).when(x["wealth"] > s["trough"] * 1.01, s["recovered"] + 1).otherwise(s["recovered"]).alias("recovered"),
-                x["dd"].alias("d1"), s["d1"].alias("d2"), s["d2"].alias("d3"), x["l"].alias("lambda"), m["gross_exposure"].alias("gross"), F.concat(s["rows"], F.array(row)).alias("rows"),
-            ).cast(STATE.format(row=ROW))
-
-        dd = s["wealth"] / s["peak"] - 1
-        return let(F.struct(_band(s, m, dd, threshold).alias("band"), dd.alias("dd")), with_band)
-
-    return series.select(*keys, F.explode(F.aggregate("m", start, step, lambda s: s["rows"])).alias("r")).select(*keys, "r.*")
+    """overlays() of one method."""
+    method = next(m for m, v in METHODS.items() if v == vol_target)
+    return overlays(monthly, keys, (method,), cost_bps, threshold).drop("method")
 
 
 def overlay_changes(base: DataFrame, changed: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:

@@ -18,6 +18,10 @@ from panelyard.operators.xsection import bucket, n_valid, rank_first
 EXPOSURES = {"long_only": (1.0, 0.0), "long_short": (1.0, 1.0), "gross_normalized_long_short": (0.5, 0.5), "long_short_130_30": (1.3, 0.3)}
 
 
+#: Rules that weights() takes at a time; the grid has fifty.
+MOST_RULES = 1000
+
+
 def strategy_grid(spark: SparkSession, fractions: tuple[float, ...] = (0.1, 0.2), thresholds: tuple[float, ...] = (0.0, 0.005, 0.01, 0.02), z: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """spec, rule, long_total, short_total, gate, q, threshold: the grid of rules and gates, a few dozen rows."""
     rows = []
@@ -43,6 +47,8 @@ def weights(panel: DataFrame, grid: DataFrame, score: str = "score", least: int
     0 or the threshold; gate zscore takes z beyond the threshold instead of the quantile. Equal weights within a leg;
     an empty leg is absent; a month with fewer than ``least`` scores has no weights.
     """
+    if grid.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules: every row of the panel meets each of them, so take some at a time")
     df = scored(panel, score, keys).filter((F.col("__n") >= least) & F.col(score).isNotNull()).crossJoin(F.broadcast(grid))
     s, pct = F.col(score), F.col("__r") / F.col("__n")
     high = F.when(F.col("gate") == "zscore", F.col("__z") >= F.col("threshold")).otherwise(pct >= 1 - F.col("q"))
@@ -62,25 +68,28 @@ def portfolio_returns(held: DataFrame, months: DataFrame, cost_bps: float = 25.0
     Turnover is sum |w| in the first month, else sum |w - w_prev (1 + r_prev) / (1 + gross_prev)|; undrifted if
     1 + gross_prev is not positive.
     """
-    held = held.persist()  # four branches read it; executors that are lost compute their share again
     order = Window.partitionBy("model", "split").orderBy("month_id")
     index = months.withColumn("idx", F.row_number().over(order)).withColumn("last_idx", F.count(F.lit(1)).over(Window.partitionBy("model", "split")))
-    spine = held.select(*keys).distinct().join(index, ["model", "split"])
-    at = held.join(index, ["model", "split", "month_id"])
     r = F.coalesce("ret", F.lit(0.0))
-    gross = at.groupBy(*keys, "idx").agg(F.sum(F.col("w") * r).alias("gross"))
-    drift = at.join(gross, [*keys, "idx"]).filter("idx < last_idx")
+    at = held.join(index, ["model", "split", "month_id"])
+    at = at.withColumn("gross", F.sum(F.col("w") * r).over(Window.partitionBy(*keys, "idx")))
     moved = F.when(1 + F.col("gross") > 0, F.col("w") * (1 + r) / (1 + F.when(1 + F.col("gross") > 0, F.col("gross")))).otherwise(F.col("w"))
-    trades = at.select(*keys, "idx", entity, "w", F.lit(0.0).alias("before"), r.alias("r")).unionByName(
-        drift.select(*keys, (F.col("idx") + 1).alias("idx"), entity, F.lit(0.0).alias("w"), moved.alias("before"), F.lit(0.0).alias("r"))
-    )
-    net = trades.groupBy(*keys, "idx", entity).agg(F.sum("w").alias("w"), F.sum("before").alias("before"), F.sum(F.col("w") * F.col("r")).alias("pnl"))
+    # a weight takes part twice: in its month, and drifted in the trade of the month after
+    none = F.lit(0.0)
+    own = F.struct(F.col("idx"), F.col("w"), none.alias("before"), (F.col("w") * r).alias("pnl"))
+    after = F.struct((F.col("idx") + 1).alias("idx"), none.alias("w"), moved.alias("before"), none.alias("pnl"))
+    trades = at.select(*keys, entity, "last_idx", F.explode(F.array(own, after)).alias("t")).select(*keys, entity, "last_idx", "t.*").filter("idx <= last_idx")
+    net = trades.groupBy(*keys, "idx", entity).agg(F.sum("w").alias("w"), F.sum("before").alias("before"), F.sum("pnl").alias("pnl"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     monthly = net.groupBy(*keys, "idx").agg(
         F.sum("pnl").alias("gross_return"), F.sum(F.abs(F.col("w") - F.col("before"))).alias("turnover"), F.sum(F.abs("w")).alias("gross_exposure"), F.sum("w").alias("net_exposure"),
         F.count_if(F.col("w") > 0).alias("n_long"), F.count_if(F.col("w") < 0).alias("n_short"),
     )
-    out = spine.join(monthly, [*keys, "idx"], "left").join(gross.select(*keys, (F.col("idx") + 1).alias("idx"), F.col("gross").alias("__before")), [*keys, "idx"], "left")
+    # a specification's months as one map, which is bounded by the calendar, laid over all months
+    made = F.struct("gross_return", "turnover", "gross_exposure", "net_exposure", "n_long", "n_short")
+    series = monthly.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("idx", made))).alias("__m"))
+    out = series.join(index, ["model", "split"]).withColumns({"__x": F.try_element_at("__m", F.col("idx")), "__before": F.try_element_at("__m", F.col("idx") - 1)["gross_return"]})
+    out = out.select(*keys, "month_id", "idx", "__before", "__x.*")
     cost = zero(F.col("turnover")) * cost_bps / 10_000
     method = F.when(F.col("idx") == 1, "initial_abs_weight").when(1 + zero(F.col("__before")) > 0, "drift_adjusted").otherwise("non_drift_fallback")
     return out.select(*keys, "month_id", zero(F.col("gross_return")).alias("gross_return"), zero(F.col("turnover")).alias("turnover"), cost.alias("trading_cost"), (zero(F.col("gross_return")) - cost).alias("net_return"),

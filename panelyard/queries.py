@@ -615,11 +615,6 @@ def baseline_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(portfolio.baseline_returns(_bets(spark, sf_dir), 0.2, True))
 
 
-def _market_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly series of all specifications, for the overlay; several branches read them."""
-    return _monthly(spark, sf_dir).persist()
-
-
 _OVERLAY = (
     f"mr AS (WITH {_RETURNS} SELECT * FROM mr)"  # inside, since DuckDB takes every UNION ALL of WITH RECURSIVE for a recursion
     + """, om AS (SELECT spec, model, split, month_id, gross_return AS g, turnover AS t, gross_exposure AS e, row_number() OVER s AS idx, lag(net_return) OVER s AS b1, lag(net_return, 2) OVER s AS b0
@@ -654,9 +649,7 @@ fold(spec, model, split, vt, idx, month_id, l_dd, l, state, dd, net, turn, wealt
   round(wealth / peak - 1, 6) AS drawdown_after, CASE WHEN vt THEN 'dd_speed_phase_vol_target' ELSE 'dd_speed_phase_control' END AS method FROM fold WHERE idx > 0"""
 )
 def drawdown_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, keys = _market_paths(spark, sf_dir), ["spec", "model", "split"]
-    a, b = (overlays.overlay(df, keys, v).withColumn("method", F.lit(m)) for v, m in ((False, "dd_speed_phase_control"), (True, "dd_speed_phase_vol_target")))
-    return rounded(a.unionByName(b))
+    return rounded(overlays.overlays(_monthly(spark, sf_dir), ["spec", "model", "split"]))
 
 
 _MEASURES = """{w} AS (SELECT spec, model, split, month_id, r, product(1 + r) OVER (PARTITION BY spec, model, split ORDER BY month_id) AS v FROM {of}),
@@ -672,7 +665,7 @@ SELECT model, split, count(*) AS n, {", ".join(f"round(avg({c}), 5) AS mean_{m},
 FROM (SELECT model, split, round(a, 9) AS a, round(b, 9) AS b, round(c, 9) AS c FROM ch) GROUP BY ALL"""
 )
 def overlay_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, keys, measures = _market_paths(spark, sf_dir), ["spec", "model", "split"], ["annual_return", "annual_vol", "max_drawdown"]
+    df, keys, measures = _monthly(spark, sf_dir), ["spec", "model", "split"], ["annual_return", "annual_vol", "max_drawdown"]
     changed = overlays.overlay(df, keys, False).withColumnRenamed("overlay_net_return", "net_return")
     deltas = overlays.overlay_changes(performance.performance(df, keys), performance.performance(changed, keys), keys, measures)
     deltas = deltas.withColumns({f"delta_{m}": F.round(f"delta_{m}", 9) for m in measures})  # noise of sums in another order is no change
