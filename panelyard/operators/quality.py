@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -59,6 +62,54 @@ def require_same_count(before: DataFrame, after: DataFrame) -> DataFrame:
     return after
 
 
+class Watched:
+    """Gates on data that are written anyway: counts are taken on the way, by Spark's observed metrics, with no scan of their own.
+
+    Mark points of a plan with watch(), run one action on what comes of it, then ask the gates.
+    """
+
+    def __init__(self):
+        self.points: dict[str, Observation] = {}
+
+    def watch(self, df: DataFrame, name: str, *metrics: Column) -> DataFrame:
+        """df, which counts its rows (``rows``), and the metrics, whenever an action runs it."""
+        self.points[name] = Observation(f"{name}-{uuid.uuid4().hex}")
+        return df.observe(self.points[name], F.count(F.lit(1)).alias("rows"), *metrics)
+
+    def unchanged(self, df: DataFrame, name: str, column: str, original: str) -> DataFrame:
+        """df, watched for the greatest absolute difference of two columns (``difference``) and the rows where only one is null (``one_null``)."""
+        a, b = F.col(column), F.col(original)
+        return self.watch(df, name, F.max(F.abs(a - b)).alias("difference"), F.count_if(a.isNull() != b.isNull()).alias("one_null"))
+
+    def counts(self, name: str) -> dict:
+        return self.points[name].get
+
+    def require_same_count(self, before: str, after: str) -> None:
+        n, m = self.counts(before)["rows"], self.counts(after)["rows"]
+        if n != m:
+            raise ValueError(f"{n} rows became {m}")
+
+    def require_unchanged(self, name: str, most: float = 0.0) -> None:
+        got = self.counts(name)
+        if got["one_null"] or (got["difference"] or 0.0) > most:
+            raise ValueError(f"values changed: {got}")
+
+
+def written_with_count(before: DataFrame, change: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None], drop: Callable[[], None]) -> int:
+    """Writes change(before), a step that keeps the number of rows, and checks that it did; one run of the plan.
+
+    If it did not, what was written is dropped and ValueError raised. Returns the rows.
+    """
+    watched = Watched()
+    write(watched.watch(change(watched.watch(before, "before")), "after"))
+    try:
+        watched.require_same_count("before", "after")
+    except ValueError:
+        drop()
+        raise
+    return watched.counts("after")["rows"]
+
+
 def require_one_date_a_month(df: DataFrame, date: str, month: str) -> DataFrame:
     twice = df.groupBy(month).agg(F.count_distinct(date).alias("dates")).filter("dates > 1").orderBy(month).limit(20).collect()
     if twice:

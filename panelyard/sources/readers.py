@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,6 +115,18 @@ def schema_table(df: DataFrame) -> DataFrame:
     return df.agg(*parts).select(F.explode(rows).alias("r")).select("r.*")
 
 
+def footer_counts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """name, n_rows of Parquet files or folders, from their footers: no column is read.
+
+    Spark pushes count(*) down to its second Parquet source only, so a session of its own is set to use that one.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    counts = [own.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows") for name, path in paths.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def results(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """CSV results of several runs, of one schema, as one table."""
     return spark.read.schema(schema).option("header", True).csv(list(paths))
