@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.functions import dates
 from panelyard.functions import scalars as x
-from panelyard.operators import features, joins, models, orders, quality, quantiles, stats, timeseries, xsection
+from panelyard.operators import boosting, features, joins, models, networks, orders, quality, quantiles, stats, timeseries, training, xsection
 from panelyard.plans import performance, portfolio, rank_ic
 from panelyard.queries import _BETS, _MEASURES, _PANEL, _RETURNS, _bets, _monthly, panel, query, rounded, scores, targets
 from panelyard.sources import readers, writers
@@ -257,6 +258,153 @@ def asof_nearest_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.asof_nearest(*_hot(spark, sf_dir), "k", "day", "since", ["line"], ["line"], 2, segmented=True).select("o_orderkey", "line", "distance_days")
 
 
+_FOOTERS = ("region", "customer", "orders", "lineitem", "events")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows FROM {t}" for t in _FOOTERS))
+def footer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of some tables by their footers alone."""
+    return readers.footer_counts(spark, {t: f"{sf_dir}/{t}.parquet" for t in _FOOTERS})
+
+
+@query(
+    """SELECT 'kept' AS step, count(*) AS rows_before, count(*) AS rows_after, 0.0::DOUBLE AS difference, true AS passed FROM orders
+UNION ALL SELECT 'lost', count(*), count(*) FILTER (o_orderkey % 7 <> 0), 0.0, false FROM orders
+UNION ALL SELECT 'changed', count(*), count(*), round(max(abs(round(o_totalprice, 0) - o_totalprice)), 6), false FROM orders"""
+)
+def watched_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three writes of the orders, whose gates look at counts that were taken on the way."""
+    rows = []
+    price = F.col("o_totalprice")
+    steps = {"kept": (price, F.lit(True)), "lost": (price, F.col("o_orderkey") % 7 != 0), "changed": (F.round(price, 0), F.lit(True))}
+    for name, (value, condition) in steps.items():
+        watched = quality.Watched()
+        orders_ = watched.watch(table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"]), "before")
+        made = watched.unchanged(orders_.filter(condition).withColumn("value", value), "after", "value", "o_totalprice")
+        writers.parquet(made, writers.scratch(spark, f"watched-{name}"))
+        try:
+            watched.require_same_count("before", "after")
+            watched.require_unchanged("after")
+            passed = True
+        except ValueError:
+            passed = False
+        after = watched.counts("after")
+        rows.append((name, watched.counts("before")["rows"], after["rows"], float(after["difference"]), passed))
+    return rounded(spark.createDataFrame(rows, "step string, rows_before long, rows_after long, difference double, passed boolean"))
+
+
+# ---------------------------------------------------------------- models: trained on the train split, chosen on validation, scored on test
+
+
+_USED = ["ret", "ret_lag1", "ret_lag2", "mom_6m", "vol_12m", "market_lag1"]
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return features, the target and its class within the month, as a table that fitting, validation and scoring read."""
+    df = timeseries.return_features(targets(spark, sf_dir)).filter("target is not null")
+    return writers.cut_lineage(xsection.quantile_label(df, "target", ["month_id"], ["entity"]).filter("label is not null"))
+
+
+def _held_out(scored: DataFrame) -> DataFrame:
+    """Rank IC by month of test scores."""
+    ic = rank_ic.monthly_rank_ic(scored.withColumn("split", F.lit("test")))
+    return ic.select("model", "month_id", "n_obs", "rank_ic")
+
+
+@query()
+def boosted_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-class boosting: the grid's points with a part of their rounds, the mean rank IC on validation, and that of test for the chosen one."""
+    df = _labelled(spark, sf_dir)
+    grid = [{**p, "max_iter": p["max_iter"] // 25} for p in boosting.GRID]
+    fitted = boosting.fit(df.filter("split = 'train'"), _USED, "label", grid)
+    best, found = boosting.choose(df.filter("split = 'validation'"), fitted, "target")
+    scored = boosting.score(df.filter("split = 'test'"), {str(best): fitted[best]}, ["entity", "month_id", "target"])
+    test = _held_out(scored).groupBy(F.col("model").cast("int").alias("candidate")).agg(F.avg("rank_ic").alias("test_ic"), F.count("rank_ic").alias("n_months"))
+    rows = [(i, p["max_iter"], p["learning_rate"], p["max_leaf_nodes"], ic, i == best) for i, (p, ic) in enumerate(zip(grid, found, strict=True))]
+    return spark.createDataFrame(rows, "candidate int, max_iter int, learning_rate double, max_leaf_nodes int, validation_ic double, selected boolean").join(test, "candidate", "left")
+
+
+@query()
+def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test scores of a boosted classifier that was saved and loaded again with its list of features."""
+    df = _labelled(spark, sf_dir)
+    (model,) = boosting.fit(df.filter("split = 'train'"), _USED, "label", [{"max_iter": 6, "learning_rate": 0.1, "max_leaf_nodes": 8}])
+    path = writers.scratch(spark, "boosted")
+    boosting.save(model, spark, path)
+    scored = boosting.score(df.filter("split = 'test'"), {"boosted": boosting.load(spark, path, _USED)}, ["entity", "month_id", "target"])
+    return scored.select("entity", "month_id", "target", "model", *[F.col("probability")[i].alias(f"p{i}") for i in range(3)], "score")
+
+
+def _trained(spark: SparkSession, sf_dir: str, network, label: str, settings: training.Settings, **more) -> tuple[DataFrame, training.Trained]:
+    df = _labelled(spark, sf_dir)
+    train, validation = df.filter("split = 'train'"), df.filter("split = 'validation'")
+    return df, training.train(network, train, validation, training.Inputs(training.fit_scaler(train, _USED)), label, "target", settings, **more)
+
+
+@query()
+def perceptron_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of the perceptron with three classes: loss, rank IC on validation, which one was kept."""
+    _, model = _trained(spark, sf_dir, networks.Perceptron(len(_USED)), "label", training.Settings(most_rounds=4, patience=2, batch=128), class_weights=True)
+    return spark.createDataFrame([tuple(h[c] for c in ("round", "train_loss", "validation_ic", "validation_ic_return", "selected")) for h in model.history], "round int, train_loss double, validation_ic double, validation_ic_return double, selected boolean")
+
+
+@query()
+def perceptron_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test scores of the perceptron for the return itself, from the saved model."""
+    df, model = _trained(spark, sf_dir, networks.Perceptron(len(_USED), 1), "target", training.Settings(most_rounds=3, batch=128))
+    path = writers.scratch(spark, "perceptron")
+    training.save(model, spark, path)
+    return training.score(df.filter("split = 'test'"), training.load(spark, path, _USED), ["entity", "month_id", "target"]).select("entity", "month_id", "target", "score")
+
+
+@query()
+def feature_token_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out monthly rank IC of the feature-token transformer beside that of ridge."""
+    df, model = _trained(spark, sf_dir, networks.FeatureTokens(len(_USED), 16, 1, 4), "label", training.Settings(most_rounds=3, batch=128))
+    test = df.filter("split = 'test'")
+    _, line, _ = models.fit_grid(df, _USED, "target", {"ridge": models.ridge(100.0, "target")})
+    keep = ["entity", "month_id", "target"]
+    both = training.score(test, model, keep).withColumn("model", F.lit("tokens")).select(*keep, "model", "score").unionByName(line.transform(test).withColumn("model", F.lit("ridge")).select(*keep, "model", "score"))
+    return _held_out(both)
+
+
+@query()
+def two_branch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test scores of the two-branch model: its tabular branch comes from a feature-token model and stays as it is."""
+    df = timeseries.history(_labelled(spark, sf_dir), "entity", ["ret", "market_ret"], 12, fill=None)
+    train, validation = df.filter("split = 'train'"), df.filter("split = 'validation'")
+    tabular = training.fit_scaler(train, _USED)
+    tokens = training.train(networks.FeatureTokens(len(_USED), 16, 1, 4), train, validation, training.Inputs(tabular), "label", "target", training.Settings(most_rounds=1, batch=128))
+    network = networks.TwoBranches(len(_USED), 2, 12, 16, 1, 4, 0.1, 16, 1, 4, False, 16)
+    start, _ = networks.warm_start(network.draw(np.random.default_rng(42)), tokens.params, ("tabular.",))
+    settings = training.Settings(most_rounds=2, batch=128, rates={"temporal.": 5e-4}, frozen=("tabular.",))
+    model = training.train(network, train, validation, training.Inputs(tabular, training.sequence_scaler(train, ["ret", "market_ret"]), 12), "label", "target", settings, class_weights=True, start=start)
+    return training.score(df.filter("split = 'test'"), model, ["entity", "month_id", "target"]).select("entity", "month_id", "target", *[F.col("probability")[i].alias(f"p{i}") for i in range(3)], "score", "expected_return")
+
+
+@query()
+def logistic_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-class logistic regression, each C without and with class weights: mean rank IC on validation."""
+    df = models.class_weights(_labelled(spark, sf_dir).withColumn("label", F.col("label").cast("double")), "label")
+    rows = df.filter("split = 'train'").count()
+    best, _, found = models.fit_grid(df, _USED, "target", models.logistic_grid("label", rows, (0.01, 1.0)), after=models.with_class_scores)
+    return spark.createDataFrame([(name, ic, name == best) for name, ic in found.items()], "candidate string, validation_ic double, selected boolean")
+
+
+@query(
+    f"""WITH {_PANEL}, h AS (SELECT a.entity, a.month_id, a.split, b.month_id - a.month_id + 6 AS step, b.ret FROM tg a JOIN panel b ON a.entity = b.entity AND b.month_id BETWEEN a.month_id - 5 AND a.month_id WHERE a.split IS NOT NULL),
+t AS (SELECT ret FROM h WHERE split = 'train'), m AS (SELECT median(ret) AS m FROM t), s AS (SELECT any_value(m) AS m, avg(coalesce(ret, m)) AS mean, stddev_pop(coalesce(ret, m)) AS sd FROM t, m)
+SELECT entity, month_id, CAST(6 - count(*) AS INTEGER) AS n_masked, round(sum(step * (coalesce(ret, m) - mean) / sd), 5) AS weighted FROM h, s GROUP BY ALL"""
+)
+def scaled_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories of six months scaled by what the training rows show, summed with the steps as weights; masked steps are 0."""
+    all_months = timeseries.history(panel(spark, sf_dir).select("entity", "month_id", "ret"), "entity", ["ret"], 6, fill=None)
+    df = all_months.join(targets(spark, sf_dir).select("entity", "month_id", "split"), ["entity", "month_id"])
+    made = training.scaled_steps(df, training.sequence_scaler(df.filter("split = 'train'"), ["ret"]))
+    weighted = F.aggregate(F.transform("steps", lambda s, i: s["ret"] * (i + 1)), F.lit(0.0), lambda acc, v: acc + v)
+    return made.select("entity", "month_id", F.size(F.filter("masked", lambda x: x)).alias("n_masked"), F.round(weighted, 5).alias("weighted"))
+
+
 @query(
     f"""WITH {_PANEL} SELECT entity, count(*) AS n, round(covar_samp(ret, market_ret) / var_samp(market_ret), 6) AS beta,
   round(avg(ret) - covar_samp(ret, market_ret) / var_samp(market_ret) * avg(market_ret), 6) AS alpha, round(corr(ret, market_ret), 6) AS corr FROM panel WHERE ret IS NOT NULL AND market_ret IS NOT NULL GROUP BY 1"""
@@ -345,6 +493,57 @@ def baseline_portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.select("portfolio", "model", "split", "cost_bps", "n_months", "mean_return", "annual_return", "max_drawdown"), 5)
 
 
+_YEAR = "CASE WHEN product(1 + {r}) > 0 THEN power(product(1 + {r}), 12.0 / count({r})) - 1 END"
+_RATIO = "CASE WHEN stddev_samp({r}) > 0 THEN (" + _YEAR + ") / (stddev_samp({r}) * sqrt(12)) END"
+
+
+@query(
+    f"""WITH {_RETURNS}, x AS (SELECT m.*, net_return / nullif(gross_exposure, 0) AS u, k.market_ret AS b, product(1 + net_return) OVER (PARTITION BY spec, model, split ORDER BY m.month_id) AS v FROM mr m LEFT JOIN mk k ON k.month_id = m.month_id + 1),
+d AS (SELECT *, v / max(v) OVER (PARTITION BY spec, model, split ORDER BY month_id) - 1 AS dd FROM x),
+l AS (SELECT spec, model, split, count(*) AS n, avg(net_return) AS my, avg(b) AS mx, var_pop(b) AS vx, var_pop(net_return) AS vy, covar_pop(b, net_return) AS cxy FROM x WHERE b IS NOT NULL GROUP BY ALL),
+ab AS (SELECT *, CASE WHEN n >= 3 AND vx > 0 THEN cxy / vx END AS beta FROM l),
+al AS (SELECT *, my - beta * mx AS alpha, sqrt(greatest(n * (vy - beta * cxy) / nullif(n - 2, 0), 0) * (1.0 / n + mx * mx / (n * vx))) AS se FROM ab)
+SELECT spec, model, split, count(*) AS months, round({_YEAR.format(r="net_return")}, 5) AS net_annualized_return, round(stddev_samp(net_return) * sqrt(12), 5) AS net_annualized_volatility, round({_RATIO.format(r="net_return")}, 4) AS net_sharpe,
+  round({_YEAR.format(r="gross_return")}, 5) AS gross_annualized_return, round(stddev_samp(gross_return) * sqrt(12), 5) AS gross_annualized_volatility, round({_RATIO.format(r="gross_return")}, 4) AS gross_sharpe,
+  round(min(dd), 5) AS max_drawdown, round(avg(dd), 5) AS average_drawdown, round(avg(turnover), 5) AS average_monthly_turnover, round(avg(gross_exposure), 5) AS average_gross_exposure, round(avg(net_exposure), 5) + 0.0 AS average_net_exposure,
+  round({_YEAR.format(r="u")}, 5) AS exposure_normalized_annualized_return, round({_RATIO.format(r="u")}, 4) AS exposure_normalized_sharpe, round(avg(n_long), 5) AS average_n_long, round(avg(n_short), 5) AS average_n_short,
+  min(n_long) AS min_n_long, min(n_short) AS min_n_short, round(any_value(alpha) * 12, 5) AS annualized_alpha, round(any_value(beta), 5) AS beta, round(CASE WHEN any_value(se) > 0 THEN any_value(alpha) / any_value(se) END, 4) AS alpha_tstat,
+  coalesce(any_value(al.n), 0) AS alpha_beta_months FROM d LEFT JOIN al USING (spec, model, split) GROUP BY spec, model, split"""
+)
+def spec_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All measures of the fifty specifications of each score and split, against the market."""
+    market = panel(spark, sf_dir).select("month_id", F.col("market_ret").alias("benchmark_return")).distinct()
+    df = performance.spec_summary(_monthly(spark, sf_dir), market, ["spec", "model", "split"])
+    four = ("net_sharpe", "gross_sharpe", "exposure_normalized_sharpe", "alpha_tstat")
+    return df.withColumns({c: F.round(c, 4 if c in four else 5) + 0.0 for c, kind in df.dtypes if kind == "double"})
+
+
+@query(
+    f"""WITH {_BETS}, ok AS (SELECT * FROM bets WHERE score IS NOT NULL AND ret IS NOT NULL),
+x AS (SELECT *, row_number() OVER (w ORDER BY score, entity) AS u, row_number() OVER (w ORDER BY score DESC, entity) AS d, greatest(1, floor(count(*) OVER w * 0.2)) AS k FROM ok WINDOW w AS (PARTITION BY model, split, month_id)),
+l AS (SELECT *, CASE WHEN d <= k THEN 1 WHEN u <= k THEN -1 END AS leg FROM x), f AS (SELECT *, count(*) FILTER (leg = -1) OVER (PARTITION BY model, split, month_id) AS s FROM l WHERE leg IS NOT NULL),
+wt AS (SELECT model, split, month_id, entity, ret AS r, leg / count(*) OVER (PARTITION BY model, split, month_id, leg) AS w FROM f WHERE s > 0),
+wi AS (SELECT *, dense_rank() OVER (PARTITION BY model, split ORDER BY month_id) AS idx FROM wt), gr AS (SELECT model, split, idx, any_value(month_id) AS month_id, sum(w * r) AS g FROM wi GROUP BY model, split, idx),
+tr AS (SELECT model, split, idx, entity, w, 0 AS b FROM wi UNION ALL SELECT model, split, idx + 1, entity, 0, CASE WHEN 1 + g > 0 THEN w * (1 + r) / (1 + g) ELSE w END FROM wi JOIN gr USING (model, split, idx)),
+nt AS (SELECT model, split, idx, entity, sum(w) AS w, sum(b) AS b FROM tr GROUP BY ALL), tu AS (SELECT model, split, idx, sum(abs(w - b)) AS turnover, count(*) FILTER (w > 0) AS n_long, count(*) FILTER (w < 0) AS n_short FROM nt GROUP BY ALL),
+mo AS (SELECT model, split, month_id, cost_bps, turnover, n_long, n_short, g - cost_bps / 10000 * turnover AS r FROM gr JOIN tu USING (model, split, idx), (VALUES (0.0::DOUBLE), (5.0), (10.0), (25.0), (50.0), (100.0)) c(cost_bps)),
+v AS (SELECT mo.*, k.market_ret AS b, product(1 + r) OVER (PARTITION BY model, split, cost_bps ORDER BY mo.month_id) AS v FROM mo LEFT JOIN mk k ON k.month_id = mo.month_id + 1), h AS (SELECT *, v / max(v) OVER (PARTITION BY model, split, cost_bps ORDER BY month_id) - 1 AS dd FROM v)
+SELECT model, split, cost_bps, count(*) AS months, round(product(1 + r) - 1, 4) AS cumulative_return, round({_YEAR.format(r="r")}, 5) AS annualized_return, round(stddev_samp(r) * sqrt(12), 5) AS annualized_volatility,
+  round(CASE WHEN stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) * sqrt(12) END, 4) AS sharpe_ratio, round(avg(r) / nullif(sqrt(avg(least(r, 0) * least(r, 0))), 0) * sqrt(12), 4) AS sortino_ratio, round(min(dd), 5) AS max_drawdown,
+  round(CASE WHEN min(dd) < 0 THEN ({_YEAR.format(r="r")}) / abs(min(dd)) END, 4) AS calmar_ratio, round(avg(r), 5) AS mean_monthly_return, round(avg(r) / (nullif(stddev_samp(r), 0) / sqrt(count(*))), 4) AS monthly_return_tstat,
+  round(avg(CAST(r > 0 AS DOUBLE)), 5) AS hit_rate, round(skewness(r), 4) AS skewness, round(kurtosis(r), 4) AS excess_kurtosis, round(avg(turnover), 5) AS average_turnover, round(avg(n_long), 5) AS average_number_of_long_stocks,
+  round(avg(n_short), 5) AS average_number_of_short_stocks, round(covar_samp(r, b) / var_samp(CASE WHEN r IS NOT NULL THEN b END), 5) AS beta_to_benchmark,
+  round((avg(CASE WHEN b IS NOT NULL THEN r END) - covar_samp(r, b) / var_samp(b) * avg(b)) * 12, 5) AS annualized_alpha, round(corr(r, b), 5) AS correlation FROM h GROUP BY ALL"""
+)
+def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All measures of the long-short baseline of each score and split at every cost, against the market."""
+    monthly = features.expand_costs(portfolio.baseline_returns(_bets(spark, sf_dir), 0.2, True))
+    market = panel(spark, sf_dir).select("month_id", F.col("market_ret").alias("benchmark_return")).distinct()
+    df = performance.backtest_summary(monthly, market, ["model", "split", "cost_bps"])
+    four = ("cumulative_return", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "monthly_return_tstat", "skewness", "excess_kurtosis")
+    return df.withColumns({c: F.round(c, 4 if c in four else 5) + 0.0 for c, kind in df.dtypes if kind == "double" and c != "cost_bps"})
+
+
 @query(
     f"""WITH {_RETURNS}, x1 AS (SELECT spec, model, split, month_id, net_return AS r FROM mr), {_MEASURES.format(w="w1", p="p1", of="x1")},
 nm AS (SELECT *, model || '/' || spec AS id, CASE WHEN annual_vol > 0 THEN round(annual_return / annual_vol, 9) END AS sharpe, coalesce(t > 1.96 AND max_drawdown > -0.4, false) AS passes FROM p1 WHERE split = 'validation'),

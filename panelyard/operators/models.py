@@ -33,14 +33,20 @@ def elastic_net(alpha: float, mix: float, target: str) -> LinearRegression:
     return LinearRegression(labelCol=target, regParam=alpha, elasticNetParam=mix, standardization=False, predictionCol="score")
 
 
-def logistic(c: float, label: str) -> LogisticRegression:
-    return LogisticRegression(labelCol=label, regParam=1.0 / c, family="multinomial", probabilityCol="probability", predictionCol="predicted")
+def logistic(c: float, label: str, rows: int = 1) -> LogisticRegression:
+    """regParam is 1 / (c rows): the loss is a mean over the rows."""
+    return LogisticRegression(labelCol=label, regParam=1.0 / (c * rows), family="multinomial", probabilityCol="probability", predictionCol="predicted")
 
 
 def boosted(depth: int, trees: int, target: str) -> GBTRegressor:
     return GBTRegressor(labelCol=target, maxDepth=depth, maxIter=trees, seed=1, predictionCol="score")
 
 
+def logistic_grid(label: str, rows: int, rates: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0)) -> dict[str, LogisticRegression]:
+    """Candidates for fit_grid(): each C without and with the balancing weights of class_weights()."""
+    return {f"C={c:g} {name}": logistic(c, label, rows) if name == "none" else logistic(c, label, rows).setWeightCol("weight") for c in rates for name in ("none", "balanced")}
+
+
 def forest(depth: int, trees: int, label: str) -> RandomForestClassifier:
     return RandomForestClassifier(labelCol=label, maxDepth=depth, numTrees=trees, seed=1, probabilityCol="probability", predictionCol="predicted")
 

@@ -152,9 +152,11 @@ def volatility_state(df: DataFrame, ret: str, keys: list[str], month: str, lookb
     return df.withColumn("normal_vol", clip(F.coalesce("__recent", "__all"), low, high)).drop("__recent", "__all")
 
 
-def history(panel: DataFrame, entity: str, values: list[str], steps: int = 24, month: str = "month_id") -> DataFrame:
+def history(panel: DataFrame, entity: str, values: list[str], steps: int = 24, month: str = "month_id", fill: float | None = 0.0) -> DataFrame:
     """Per row the last ``steps`` calendar months as an array, oldest first, with a mask (true where no month is).
 
+    fill: for missing values of months that are there; None keeps them null. Masked steps are 0.
+
     Array lengths are fixed, so rows stay small; months are placed by their distance, so gaps are masked places.
     """
     w = by(entity, month).rangeBetween(1 - steps, 0)
@@ -162,7 +164,7 @@ def history(panel: DataFrame, entity: str, values: list[str], steps: int = 24, m
     # where a month stands among those seen: 0 if it does not
     place = F.transform(F.sequence(F.col(month) - (steps - 1), F.col(month)), lambda m: F.array_position("__months", m).cast("int"))
     made = panel.withColumn("__seen", seen).withColumn("__months", F.transform("__seen", lambda x: x["m"])).withColumn("__place", place)
-    value = lambda i, v: F.when(i > 0, F.coalesce(F.get(F.col("__seen"), i - 1)[v], F.lit(0.0))).otherwise(0.0).alias(v)
+    value = lambda i, v: F.when(i > 0, F.coalesce(F.get(F.col("__seen"), i - 1)[v], F.lit(fill).cast("double"))).otherwise(0.0).alias(v)
     return made.withColumns({
         "steps": F.transform("__place", lambda i: F.struct(*[value(i, v) for v in values])),
         "masked": F.transform("__place", lambda i: i == 0),

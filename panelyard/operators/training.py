@@ -71,6 +71,10 @@ class Inputs:
             out += [flat.alias("__steps"), F.col("masked").alias("__masked")]
         return out
 
+    def sources(self) -> list[str]:
+        """The columns that columns() reads."""
+        return [*self.tabular.features, *(["steps", "masked"] if self.sequence else [])]
+
     def read(self, columns: list[pa.Array]) -> dict[str, np.ndarray]:
         """A batch from the columns above: float32, scaled; steps that are masked are 0."""
         n = len(self.tabular.features)
@@ -90,6 +94,13 @@ def sequence_scaler(train: DataFrame, features: list[str]) -> Scaler:
     return fit_scaler(steps, features, {f: F.col(f"z.steps.{f}") for f in features})
 
 
+def scaled_steps(histories: DataFrame, scaler: Scaler) -> DataFrame:
+    """histories with the scaler applied to their steps, in DataFrame functions: missing values filled, masked steps 0."""
+    by_name = list(zip(scaler.features, scaler.median, scaler.mean, scaler.deviation, strict=True))
+    scaled = lambda s, hidden: F.struct(*[F.when(hidden, 0.0).otherwise((F.coalesce(F.nanvl(s[f], F.lit(None)), F.lit(m)) - mean) / sd).alias(f) for f, m, mean, sd in by_name])
+    return histories.withColumn("steps", F.zip_with("steps", "masked", scaled))
+
+
 @dataclass
 class Settings:
     """rates: a rate for parameters by prefix. frozen: prefixes of parameters that stay."""
@@ -225,6 +236,8 @@ def train(
     tasks = settings.tasks or spark.sparkContext.defaultParallelism
     table = rows.select(F.col(label).cast("double").alias("__y"), weight.alias("__w"), *inputs.columns())
     table = cut_lineage(table.repartition(tasks, F.xxhash64(*table.columns)))
+    judged = [c for c in (month, target) if c not in inputs.sources()]
+    validation = cut_lineage(validation.filter(F.col(target).isNotNull()).select(*judged, *inputs.sources()))  # every round scores it
     params = {k: v.astype(np.float32) for k, v in (network.draw(np.random.default_rng(settings.seed)) | (start or {})).items()}
     state = {f"p.{k}": v for k, v in params.items()} | {f"{s}.{k}": np.zeros_like(v) for k, v in params.items() for s in "mv"}
     best, steps, history = params, 0, []
@@ -236,7 +249,7 @@ def train(
             break
         state, steps, loss = _round(table, network, inputs, state, steps, len(history) + 1, settings, tasks)
         params = {k[2:]: v for k, v in state.items() if k.startswith("p.")}
-        scored = score(validation.filter(F.col(target).isNotNull()), Trained(network, params, inputs, [], means), [month, target])
+        scored = score(validation, Trained(network, params, inputs, [], means), [month, target])
         ics = {c: _mean_ic(scored, c, target, month) for c in (["score", "expected_return"] if means else ["score"])}
         row = {"round": len(history) + 1, "train_loss": loss, "validation_ic": ics["score"]} | ({"validation_ic_return": ics["expected_return"]} if means else {})
         if not history or row["validation_ic"] > chosen:

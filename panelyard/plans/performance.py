@@ -23,6 +23,47 @@ def performance(monthly: DataFrame, keys: list[str], ret: str = "net_return", mo
     )
 
 
+def _sharpe_of_annual(r: Column) -> Column:
+    v = stats.volatility(r)
+    return F.when(v > 0, stats.annualised(r) / F.when(v > 0, v))
+
+
+def spec_summary(monthly: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFrame:
+    """Twenty-two measures of each specification's months.
+
+    Net and gross returns, drawdowns of the net wealth, turnover and exposures, returns on a unit of gross exposure
+    (months without any count as missing), numbers of names, and alpha and beta against the benchmark (month_id,
+    benchmark_return) of the month after formation, over the months that have one.
+    """
+    net, gross = F.col("net_return"), F.col("gross_return")
+    unit = F.when(F.col("gross_exposure") != 0, net / F.when(F.col("gross_exposure") != 0, F.col("gross_exposure")))
+    own = with_drawdown(monthly, "net_return", keys, "month_id", from_one=False).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("months"), stats.annualised(net).alias("net_annualized_return"), stats.volatility(net).alias("net_annualized_volatility"), _sharpe_of_annual(net).alias("net_sharpe"),
+        stats.annualised(gross).alias("gross_annualized_return"), stats.volatility(gross).alias("gross_annualized_volatility"), _sharpe_of_annual(gross).alias("gross_sharpe"),
+        F.min("drawdown").alias("max_drawdown"), F.avg("drawdown").alias("average_drawdown"), F.avg("turnover").alias("average_monthly_turnover"), F.avg("gross_exposure").alias("average_gross_exposure"),
+        F.avg("net_exposure").alias("average_net_exposure"), stats.annualised(unit).alias("exposure_normalized_annualized_return"), _sharpe_of_annual(unit).alias("exposure_normalized_sharpe"),
+        F.avg("n_long").alias("average_n_long"), F.avg("n_short").alias("average_n_short"), F.min("n_long").alias("min_n_long"), F.min("n_short").alias("min_n_short"),
+    )
+    line = stats.ols(benchmark_aligned(monthly, benchmark), keys, "net_return", "benchmark_return")
+    line = line.select(*keys, F.col("alpha_annual").alias("annualized_alpha"), "beta", F.col("alpha_t").alias("alpha_tstat"), F.col("n").alias("alpha_beta_months"))
+    return own.join(line, keys, "left").withColumn("alpha_beta_months", F.coalesce("alpha_beta_months", F.lit(0)))
+
+
+def backtest_summary(monthly: DataFrame, benchmark: DataFrame, keys: list[str], ret: str = "net_return") -> DataFrame:
+    """Nineteen measures of each backtest's months; Sharpe and Sortino ratios are of mean returns, the benchmark's month is the one after formation."""
+    r = F.col(ret)
+    worst, down = F.min("drawdown"), stats.downside_deviation(r)
+    own = with_drawdown(monthly, ret, keys, "month_id", from_one=False).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("months"), stats.compound(r).alias("cumulative_return"), stats.annualised(r).alias("annualized_return"), stats.volatility(r).alias("annualized_volatility"),
+        stats.sharpe_mean(r).alias("sharpe_ratio"), F.when(down > 0, F.avg(r) / F.when(down > 0, down) * F.sqrt(F.lit(12.0))).alias("sortino_ratio"), worst.alias("max_drawdown"),
+        F.when(worst < 0, stats.annualised(r) / F.abs(F.when(worst < 0, worst))).alias("calmar_ratio"), F.avg(r).alias("mean_monthly_return"), stats.t_stat(r).alias("monthly_return_tstat"),
+        F.avg((r > 0).cast("double")).alias("hit_rate"), stats.skewness(r).alias("skewness"), stats.kurtosis(r).alias("excess_kurtosis"), F.avg("turnover").alias("average_turnover"),
+        F.avg("n_long").alias("average_number_of_long_stocks"), F.avg("n_short").alias("average_number_of_short_stocks"),
+    )
+    line = stats.beta_alpha(benchmark_aligned(monthly, benchmark), keys, ret, "benchmark_return")
+    return own.join(line.select(*keys, F.col("beta").alias("beta_to_benchmark"), (F.col("alpha") * 12).alias("annualized_alpha"), F.col("corr").alias("correlation")), keys, "left")
+
+
 def break_even_simple(monthly: DataFrame, keys: list[str]) -> DataFrame:
     """Cost in basis points that takes the mean gross return: 0 if that is not positive, null without turnover."""
     g = monthly.groupBy(*keys).agg(F.avg("gross_return").alias("g"), F.avg("turnover").alias("t"))
