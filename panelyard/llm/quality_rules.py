@@ -17,10 +17,13 @@ from panelyard.llm._common import UPPER, WORD_BREAK, let
 
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = ["|", "||", "»", "›", "•", "·", "::"]
-#: Lower-case phrases of notices, forms and licence lines.
+#: Lower-case phrases of notices, forms and licence lines, in English, German, French and Spanish.
 BOILERPLATE = [
     "all rights reserved", "click here", "cookie policy", "enable javascript", "licensed under", "log in to", "lorem ipsum", "powered by",
     "privacy policy", "read more", "share this", "sign up", "subscribe to", "terms of service", "terms of use", "use cookies",
+    "alle rechte vorbehalten", "datenschutzerklärung", "hier klicken", "javascript aktivieren", "jetzt anmelden", "mehr lesen", "newsletter abonnieren", "nutzungsbedingungen", "verwendet cookies",
+    "abonnez-vous", "activer javascript", "cliquez ici", "conditions d’utilisation", "conditions d'utilisation", "lire la suite", "mentions légales", "politique de confidentialité", "tous droits réservés", "utilise des cookies",
+    "aviso legal", "habilitar javascript", "haga clic aquí", "iniciar sesión", "leer más", "política de privacidad", "suscríbete a", "términos de uso", "todos los derechos reservados", "utiliza cookies",
 ]
 _B, _W = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 SHORT = rf"^{_B}*{_W}+({_B}+{_W}+){{0,2}}{_B}*\z"

@@ -150,7 +150,7 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     quality_rules.SHORT.replace("'", "''"),
     quality_rules.ENDED.replace("'", "''"),
     ", ".join(f"'{s}'" for s in quality_rules.SEPARATORS),
-    " OR ".join(f"contains(lower(l), '{p}')" for p in quality_rules.BOILERPLATE),
+    " OR ".join("contains(lower(l), '" + p.replace("'", "''") + "')" for p in quality_rules.BOILERPLATE),
 )
 
 #: Terms as in lexical_search; the logarithm is the only number that is not whole.
