@@ -47,14 +47,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it from there.
 
-    For loops: unlike a checkpoint, the table has the size that its files have. A checkpoint carries the estimate of
+    It goes at the end of the innermost passing_tables(). For loops: unlike a checkpoint, the table has the size that its files have. A checkpoint carries the estimate of
     its plan along, and estimates of joins multiply, so after some rounds of joins they fill the driver.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if _tables:
+        _tables[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Paths of written() tables, for each open passing_tables().
+_tables: list[list[str]] = []
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written() inside are removed at the end: what is needed after it must not read them."""
+    _tables.append([])
+    try:
+        yield
+    finally:
+        for path in _tables.pop():
+            remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that was written to the shared folder."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
