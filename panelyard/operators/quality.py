@@ -54,6 +54,15 @@ def require_ordered_splits(df: DataFrame, split: str, month: str, order: tuple[s
     return df
 
 
+def require_coverage(df: DataFrame, features: list[str], split: str = "split", strict: str = "train") -> list[str]:
+    """Every feature has a value in the strict split, or ValueError; warnings on those without one in another split."""
+    row = df.groupBy(split).agg(*[F.count(f).alias(f) for f in features]).collect()  # a row a split
+    lost = {r[split]: [f for f in features if not r[f]] for r in row}
+    if lost.get(strict):
+        raise ValueError(f"no value in {strict}: {lost[strict]}")
+    return [f"no value in {s}: {f}" for s in sorted(k for k in lost if k) for f in lost[s]]
+
+
 def require_same_count(before: DataFrame, after: DataFrame) -> DataFrame:
     """A join or write that must keep the number of rows did so."""
     n, m = before.count(), after.count()

@@ -462,7 +462,12 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").agg(F.lit("customer").alias("t"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("c_mktsegment").alias("n_segments"))
 
 
-@query("SELECT 'n_nationkey' AS \"column\", 'int' AS kind, count(n_nationkey) AS nonmissing, count(DISTINCT n_nationkey) AS n_unique FROM nation UNION ALL SELECT 'n_name', 'string', count(n_name), count(DISTINCT n_name) FROM nation UNION ALL SELECT 'n_regionkey', 'int', count(n_regionkey), count(DISTINCT n_regionkey) FROM nation")
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{kind}' AS kind, count({c}) AS nonmissing, count(DISTINCT {c}) AS n_unique, array_to_string(list_sort(list(DISTINCT {c}::VARCHAR))[1:5], ', ') AS examples FROM nation"""
+        for c, kind in (("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int"))
+    )
+)
 def schema_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_table(table(spark, sf_dir, "nation"))
 
@@ -854,3 +859,4 @@ def manual_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 FLAGSHIP = rank_ic_summary
 
 from panelyard import more_queries  # noqa: E402, F401  registers its queries beside these
+from panelyard import source_queries  # noqa: E402, F401

@@ -6,7 +6,7 @@ import json
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelyard.functions.dates import to_date
@@ -106,13 +106,68 @@ def missing_as_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, kind in df.dtypes if kind in ("double", "float")})
 
 
-def schema_table(df: DataFrame) -> DataFrame:
-    """column, kind, nonmissing, n_unique of every column in one pass."""
-    parts: list[Column] = []
-    for c, _ in df.dtypes:
-        parts += [F.count(c).alias(f"__n_{c}"), F.count_distinct(c).alias(f"__u_{c}")]
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.col(f"__n_{c}").alias("nonmissing"), F.col(f"__u_{c}").alias("n_unique")) for c, kind in df.dtypes])
-    return df.agg(*parts).select(F.explode(rows).alias("r")).select("r.*")
+def schema_table(df: DataFrame, shown: int = 5) -> DataFrame:
+    """column, kind, nonmissing, n_unique, and the ``shown`` smallest values as text, of every column.
+
+    Values are counted as rows of (column, text), so a table of any width needs one exchange of its distinct values,
+    and no task holds those of a column.
+    """
+    names = df.dtypes
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.col(c).cast("string").alias("value")) for i, (c, _) in enumerate(names)])).alias("c")
+    counts = df.select(cells).select("c.*").groupBy("place", "value").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("place").agg(F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("nonmissing"), F.count("value").alias("n_unique"))
+    first = counts.filter("value is not null").withColumn("r", F.row_number().over(Window.partitionBy("place").orderBy("value"))).filter(F.col("r") <= shown)
+    examples = first.groupBy("place").agg(F.array_sort(F.collect_list("value")).alias("examples"))
+    about = df.sparkSession.createDataFrame([(i, c, kind) for i, (c, kind) in enumerate(names)], "place int, column string, kind string")
+    made = about.join(totals, "place", "left").join(examples, "place", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return made.select("column", "kind", zero("nonmissing"), zero("n_unique"), F.array_join(F.coalesce("examples", F.array().cast("array<string>")), ", ").alias("examples"))
+
+
+def files_below(spark: SparkSession, path: str, suffix: str) -> list[str]:
+    """Full names of all files below path with the suffix, in order; names that begin with ``.`` or ``_`` are hidden. Nothing is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(path).select("path")
+    return sorted(r["path"] for r in found.collect())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def convert_folder(spark: SparkSession, source: str, target: str, suffix: str = ".csv", overwrite: bool = False, skip: tuple[str, ...] = ()) -> list[tuple[str, str]]:
+    """Every CSV below source as Parquet at the same place below target: (name below source, written, kept or skipped).
+
+    A target that is there is kept unless overwrite; names with one of the parts in skip are left out.
+    """
+    done = []
+    for path in files_below(spark, source, suffix):
+        name = path[path.index(source.rstrip("/")) + len(source.rstrip("/")) + 1 :]
+        out = f"{target}/{name.removesuffix(suffix)}.parquet"
+        if any(s in name for s in skip):
+            done.append((name, "skipped"))
+        elif exists(spark, out) and not overwrite:
+            done.append((name, "kept"))
+        else:
+            spark.read.option("header", True).csv(path).write.mode("overwrite").parquet(out)
+            done.append((name, "written"))
+    return done
+
+
+def locate(spark: SparkSession, folder: str, required: list[str], tokens: dict[str, int]) -> str:
+    """best_candidate() of the Parquet files below folder, by their schemas; raises if none has the columns."""
+    found = best_candidate({p: spark.read.parquet(p).columns for p in files_below(spark, folder, ".parquet")}, required, tokens)
+    if found is None:
+        raise ValueError(f"no file below {folder} has {required}")
+    return found
+
+
+def first_path(spark: SparkSession, preferred: str, *fallbacks: str) -> str:
+    """The first of the paths that is there; raises if none is."""
+    for path in (preferred, *fallbacks):
+        if exists(spark, path):
+            return path
+    raise ValueError(f"none of {(preferred, *fallbacks)} is there")
 
 
 def footer_counts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

@@ -37,6 +37,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Moves a file, with folders made as needed."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(make(to).getParent())
+    if not files.rename(make(path), make(to)):
+        raise OSError(f"{path} was not moved to {to}")
+
+
 def report(spark: SparkSession, text: str, path: str) -> None:
     """Write a small report (markdown(), json_lines()) as one text file of a folder."""
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
