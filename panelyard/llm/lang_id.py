@@ -177,7 +177,8 @@ def identify(docs: DataFrame, prototypes: DataFrame, id_col: str = "doc_id", tex
 
     Null texts and texts without a letter are ``und`` with score 0; so is every text if nothing was learned.
     Equal cosines go to the first language in alphabetical order. Very long texts are read whole. One row per input
-    row, null and repeated ids too. An empty table gives an empty result.
+    row, null and repeated ids too. Columns other than the two named are not read and may have any names. An empty table
+    gives an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, t string, lang_pred string, score double"

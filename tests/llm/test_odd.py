@@ -203,3 +203,36 @@ def test_op5_rows_without_a_conversation_stay_alone(spark):
     start = len("<|turn|>assistant<|text|>")
     assert got == [(0, one("assistant", "yes"), [(start, start + 3)]), (0, one("user", "hi"), []), (0, one("user", "hi"), []), (3, one("assistant", "a"), [(start, start + 1)])]
     assert chat_format.format_chats(turns.limit(0).withColumn("parts", chat_format.text_parts(F.col("text")))).count() == 0
+
+
+def test_op1_block_score_follows_from_the_trees(spark):
+    labelled = spark.createDataFrame([(f"http://{'x' * (i % 9)}{i}.{'bad' if i % 3 else 'fine'}.{'biz' if i % 2 else 'org'}/a{'/b' * (i % 4)}?p={i}", float((i * i) % 7 > 2)) for i in range(400)], "url string, label double")
+    known = url_gbt.features(labelled)
+    model = url_gbt.train(known)
+
+    def leaf(node, row):
+        if node.getClass().getSimpleName() == "LeafNode":
+            return node.prediction()
+        split = node.split()
+        return leaf(node.leftChild() if row[split.featureIndex()] <= split.threshold() else node.rightChild(), row)
+
+    roots = [t._call_java("rootNode") for t in model.trees.trees]
+    scored = model.block_score(model.with_suffixes(known).select("url", "host", "path", "top", "domain", *url_gbt.LEXICAL, *[F.col(c).alias(f"own_{c}") for c in url_gbt.SUFFIX]))
+    rows = scored.limit(60).collect()
+    assert len({round(r["block_score"], 6) for r in rows}) > 5
+    for r in rows:
+        values = [r[c] for c in url_gbt.LEXICAL] + [r[f"own_{c}"] for c in url_gbt.SUFFIX]
+        margin = sum(w * leaf(root, values) for root, w in zip(roots, model.trees.treeWeights, strict=True))
+        assert r["block_score"] == pytest.approx(1 / (1 + np.exp(-2 * margin)), abs=1e-9)
+
+
+@pytest.mark.parametrize(("words", "percent", "more"), [(3, 85, {"side": 10, "width": 3}), (5, 80, {})])
+def test_op2_recall_on_a_thousand_documents(spark, words, percent, more):
+    """At the thresholds of the query and of the pipeline every link that brute force finds is found."""
+    from test_llm import brute_components
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs, words=words, percent=percent, **more).collect()}
+    want = {d: c for d, (_, c) in brute_components({r["doc_id"]: r["text"] for r in docs.collect()}, words, percent).items()}
+    linked = [d for d, c in want.items() if c != d]
+    assert linked and got == want
