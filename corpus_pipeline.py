@@ -18,30 +18,42 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the languages of the labelled documents.
 
     Null and empty texts and those without a letter go; repeated rows are judged alike. Without labelled texts all go.
+    Very long texts are judged whole. Other columns pass through, whatever their names. An empty table stays empty.
     """
     return lang_id.accepted(docs, lang_id.train(docs), least=0.1)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first quality rules keep, texts as they are. Null and empty texts go; repeated rows are judged alike."""
+    """Documents that the line-first quality rules keep, texts as they are. Null and empty texts go; repeated rows are judged alike.
+
+    Very long texts are judged whole. Other columns pass through, whatever their names. An empty table stays empty.
+    """
     return quality_rules.accepted(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with one text, that with the largest id (a null id is the smallest); of rows that repeat it, one."""
+    """Of documents with one text, that with the largest id (a null id is the smallest); of rows that repeat it, one.
+
+    Null counts as the empty text, very long texts are compared whole. Other columns pass through, whatever their names.
+    An empty table stays empty.
+    """
     return exact_dedup.keep_one(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 or more on five-word shingles, that with the smallest id.
 
-    Null ids and texts without a word are linked with nothing and stay.
+    Null ids and texts without a word are linked with nothing and stay. Very long texts are compared whole. Other
+    columns pass through, whatever their names. An empty table stays empty.
     """
     return minhash_dedup.keep_one(docs, words=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens; null and empty texts are the end alone, null and repeated ids stay."""
+    """Pieces of all documents in sequences of 4096 tokens; null and empty texts are the end alone, null and repeated ids stay.
+
+    Very long texts are cut into several pieces. Other columns are not read. An empty table gives an empty result.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, cached_words=50_000)  # beside what earlier stages hold
