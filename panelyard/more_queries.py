@@ -315,7 +315,7 @@ def _held_out(scored: DataFrame) -> DataFrame:
 def boosted_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-class boosting: the grid's points with a part of their rounds, the mean rank IC on validation, and that of test for the chosen one."""
     df = _labelled(spark, sf_dir)
-    grid = [{**p, "max_iter": p["max_iter"] // 25} for p in boosting.GRID]
+    grid = [{**p, "max_iter": p["max_iter"] // 50} for p in boosting.GRID]
     fitted = boosting.fit(df.filter("split = 'train'"), _USED, "label", grid)
     best, found = boosting.choose(df.filter("split = 'validation'"), fitted, "target")
     scored = boosting.score(df.filter("split = 'test'"), {str(best): fitted[best]}, ["entity", "month_id", "target"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.operators import orders
+from panelyard.operators import orders, quality
 
 
 def interval_link(rows: DataFrame, links: DataFrame, row_id: str, key: str, date: str, start: str, end: str, best: list[Column], carry: list[str]) -> DataFrame:
@@ -93,3 +93,12 @@ def agreeing_merge(a: DataFrame, b: DataFrame, keys: list[str], agree: list[str]
     if bad:
         raise ValueError(f"sets disagree on {[tuple(r[k] for k in keys) for r in bad]}")
     return both.select(*keys, *[F.col(f"a.{c}").alias(c) for c in a.columns if c not in keys and c not in overwrite], *[F.coalesce(f"b.{c}", f"a.{c}").alias(c) if c in a.columns else F.col(f"b.{c}").alias(c) for c in overwrite])
+
+
+def to_panel_dates(rows: DataFrame, panel: DataFrame, month: str, date: str) -> DataFrame:
+    """rows by calendar month with the panel's date of that month as ``date``; months that the panel lacks go.
+
+    Raises if a month of the panel has two dates: the match must be one to one.
+    """
+    dates = quality.require_one_date_a_month(panel.select(month, date).distinct(), date, month)
+    return rows.drop(date).join(dates, month)

@@ -83,6 +83,11 @@ def missingness(df: DataFrame, features: list[str], keys: list[str] = ()) -> Dat
     return counts.select(*keys, "n_rows", F.explode(long).alias("x")).select(*keys, "x.feature", "n_rows", "x.n_missing", (F.col("x.n_missing") * 100.0 / F.col("n_rows")).alias("pct_missing"))
 
 
+def monthly_coverage(df: DataFrame, features: list[str], month: str = "month_id") -> DataFrame:
+    """month, n_rows, and by feature the rows with a value; one pass, one row a month."""
+    return df.groupBy(month).agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(f).alias(f"{f}_n") for f in features])
+
+
 def redundant(df: DataFrame, features: list[str], threshold: float = 0.999999999) -> list[str]:
     """Later columns whose absolute correlation with an earlier kept one reaches the threshold, in column order."""
     return [features[i] for i in moment_matrix(df, features).redundant(range(len(features)), threshold)]

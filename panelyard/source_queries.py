@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.functions import scalars as x
+from panelyard.functions.dates import month_id
 from panelyard.more_queries import _USED, _labelled
-from panelyard.operators import dedup, features, joins, models, quality
+from panelyard.operators import dedup, features, joins, models, quality, xsection
 from panelyard.queries import _LINKS, _links, query, rounded
 from panelyard.sources import readers, writers
 from panelyard.sources.readers import table
@@ -151,3 +152,33 @@ def elastic_net_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     models.save_model(model, _USED, path)
     scored = models.load_model(spark, path, _USED).transform(df.filter("split = 'test'"))
     return scored.select("entity", "month_id", F.lit(name).alias("model"), "score", "target")
+
+
+_MONTH_DATES = "p AS (SELECT year(l_shipdate) * 12 + month(l_shipdate) AS month_id, max(l_shipdate) AS day FROM lineitem GROUP BY 1)"
+
+
+@query(f"WITH {_MONTH_DATES}, o AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS month_id, count(*) AS n_orders FROM orders GROUP BY 1) SELECT CAST(month_id AS INTEGER) AS month_id, n_orders, CAST(day AS DATE) AS day FROM o JOIN p USING (month_id)")
+def panel_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by calendar month, on the date that the order lines' panel has for the month."""
+    lines = table(spark, sf_dir, "lineitem", ["l_shipdate"]).select(month_id(F.col("l_shipdate")).alias("month_id"), F.to_date("l_shipdate").alias("day"))
+    last = lines.groupBy("month_id").agg(F.max("day").alias("day"))
+    made = table(spark, sf_dir, "orders", ["o_orderdate"]).groupBy(month_id(F.col("o_orderdate")).alias("month_id")).agg(F.count(F.lit(1)).alias("n_orders"))
+    return joins.to_panel_dates(made, last, "month_id", "day")
+
+
+@query(
+    """WITH l AS (SELECT CAST(year(l_shipdate) * 12 + month(l_shipdate) AS INTEGER) AS month_id, CASE WHEN l_linenumber > 1 THEN l_discount END AS discount, CASE WHEN l_returnflag <> 'N' THEN l_quantity END AS returned FROM lineitem)
+SELECT month_id, count(*) AS n_rows, count(discount) AS discount_n, count(returned) AS returned_n FROM l GROUP BY 1"""
+)
+def monthly_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "lineitem").select(month_id(F.col("l_shipdate")).alias("month_id"), F.when(F.col("l_linenumber") > 1, F.col("l_discount")).alias("discount"), F.when(F.col("l_returnflag") != "N", F.col("l_quantity")).alias("returned"))
+    return xsection.monthly_coverage(made, ["discount", "returned"])
+
+
+@query("SELECT c_mktsegment AS family, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY 1")
+def family_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report with one CSV folder for each family, read back."""
+    path = writers.scratch(spark, "families")
+    made = rounded(table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("family")).agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("mean")), 4)
+    writers.csv(made, path, partition_by=["family"])
+    return spark.read.schema("n long, mean double, family string").option("header", True).csv(path)

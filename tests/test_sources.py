@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from panelyard.operators import dedup, quality
+from panelyard.operators import dedup, joins, quality
 from panelyard.sources import readers
 
 
@@ -50,3 +50,11 @@ def test_coverage(spark):
 def test_schema_of_an_empty_table(spark):
     got = readers.schema_table(spark.range(0).withColumn("x", F.lit("a"))).collect()
     assert sorted((r["column"], r["nonmissing"], r["n_unique"], r["examples"]) for r in got) == [("id", 0, 0, ""), ("x", 0, 0, "")]
+
+
+def test_a_month_of_the_panel_has_one_date(spark):
+    rows = spark.createDataFrame([(1, 10.0), (3, 30.0)], "month_id int, v double").withColumn("day", F.lit("own"))
+    panel = spark.createDataFrame([(1, "2000-01-31"), (1, "2000-01-31"), (2, "2000-02-29")], "month_id int, day string")
+    assert [tuple(r) for r in joins.to_panel_dates(rows, panel, "month_id", "day").collect()] == [(1, 10.0, "2000-01-31")]
+    with pytest.raises(ValueError, match="several dates"):
+        joins.to_panel_dates(rows, panel.unionByName(panel.withColumn("day", F.lit("2000-01-30"))), "month_id", "day")
