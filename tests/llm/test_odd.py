@@ -236,3 +236,40 @@ def test_op2_recall_on_a_thousand_documents(spark, words, percent, more):
     want = {d: c for d, (_, c) in brute_components({r["doc_id"]: r["text"] for r in docs.collect()}, words, percent).items()}
     linked = [d for d, c in want.items() if c != d]
     assert linked and got == want
+
+
+def test_op4_score_equals_a_dense_loop():
+    """The text's probability, id by id: softmax over the keys a window shows, then each decision on the id's path; ids sum to 1."""
+    from panelyard.llm import lm_scoring
+
+    half, rng, n = lm_scoring.HALF, np.random.default_rng(9), 90
+    model = lm_scoring.SubwordModel(rng.integers(0, 50, n), dims=5)
+    net = model.net
+    net.p = {k: (v + 0.2 * rng.standard_normal(v.shape)).astype(np.float32) for k, v in net.p.items()}
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+
+    def paths(i):
+        """(node, side) of an id: those at the top, and those below."""
+        nodes, sides, _ = net.tree.paths(np.array([i]))
+        top = [(int(node), float(s)) for node, s in zip(net.tree.top, net.tree.top_sides[i]) if s]
+        return top + [(int(a), float(b)) for a, b in zip(nodes, sides)]
+
+    def chance(context, i):
+        return np.prod([1 / (1 + np.exp(-side * (context @ p["N"][node, :-1] + p["N"][node, -1]))) for node, side in paths(i)])
+
+    for length in (1, 5, half, 2 * half + 7):
+        ids = rng.integers(0, n, length)
+        inputs = [model.start] * (half + 1) + ids[:-1].tolist()  # the start of a text fills the first half of its first window
+        total = 0.0
+        for i, target in enumerate(ids):
+            here = half + i
+            keys = range(i // half * half, here + 1)
+            q = p["E"][inputs[here]] @ p["Q"] / np.sqrt(net.dims)
+            scores = np.array([q @ (p["E"][inputs[j]] @ p["K"]) + p["R"][here - j] for j in keys])
+            weights = np.exp(scores - scores.max())
+            weights /= weights.sum()
+            context = sum(w * (p["E"][inputs[j]] @ p["V"]) for w, j in zip(weights, keys)) + p["E"][inputs[here]]
+            total += np.log10(chance(context, target))
+            if i == length - 1:
+                assert sum(chance(context, k) for k in range(n)) == pytest.approx(1)
+        assert model.score([ids])[0] == pytest.approx(total, rel=1e-4)
