@@ -7,6 +7,7 @@ of its word characters that way is rejected. Word and repetition counts of the w
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
@@ -17,14 +18,17 @@ from panelyard.llm._common import UPPER, WORD_BREAK, let
 
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = ["|", "||", "»", "›", "•", "·", "::"]
-#: Lower-case phrases of notices, forms and licence lines, in English, German, French and Spanish.
+#: Lower-case phrases of notices, forms and licence lines.
 BOILERPLATE = [
     "all rights reserved", "click here", "cookie policy", "enable javascript", "licensed under", "log in to", "lorem ipsum", "powered by",
     "privacy policy", "read more", "share this", "sign up", "subscribe to", "terms of service", "terms of use", "use cookies",
-    "alle rechte vorbehalten", "datenschutzerklärung", "hier klicken", "javascript aktivieren", "jetzt anmelden", "mehr lesen", "newsletter abonnieren", "nutzungsbedingungen", "verwendet cookies",
-    "abonnez-vous", "activer javascript", "cliquez ici", "conditions d’utilisation", "conditions d'utilisation", "lire la suite", "mentions légales", "politique de confidentialité", "tous droits réservés", "utilise des cookies",
-    "aviso legal", "habilitar javascript", "haga clic aquí", "iniciar sesión", "leer más", "política de privacidad", "suscríbete a", "términos de uso", "todos los derechos reservados", "utiliza cookies",
 ]
+#: The like in other languages, for the parameter ``boilerplate``; a language costs some 80 CPU seconds a GB.
+MORE_BOILERPLATE = {
+    "de": ["alle rechte vorbehalten", "datenschutzerklärung", "hier klicken", "javascript aktivieren", "jetzt anmelden", "mehr lesen", "newsletter abonnieren", "nutzungsbedingungen", "verwendet cookies"],
+    "fr": ["abonnez-vous", "activer javascript", "cliquez ici", "conditions d’utilisation", "conditions d'utilisation", "lire la suite", "mentions légales", "politique de confidentialité", "tous droits réservés", "utilise des cookies"],
+    "es": ["aviso legal", "habilitar javascript", "haga clic aquí", "iniciar sesión", "leer más", "política de privacidad", "suscríbete a", "términos de uso", "todos los derechos reservados", "utiliza cookies"],
+}
 _B, _W = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 SHORT = rf"^{_B}*{_W}+({_B}+{_W}+){{0,2}}{_B}*\z"
 ENDED = rf"""[.!?:;,…][]'")»”]*{_B}*\z"""
@@ -48,20 +52,20 @@ def _chars(words: Column) -> Column:
     return F.aggregate(words, F.lit(0), lambda acc, w: acc + F.length(w))
 
 
-def _phrase(lower: Column) -> Column:
-    return reduce(or_, [F.contains(lower, F.lit(p)) for p in BOILERPLATE])
+def _phrase(lower: Column, boilerplate: Sequence[str]) -> Column:
+    return reduce(or_, [F.contains(lower, F.lit(p)) for p in boilerplate], F.lit(False))
 
 
 def _link(text: Column) -> Column:
     return F.contains(text, F.lit("://")) | F.contains(text, F.lit("www."))
 
 
-def line_fails(line: Column, phrases: Column | bool = True, links: Column | bool = True) -> Column:
+def line_fails(line: Column, phrases: Column | bool = True, links: Column | bool = True, boilerplate: Sequence[str] = BOILERPLATE) -> Column:
     """Whether a line with at least one word breaks a rule that can be told from the line alone.
 
     Punctuation: at least 3 symbols of ``SYMBOLS`` and more than one for every 2 words; ``!!`` or ``??`` after a
     quarter of the words or more; more than half of the word characters (of 8 or more) in A-Z. Navigation: a fifth of
-    the words or more are separators, or a third are links. Boilerplate: a phrase of ``BOILERPLATE``.
+    the words or more are separators, or a third are links. Boilerplate: a phrase of ``boilerplate``.
 
     phrases, links: false where the whole text is known to hold none, so that its lines are not searched.
     """
@@ -76,7 +80,7 @@ def line_fails(line: Column, phrases: Column | bool = True, links: Column | bool
             # capitals that a small letter follows are half of the characters at most
             | (F.rlike(line, F.lit("[A-Z](?![a-z])")) & let(_chars(words), lambda k: (k >= 8) & (_count(line, UPPER) * 2 > k)))
             | (links & (F.size(F.filter(words, _link)) * 3 >= F.greatest(n, F.lit(1))))
-            | (phrases & _phrase(F.lower(line)))
+            | (phrases & _phrase(F.lower(line), boilerplate))
         )
 
     return let(_words(line), judge)
@@ -117,13 +121,14 @@ def repeated_words(words: Column, window: int = 8) -> Column:
     return let(F.transform(words, lambda x: F.xxhash64(x)), windows)  # each word is hashed once
 
 
-def measured(docs: DataFrame, text_col: str = "text", most_lost: float = 0.5) -> DataFrame:
+def measured(docs: DataFrame, text_col: str = "text", most_lost: float = 0.5, boilerplate: Sequence[str] = BOILERPLATE) -> DataFrame:
     """docs with one more column ``q``: a struct of the counts, clean_text, base_failed and kept.
 
     A null text counts as empty: no words, so base_failed. Lines are cut at line feeds; lines without a word are
     neither judged nor kept in clean_text. Words come by ASCII white space, characters are code points.
     base_failed: fewer than 20 words, or over 30 % of them repeated in 8-word windows (windows are compared by a
-    64-bit hash of their words' hashes). kept: not base_failed, and at most most_lost of the word characters in failing
+    64-bit hash of their words' hashes). boilerplate: lower-case phrases that mark a line as such, in any language: see
+    MORE_BOILERPLATE. kept: not base_failed, and at most most_lost of the word characters in failing
     lines. Very long texts are judged whole, repeated rows alike. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -131,10 +136,10 @@ def measured(docs: DataFrame, text_col: str = "text", most_lost: float = 0.5) ->
     def of_text(words: Column) -> Column:
         def of_lines(lines: Column) -> Column:
             def clean_of(known: Column) -> Column:
-                fails = lambda x, i: in_menu(known["shorts"], i) | line_fails(x, known["phrases"], known["links"])
+                fails = lambda x, i: in_menu(known["shorts"], i) | line_fails(x, known["phrases"], known["links"], boilerplate)
                 return F.filter(lines, lambda x, i: ~fails(x, i))
 
-            known = F.struct(F.transform(lines, short).alias("shorts"), _phrase(F.lower(text)).alias("phrases"), _link(text).alias("links"))
+            known = F.struct(F.transform(lines, short).alias("shorts"), _phrase(F.lower(text), boilerplate).alias("phrases"), _link(text).alias("links"))
             good = let(known, clean_of)
 
             def verdict(g: Column) -> Column:
@@ -166,12 +171,12 @@ def measured(docs: DataFrame, text_col: str = "text", most_lost: float = 0.5) ->
     return docs.withColumn("q", let(let(_words(text), of_text), with_verdict))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_lost: float = 0.5) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_lost: float = 0.5, boilerplate: Sequence[str] = BOILERPLATE) -> DataFrame:
     """id_col and the fields of measured(), one row per input row; other columns are not read."""
-    return measured(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", most_lost).select(F.col("id").alias(id_col), "q.*")
+    return measured(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", most_lost, boilerplate).select(F.col("id").alias(id_col), "q.*")
 
 
-def accepted(docs: DataFrame, text_col: str = "text", most_lost: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, text_col: str = "text", most_lost: float = 0.5, boilerplate: Sequence[str] = BOILERPLATE) -> DataFrame:
     """The rows of docs, all columns as they are, that are kept; clean_text is not put in the place of the text."""
     inner = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))  # so columns may have any names
-    return measured(inner, "text", most_lost).filter("q.kept").select("row.*")
+    return measured(inner, "text", most_lost, boilerplate).filter("q.kept").select("row.*")

@@ -273,3 +273,12 @@ def test_op4_score_equals_a_dense_loop():
             if i == length - 1:
                 assert sum(chance(context, k) for k in range(n)) == pytest.approx(1)
         assert model.score([ids])[0] == pytest.approx(total, rel=1e-4)
+
+
+def test_op7_boilerplate_of_other_languages(spark):
+    prose = PROSE["de"]
+    notice = "Alle Rechte vorbehalten. Bitte lesen Sie die Nutzungsbedingungen."
+    docs = spark.createDataFrame([(1, f"{prose}\n{notice}"), (2, prose)], "doc_id long, text string")
+    german = [*quality_rules.BOILERPLATE, *quality_rules.MORE_BOILERPLATE["de"]]
+    removed = lambda **more: {r["doc_id"]: r["n_lines_removed"] for r in quality_rules.quality(docs, **more).collect()}
+    assert removed() == {1: 0, 2: 0} and removed(boilerplate=german) == {1: 1, 2: 0} and removed(boilerplate=()) == {1: 0, 2: 0}
