@@ -289,9 +289,13 @@ def _of_bytes(layer: Layer, most: int) -> Iterator[Layer]:
 
 def _escaped_lines(text: str) -> Iterator[Layer]:
     """The lines with an escape: no pattern and no escape reaches over a line's end, so the others need no layer of their own."""
-    at = 0
-    while at < len(text) and ("%" in text or "\\" in text or "&#" in text):
-        found = [m for m in (_URL.search(text, at), _UNICODE.search(text, at)) if m]
+    if not ("%" in text or "\\" in text or "&#" in text):
+        return
+    at, ahead = 0, [(p, p.search(text)) for p in (_URL, _UNICODE)]
+    while True:
+        # each kind is looked for again only once its last match lies behind
+        ahead = [(p, m if m.start() >= at else p.search(text, at)) for p, m in ahead if m]
+        found = [m for _, m in ahead if m]
         if not found:
             return
         place = min(m.start() for m in found)

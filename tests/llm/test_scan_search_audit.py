@@ -10,6 +10,7 @@ import lzma
 import math
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -138,6 +139,15 @@ def test_worklist_ends_and_bounds(monkeypatch):
     assert html.unescape("&#65;") == "A" and secret_scan.scan("&#0; &#x110000; \\ud800 %zz %f")[1] == []
 
 
+def test_escaped_lines_are_found_once_and_in_linear_time():
+    text = "plain\n" + "\\u0041 x\n" * 3 + "y %41%42\n\nz\n&#65;"
+    assert [(x.at, x.content) for x in secret_scan._escaped_lines(text)] == [(6, "\\u0041 x"), (15, "\\u0041 x"), (24, "\\u0041 x"), (33, "y %41%42"), (45, "&#65;")]
+    began = time.perf_counter()
+    assert len(list(secret_scan._escaped_lines("\\u0041 no other escape here\n" * 40_000))) == 40_000
+    assert list(secret_scan._escaped_lines("50% of it \\ & more\n" * 40_000)) == []
+    assert time.perf_counter() - began < 20
+
+
 def test_op11_odd_rows(spark, odd):
     got = secret_scan.find_secrets(odd).collect()
     assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r[0] for r in ODD)
