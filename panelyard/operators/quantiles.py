@@ -48,7 +48,7 @@ class Selected:
             return np.where(part > 0, self.lower + (self.upper - self.lower) * part, self.lower)
 
 
-def select(df: DataFrame, keys: list[str], columns: list[str], probabilities: list[float], most_targets: int = 5_000_000) -> Selected:
+def select(df: DataFrame, keys: list[str], columns: list[str], probabilities: list[float], most_targets: int = 1_000_000) -> Selected:
     """The values around each probability of each column in each group of the keys; nulls and NaN are no values.
 
     What the driver and every task hold is a few numbers for each group, column and probability, whatever the number of
