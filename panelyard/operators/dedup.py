@@ -26,10 +26,12 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
 def priority_dedup(df: DataFrame, keys: list[str], core: list[str], metadata: list[str], tie: list[str]) -> DataFrame:
     """Exact copies once, then of each key the row with the best metadata.
 
-    metadata is compared column by column: a value that is no placeholder goes before one that is; then by tie.
-    Keys whose core columns differ are a conflict for core_conflicts(), not for this function.
+    metadata is compared column by column: a value that is no placeholder goes before one that is; then by tie, and
+    rows equal in these by all other columns in their order, so that every run gives the same rows. Keys whose core
+    columns differ are a conflict for core_conflicts(), not for this function.
     """
-    order = [is_placeholder(F.col(c)).asc() for c in metadata] + [F.col(c).asc_nulls_last() for c in tie]
+    rest = [c for c in df.columns if c not in {*keys, *tie}]
+    order = [is_placeholder(F.col(c)).asc() for c in metadata] + [F.col(c).asc_nulls_last() for c in [*tie, *rest]]
     return first_by(df.distinct(), keys, order)
 
 
