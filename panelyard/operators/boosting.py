@@ -171,15 +171,20 @@ def _splits(rows: DataFrame, models: list[Boosted], growing: list[list[Tree]], s
                 g, h = _gradients(margins[:, c] + _margins(trees[c], bins, outputs), y, w)
                 for k in {place[1] for place in number if place[0] == c}:
                     leaf = growing[c][k].leaves(bins)
-                    for node in np.unique(leaf).tolist():
-                        if (key := number.get((c, k, node))) is None:
-                            continue
-                        own = np.flatnonzero(leaf == node)
-                        total = sums.setdefault(key, np.zeros((p, BINS, 3)))
-                        for f in range(p):
-                            x = bins[own, f]
-                            for i, weight in enumerate((g[own, k], h[own, k], None)):
-                                total[f, :, i] += np.bincount(x, weight, BINS)
+                    nodes = {node: key for node in np.unique(leaf).tolist() if (key := number.get((c, k, node))) is not None}
+                    if not nodes:
+                        continue
+                    # all open nodes of the tree together: node after node in the bins of one count
+                    place = np.full(int(leaf.max()) + 1, -1)
+                    place[list(nodes)] = np.arange(len(nodes)) * BINS
+                    at = place[leaf]
+                    own = slice(None) if (at >= 0).all() else np.flatnonzero(at >= 0)
+                    at, gk, hk, size = at[own], np.ascontiguousarray(g[own, k]), np.ascontiguousarray(h[own, k]), len(nodes) * BINS
+                    for f in range(p):
+                        x = at + bins[own, f]
+                        made = np.stack([np.bincount(x, weight, size) for weight in (gk, hk, None)], axis=1).reshape(len(nodes), BINS, 3)
+                        for i, key in enumerate(nodes.values()):
+                            sums.setdefault(key, np.zeros((p, BINS, 3)))[f] += made[i]
         keys = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([sums[k].tobytes() for k in keys], pa.binary())], names=["key", "hist"])
 
