@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.llm._common import cut_lineage, free_name, passing_tables, slices, small, written
@@ -27,6 +27,8 @@ from panelyard.llm._common import cut_lineage, free_name, passing_tables, slices
 _SEED = 20_240_607
 #: Sets with one shingle among their first that one task compares with all others.
 _HOLDERS = 1000
+#: Sets with one shingle among their first that are compared with each other; more are compared by way of a center.
+_CROWD = 200
 
 
 class _WordHashes(dict):
@@ -161,48 +163,124 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-def _pairs_by_prefix(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of nodes (id, label) with different labels whose sets can reach percent, by prefix filtering.
-
-    Shingles are ordered by how many of the sets hold them, rarest first. Two sets that reach the similarity share
-    one of their first ``n - ceil(n * percent / 100) + 1`` shingles, and from the first that they share on there must
-    be room in both for the overlap that the similarity asks for. Shingles that one set alone holds fill the first
-    places and join nothing, so sets with many edits of their own drop out.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
+def _elements(rows: DataFrame) -> DataFrame:
+    """The columns of rows without ``shingles``, the last one, then w (how many there are) and h, a row for each of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                own = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+                own = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(part.num_columns - 1)]
                 sizes = np.array([len(x) for x in own], np.int64)
                 row = pa.array(np.repeat(np.arange(len(own)), sizes))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(own))], names=["id", "label", "n", "h"])
+                yield pa.RecordBatch.from_arrays([*(c.take(row) for c in part.columns[:-1]), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(own))], names=[*part.schema.names[:-1], "w", "h"])
+
+    kept = [f"{c} {kind}" for c, kind in rows.dtypes[:-1]]
+    return rows.mapInArrow(run, ", ".join([*kept, "w long", "h long"]))
 
-    held = nodes.join(sets, "id").select("id", "label", "shingles").mapInArrow(run, f"id {kinds['id']}, label {kinds['label']}, n long, h long")
+
+def _first(held: DataFrame, need: Column) -> DataFrame:
+    """h, id, label, n, w, room of the elements h at which a set can meet another of its center that it has ``need`` in common with.
+
+    held: center, id, label, n, w, h. Elements are ordered by how many of the sets hold them, rarest first. Two sets
+    with ``need`` common ones share one of their first ``w - need + 1``; room is how many are left from h on. Elements
+    that one set alone holds fill the first places and join nothing, so sets with many edits of their own drop out.
+    """
     counts = cut_lineage(held.groupBy("h").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).filter("f > 1"))
     shared = held.join(counts, "h")
-    by_doc = Window.partitionBy("id")
-    place = F.row_number().over(by_doc.orderBy("f", "h")) + F.col("n") - F.count(F.lit(1)).over(by_doc)
-    first = shared.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    first = cut_lineage(first.filter("low <> high").select("h", "id", "label", "n", (F.col("n") - F.col("place") + 1).alias("room")))
-    # a shingle that stands first in many sets is dealt out: each of its sets to one share, to be met there by all
+    by_set = Window.partitionBy("center", "id", "n", "w")
+    place = F.row_number().over(by_set.orderBy("f", "h")) + F.col("w") - F.count(F.lit(1)).over(by_set)
+    first = shared.withColumn("place", place).filter(F.col("place") <= F.col("w") - need + 1)
+    return cut_lineage(first.filter("low <> high").select("h", "id", "label", "n", "w", (F.col("w") - F.col("place") + 1).alias("room")))
+
+
+def _first_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """_first() for the whole sets of nodes (id, label)."""
+    held = _elements(nodes.join(sets, "id").select("id", "label", "shingles")).withColumn("n", F.col("w"))
+    return _first(held.withColumn("center", F.lit(None).cast(nodes.schema["id"].dataType)), F.ceil(F.col("n") * percent / 100))
+
+
+def _met(first: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, labels one and two) of sets with different labels that meet in first and have room there for percent.
+
+    Sets of n_a and n_b shingles reach the similarity if they differ in ``(n_a + n_b) * (100 - percent) / (100 + percent)``
+    shingles at most. What they hold of w_a and w_b elements differs in the same, so they share half of the rest.
+    """
+    # an element that stands first in many sets is dealt out: each of its sets to one share, to be met there by all
     shares = F.ceil(F.col("holders") / F.lit(_HOLDERS)).cast("int")
     often = cut_lineage(first.groupBy("h").agg(F.count(F.lit(1)).alias("holders")).filter(F.col("holders") > _HOLDERS).select("h", shares.alias("shares")))
     first = first.join(small(often), "h", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
-    x, y = (first.select("h", "shares", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "label", "n", "room")]) for k in "ab")
+    x, y = (first.select("h", "shares", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "label", "n", "w", "room")]) for k in "ab")
     x = x.withColumnRenamed("id_a", "a").withColumn("share", F.pmod(F.xxhash64("a"), "shares").cast("int")).drop("shares")
     y = y.withColumnRenamed("id_b", "b").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
     fits = (
         (F.col("a") > F.col("b"))
         & (F.col("label_a") != F.col("label_b"))
         & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        & (F.least("room_a", "room_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+        & (F.least("room_a", "room_b") * (2 * (100 + percent)) >= (F.col("w_a") + F.col("w_b")) * (100 + percent) - (F.col("n_a") + F.col("n_b")) * (100 - percent))
     )
     return x.join(y, ["h", "share"]).filter(fits).select("a", "b", F.col("label_a").alias("one"), F.col("label_b").alias("two")).distinct()
 
 
+def _pairs_by_prefix(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of nodes (id, label) with different labels whose sets can reach percent, by prefix filtering."""
+    return _met(_first_shingles(nodes, sets, percent), percent)
+
+
+def _crowds(first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The elements (h) that more than _CROWD sets hold among their first; id and center of the sets that hold them.
+
+    The center of an element is that of its sets which meets most others: a copy with few edits of its own.
+    """
+    often = cut_lineage(first.groupBy("h").agg(F.count(F.lit(1)).alias("holders")).filter(F.col("holders") > _CROWD))
+    held = first.join(small(often), "h").select("h", "id", "holders")
+    held = held.join(held.groupBy("id").agg(F.sum("holders").alias("meets")), "id")
+    center = held.groupBy("h").agg(F.max(F.struct("meets", "id"))["id"].alias("center"))
+    return often.select("h"), written(held.join(small(center), "h").select("id", "center").distinct())
+
+
+def _differences(around: DataFrame, sets: DataFrame) -> DataFrame:
+    """center, id, label, n, w, h: for each row of around (id, center, label) where its set differs from the center's."""
+    kinds = {f.name: f.dataType.simpleString() for f in around.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(3)]
+            differ = [np.setxor1d(x, np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True).tobytes() for x, y in zip(own, batch.column(4), strict=True)]
+            sizes = pa.array([len(x) for x in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sizes, pa.array(differ, pa.binary())], names=["center", "id", "label", "n", "shingles"])
+
+    centers = sets.join(around.select(F.col("center").alias("id")).distinct(), "id").select(F.col("id").alias("center"), F.col("shingles").alias("middle"))
+    both = around.join(sets, "id").join(small(centers), "center").filter(F.col("id") != F.col("center")).select("center", "id", "label", "shingles", "middle")
+    differ = both.mapInArrow(run, f"center {kinds['center']}, id {kinds['id']}, label {kinds['label']}, n long, shingles binary")
+    return _elements(differ).withColumn("h", F.xxhash64("center", "h"))
+
+
+def _settled(labels: DataFrame, rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """labels (rep, label) with those made one that any link between nodes of rest (id, label) connects.
+
+    Sets that share a first shingle with at most _CROWD others are compared with those. The sets of a larger crowd are
+    compared with its center. Two that it leaves apart have in common more than nothing of what each differs in from
+    the center: they meet by prefix filtering over the differences, where copies with edits of their own drop out.
+    """
+    first = _first_shingles(rest, sets, percent)
+    crowded, around = _crowds(first)
+    if not around.isEmpty():
+        of = rest.select(F.col("id").alias("center"), F.col("label").alias("two"))
+        stars = around.join(rest, "id").join(of, "center").filter("label <> two").select(F.col("id").alias("a"), F.col("center").alias("b"), F.col("label").alias("one"), "two")
+        moved, first = _joined(labels.select("rep", "label"), first, written(stars), sets, percent)
+        around = around.join(moved.select(F.col("rep").alias("id"), "label"), "id")
+        apart = around.groupBy("center").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("center")
+        around = written(around.join(small(apart), "center", "left_semi").select("id", "center", "label"))
+        need = F.greatest(F.lit(1), F.col("w") - F.floor(F.col("n") * (100 - percent) / percent))
+        pairs = _met(_first(_differences(around, sets), need), percent)
+        pairs = written(pairs.unionByName(_met(first.join(small(crowded), "h", "left_anti"), percent)).distinct())
+        labels = moved
+    else:
+        pairs = written(_met(first, percent))
+    return _joined(labels, first, pairs, sets, percent)[0]
+
+
 def _open(at: DataFrame) -> DataFrame:
     """The buckets (key) with members of several labels, and their centre (least rep) with its label."""
     by_key = at.groupBy("key").agg(F.min("rep").alias("center"), F.min_by("label", "rep").alias("center_label"), F.min("label").alias("low"), F.max("label").alias("high"))
@@ -273,7 +351,7 @@ def near_duplicates(
             tried = written(tried.unionByName(pairs.select("a", "b")))
         rest = written(at.join(_open(at).select("key"), "key", "left_semi").select(F.col("rep").alias("id"), "label").distinct())
         if not rest.isEmpty():  # what the stars leave open is settled for all pairs
-            labels, _ = _joined(labels, at.select("key", "rep", "label"), written(_pairs_by_prefix(rest, sets, percent)), sets, percent)
+            labels = _settled(labels, rest, sets, percent)
         labels = labels.select(F.col("rep").alias("node"), "label")
         of_class = classes.select("digest", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
         of_class = cut_lineage(of_class)

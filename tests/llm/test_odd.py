@@ -282,3 +282,44 @@ def test_op7_boilerplate_of_other_languages(spark):
     german = [*quality_rules.BOILERPLATE, *quality_rules.MORE_BOILERPLATE["de"]]
     removed = lambda **more: {r["doc_id"]: r["n_lines_removed"] for r in quality_rules.quality(docs, **more).collect()}
     assert removed() == {1: 0, 2: 0} and removed(boilerplate=german) == {1: 1, 2: 0} and removed(boilerplate=()) == {1: 0, 2: 0}
+
+
+def _edited(rng, base, edits, mark):
+    words = list(base)
+    for k in rng.choice(len(base), edits, replace=False):
+        words[k] = f"{mark}x{k}"
+    return " ".join(words)
+
+
+def test_op2_compares_a_crowd_of_near_copies_by_way_of_its_center(spark, monkeypatch):
+    """Copies with few edits are linked, some with many reach none of them: the pairs compared do not grow with the square."""
+    from test_llm import brute_components
+
+    monkeypatch.setattr(minhash_dedup, "_CROWD", 20, raising=False)
+    compared, plain = [], minhash_dedup._confirmed
+    monkeypatch.setattr(minhash_dedup, "_confirmed", lambda pairs, *more: compared.append(pairs.count()) or plain(pairs, *more))
+    rng, base = np.random.default_rng(5), [f"w{i}" for i in range(150)]
+    docs = {i: _edited(rng, base, i % 3 + 1 if i < 160 else 4 + i % 2, f"e{i}" if i % 4 else f"e{i % 7}") for i in range(220)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(df, words=5, percent=80).collect()}
+    assert got == brute_components(docs, 5, 80)
+    assert len({c for _, c in got.values()}) > 5 and sum(compared) < 10 * len(docs)
+
+
+@pytest.mark.parametrize(("seed", "percent", "crowd"), [(1, 60, 2), (2, 80, 3), (3, 85, 8)])
+def test_op2_crowds_lose_no_link(spark, monkeypatch, seed, percent, crowd):
+    """Without stars before, families that overlap and share edits: components are those of brute force."""
+    from test_llm import brute_components
+
+    monkeypatch.setattr(minhash_dedup, "_CROWD", crowd)
+    rng = np.random.default_rng(seed)
+    bases = [[f"w{(i * k) % 97}" for i in range(50)] for k in (1, 1, 3)]
+    bases[1] = bases[1][:30] + [f"v{i}" for i in range(30)]
+    docs = {i: _edited(rng, bases[i % 3][: 50 - i % 11], int(rng.integers(0, 6)), f"e{rng.integers(0, 9)}") for i in range(90)}
+    df = spark.createDataFrame(list(docs.items()), "id long, t string").dropDuplicates(["t"])
+    docs = {r["id"]: r["t"] for r in df.collect()}
+    df = spark.createDataFrame(list(docs.items()), "id long, t string")
+    labels = df.select(F.col("id").alias("rep"), F.col("id").alias("label"))
+    got = minhash_dedup._settled(labels, labels.withColumnRenamed("rep", "id"), minhash_dedup._sets(df, 3), percent)
+    want = {d: c for d, (_, c) in brute_components(docs, 3, percent).items()}
+    assert {r["rep"]: r["label"] for r in got.collect()} == want and 1 < len(set(want.values())) < len(want)
