@@ -18,8 +18,10 @@ import copy
 import hashlib
 import heapq
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, pairwise, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -41,7 +43,8 @@ class Tree:
         """counts: of each id; half an occurrence is added, so every id has a path.
 
         The ``top`` nodes that lie on most paths are held apart, with the side of every id at each (0 where its path
-        does not go), so that decisions at them are matrix products.
+        does not go), so that decisions at them are matrix products. ``top_at`` and ``top_own`` are the same as lists:
+        each id's places among them and sides, filled up with the place after the last and 0.
         """
         n = len(counts)
         heap = [(float(c) + 0.5, i) for i, c in enumerate(counts)]
@@ -70,10 +73,18 @@ class Tree:
         high = place[node] >= 0
         self.top_sides = np.zeros((n, len(self.top)), np.int8)
         self.top_sides[owner[high], place[node[high]]] = own[high]
+        many = np.count_nonzero(self.top_sides, axis=1)
+        self.top_at = np.full((n, int(many.max())), len(self.top), np.int16)
+        self.top_own = np.zeros(self.top_at.shape, np.float32)
+        ids, at = np.nonzero(self.top_sides)
+        rank = np.arange(len(ids)) - np.repeat(np.cumsum(many) - many, many)
+        self.top_at[ids, rank], self.top_own[ids, rank] = at, self.top_sides[ids, at]
+        self.top_spare = self.top_at.shape[1] - many
         owner, node, own = owner[~high], node[~high], own[~high]
         order = np.argsort(owner, kind="stable")
         self.nodes, self.sides = node[order].astype(np.int32), own[order].astype(np.float32)
         self.lengths = np.bincount(owner, minlength=n)
+        self.depths = self.lengths.astype(np.uint8)  # a path is as long only as counts of ids double along it
         self.starts = np.cumsum(self.lengths) - self.lengths
         yes = np.zeros(n - 1)
         yes[parent[:-1][side[:-1] == 1] - n] = mass[:-1][side[:-1] == 1]
@@ -87,29 +98,48 @@ class Tree:
         return self.nodes[at], self.sides[at], np.repeat(np.arange(len(ids)), lengths)
 
 
-def _chances(z: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(-z)), in the place of z."""
-    np.clip(z, -30, 30, out=z)
+def _one_and_odds(z: np.ndarray) -> np.ndarray:
+    """1 + exp(-z), one over the chance of z, in the place of z."""
     np.negative(z, out=z)
+    np.minimum(z, 30, out=z)
+    np.maximum(z, -30, out=z)
     np.exp(z, out=z)
     z += 1
-    return np.reciprocal(z, out=z)
+    return z
 
 
 class Decisions(NamedTuple):
-    """Probabilities of the decisions on some ids' paths: at the top nodes (1 where a path does not go), and below."""
+    """The decisions on some ids' paths, ids with long paths first, so that each level below the top is a run of the first.
 
+    own: contexts, with a 1 behind; order: where each stood. top, below: one over each decision's chance; top_sides is 0
+    where a list of top nodes is filled up. below, nodes, sides and weights hold one level after the other; of each
+    level, levels has the number of ids.
+    """
+
+    own: np.ndarray
+    order: np.ndarray
+    head: np.ndarray
     top: np.ndarray
+    top_at: np.ndarray
     top_sides: np.ndarray
+    spare: np.ndarray
     below: np.ndarray
     nodes: np.ndarray
     sides: np.ndarray
-    owner: np.ndarray
     weights: np.ndarray
+    levels: list[int]
 
     def logs(self) -> np.ndarray:
-        """Natural log probability of each id."""
-        return np.log(self.top.prod(axis=1, dtype=np.float64)) + np.bincount(self.owner, np.log(self.below), len(self.top))
+        """Natural log probability of each id, in the order that they were given in."""
+        sums = self.spare * math.log(2) - np.log(self.top.prod(axis=1, dtype=np.float64))
+        at = 0
+        low = np.log(self.below)
+        for n in self.levels:
+            sums[:n] -= low[at : at + n]
+            at += n
+        out = np.empty_like(sums)
+        out[self.order] = sums
+        return out
 
 
 class Attention:
@@ -134,34 +164,55 @@ class Attention:
         p = self.p
         return {"E": p["E"], "q": p["E"] @ p["Q"] * np.float32(1 / math.sqrt(self.dims)), "k": p["E"] @ p["K"], "v": p["E"] @ p["V"], "bias": self.bias()}
 
+    @staticmethod
+    def attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The values' mean by attention, and the attention as weights and their sums, which no mean divides by twice.
+
+        The row maximum is subtracted only where it could be so large or small that weights overflow or vanish.
+        """
+        a = q @ k.transpose(0, 2, 1)
+        most = bias.max(axis=1)
+        plain = not a.size or (a.max() + most.max() < 60 and a.min() + most.min() > -60)
+        a += bias
+        if not plain:
+            a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
+        sums = (a.reshape(-1, a.shape[2]) @ np.ones(a.shape[2], a.dtype)).reshape(*a.shape[:2], 1)
+        mean = a @ v
+        mean /= sums
+        return mean, a, sums
+
     @staticmethod
     def contexts(tables: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What the model knows after each input of the second halves (windows, HALF, dims), and the attention."""
         late = inputs[:, HALF:]
-        a = tables["q"][late] @ tables["k"][inputs].transpose(0, 2, 1)
-        a += tables["bias"]
-        a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        y = a @ tables["v"][inputs]
-        y += tables["E"][late]
+        y, a, sums = Attention.attend(tables["q"].take(late, 0), tables["k"].take(inputs, 0), tables["v"].take(inputs, 0), tables["bias"])
+        y += tables["E"].take(late, 0)
+        a /= sums
         return y, a
 
     def decisions(self, y: np.ndarray, ids: np.ndarray) -> Decisions:
         """The decisions on the ids' paths, for contexts y."""
         tree, p = self.tree, self.p["N"]
-        top, sides = p[tree.top], tree.top_sides[ids].astype(p.dtype)
-        z = y @ top[:, :-1].T
-        z += top[:, -1]
-        z *= sides
-        high = _chances(z)
-        high += (sides == 0) * high.dtype.type(0.5)
-        nodes, low_sides, owner = tree.paths(ids)
-        weights = p[nodes]
-        z = np.einsum("ij,ij->i", y[owner], weights[:, :-1])
-        z += weights[:, -1]
-        z *= low_sides
-        return Decisions(high, sides, _chances(z), nodes, low_sides, owner, weights)
+        order = np.argsort(~tree.depths.take(ids), kind="stable")
+        ids = ids.take(order)
+        own = np.ones((len(ids), p.shape[1]), p.dtype)
+        own[:, :-1] = y.take(order, 0)
+        head = np.concatenate((p.take(tree.top, 0), np.zeros((1, p.shape[1]), p.dtype)))
+        top_at = tree.top_at.take(ids, 0) + np.arange(len(ids))[:, None] * len(head)
+        top_sides = tree.top_own.take(ids, 0)
+        z = (own @ head.T).take(top_at)
+        z *= top_sides
+        levels = (len(ids) - np.cumsum(np.bincount(tree.lengths.take(ids))))[:-1].tolist()
+        starts = tree.starts.take(ids)
+        at = np.concatenate([starts[:n] + k for k, n in enumerate(levels)] or [starts[:0]])
+        nodes, sides = tree.nodes.take(at), tree.sides.take(at)
+        weights = p.take(nodes, 0)
+        low = np.concatenate([own[:n] for n in levels] or [own[:0]])
+        low *= weights
+        low = low @ np.ones(p.shape[1], p.dtype)
+        low *= sides
+        return Decisions(own, order, head, _one_and_odds(z), top_at, top_sides, tree.top_spare.take(ids), _one_and_odds(low), nodes, sides, weights, levels)
 
     def log10_probabilities(self, tables: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """log10 probability of each target (windows, HALF), 0 where a target is below 0."""
@@ -185,70 +236,83 @@ class Learner:
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, tuple | np.ndarray]]:
         """Mean log probability (nats) and by parameter its gradient of the sum; E and N as (rows, gradient, uses)."""
-        m, p, late = self.model, self.model.p, inputs[:, HALF:]
-        x = p["E"][inputs]
-        root = np.float32(1 / math.sqrt(m.dims))
-        q, k, v = x[:, HALF:] @ p["Q"], x @ p["K"], x @ p["V"]
-        a = (q * root) @ k.transpose(0, 2, 1)
-        a += m.bias()
-        a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        y = a @ v
-        y += x[:, HALF:]
-        some = targets >= 0
-        own = y[some]
-        d = m.decisions(own, targets[some])
-        mean = float(d.logs().sum()) / max(len(own), 1)
-        high, low = (1 - d.top) * d.top_sides, (1 - d.below) * d.sides
-        down = high @ p["N"][m.tree.top, :-1]
-        lengths = np.bincount(d.owner, minlength=len(own))
-        ends = np.cumsum(lengths)
-        deep = lengths > 0
-        if deep.any():
-            down[deep] += np.add.reduceat(low[:, None] * d.weights[:, :-1], (ends - lengths)[deep])
-        dy = np.zeros_like(y)
-        dy[some] = down
-        pull = np.empty((len(low), m.dims + 1), y.dtype)
-        np.multiply(own[d.owner], low[:, None], out=pull[:, :-1])
-        pull[:, -1] = low
+        d, g = self._gradients(inputs, targets)
+        return float(d.logs().sum()) / max(len(d.own), 1), g
+
+    def _gradients(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[Decisions, dict[str, tuple | np.ndarray]]:
+        m, p, dims, n = self.model, self.model.p, self.model.dims, len(inputs)
+        root = np.float32(1 / math.sqrt(dims))
+        x = p["E"].take(inputs.ravel(), 0)
+        maps = np.concatenate((p["Q"] * root, p["K"], p["V"]), axis=1)
+        made = np.empty((len(x), 3 * dims + 1), x.dtype)  # of each input query, key, value and a 1
+        made[:, -1] = 1
+        np.matmul(x, maps, out=made[:, :-1])
+        made = made.reshape(n, 2 * HALF, -1)
+        q, k, v = made[:, HALF:, :dims], made[:, :, dims : 2 * dims], made[:, :, 2 * dims : -1]
+        mean, a, sums = m.attend(q, k, v, m.bias())
+        y = mean + x.reshape(n, 2 * HALF, dims)[:, HALF:]
+        some = np.flatnonzero(targets >= 0)
+        d = m.decisions(y.reshape(-1, dims).take(some, 0), targets.ravel().take(some))
+
+        # Where the decisions want each context to go, and how they would move their nodes.
+        high = np.zeros((len(d.own), len(d.head)), y.dtype)
+        high.put(d.top_at, d.top_sides - d.top_sides / d.top)
+        low = d.sides - d.sides / d.below
+        down = high @ d.head[:, :-1]
+        push, pull = np.empty((dims, len(low)), y.dtype), np.empty((dims + 1, len(low)), y.dtype)
+        np.multiply(d.weights.T[:-1], low, out=push)
+        own, back, at = np.ascontiguousarray(d.own.T), np.ascontiguousarray(down.T), 0
+        np.concatenate([own[:, :size] for size in d.levels] or [own[:, :0]], axis=1, out=pull)
+        pull *= low
+        for size in d.levels:
+            back[:, :size] += push[:, at : at + size]
+            at += size
         rows, value, uses = _by_row(d.nodes, pull, len(p["N"]))
-        often = np.abs(d.top_sides).sum(axis=0)
+        often = np.bincount(m.tree.top_at.take(targets.ravel().take(some), 0).ravel(), minlength=len(d.head))[:-1]
         met = often > 0
-        above = np.concatenate((high.T @ own, high.sum(axis=0)[:, None]), axis=1)[met]
-        g: dict[str, tuple | np.ndarray] = {"N": (np.concatenate((rows, m.tree.top[met])), np.concatenate((value, above)).astype(np.float32), np.concatenate((uses, often[met])).astype(np.float32))}
-        dv = a.transpose(0, 2, 1) @ dy
-        ds = dy @ v.transpose(0, 2, 1)
-        ds -= (ds * a).sum(axis=2, keepdims=True)
+        above = (high.T @ d.own)[:-1][met]
+        g: dict[str, tuple | np.ndarray] = {"N": (np.concatenate((rows, m.tree.top[met])), np.concatenate((value, above)), np.concatenate((uses, often[met])).astype(np.float32))}
+
+        # Back through the attention: dy over its sums, and less what all keys of a row have in common.
+        dy = np.zeros((n * HALF, dims), y.dtype)
+        dy[some.take(d.order)] = back.T
+        dy = dy.reshape(n, HALF, dims)
+        part = np.empty((n, HALF, dims + 1), y.dtype)
+        np.divide(dy, sums, out=part[:, :, :-1])
+        mean *= part[:, :, :-1]
+        part[:, :, -1] = -(mean.reshape(-1, dims) @ np.ones(dims, y.dtype)).reshape(n, HALF)
+        ds = part @ made[:, :, 2 * dims :].transpose(0, 2, 1)
         ds *= a
         g["R"] = np.bincount(np.maximum(m.back, 0).ravel(), np.where(m.back >= 0, ds.sum(axis=0), 0).ravel(), 2 * HALF).astype(np.float32)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dq *= root
-        dk *= root
-        flat = lambda t: t.reshape(-1, m.dims)
-        g["Q"], g["K"], g["V"] = flat(x[:, HALF:]).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dk @ p["K"].T
-        dx += dv @ p["V"].T
-        dx[:, HALF:] += dq @ p["Q"].T
-        dx[:, HALF:] += dy
-        g["E"] = _by_row(inputs.ravel(), flat(dx), len(p["E"]))
-        return mean, g
-
-    def step(self, inputs: np.ndarray, targets: np.ndarray) -> float:
-        mean, g = self.gradients(inputs, targets)
+        moved = np.empty((n, 2 * HALF, 3 * dims), y.dtype)
+        moved[:, :HALF, :dims] = 0
+        np.matmul(ds, k, out=moved[:, HALF:, :dims])
+        np.matmul(ds.transpose(0, 2, 1), q, out=moved[:, :, dims : 2 * dims])
+        np.matmul(a.transpose(0, 2, 1), part[:, :, :-1], out=moved[:, :, 2 * dims :])
+        moved = moved.reshape(-1, 3 * dims)
+        by_map = (moved.T @ x).T
+        g["Q"], g["K"], g["V"] = by_map[:, :dims] * root, by_map[:, dims : 2 * dims], by_map[:, 2 * dims :]
+        dx = moved @ maps.T
+        dx.reshape(n, 2 * HALF, dims)[:, HALF:] += dy
+        g["E"] = _by_row(inputs.ravel(), np.ascontiguousarray(dx.T), len(p["E"]))
+        return d, g
+
+    def step(self, inputs: np.ndarray, targets: np.ndarray) -> None:
+        _, g = self._gradients(inputs, targets)
         for name, value in g.items():
             if name in self.used:
                 rows, value, uses = value
                 self.used[name][rows] += uses
-                value = value / uses[:, None]
-                self.sums[name][rows] += (value * value).mean(axis=1)
-                self.model.p[name][rows] += self.rate * value / np.sqrt(self.sums[name][rows])[:, None]
+                sums = self.sums[name].take(rows) + (value.T * value.T).mean(axis=0) / (uses * uses)
+                self.sums[name][rows] = sums
+                value = value * (self.rate / (uses * np.sqrt(sums)))[:, None]
+                value += self.model.p[name].take(rows, 0)
+                self.model.p[name][rows] = value
             else:
                 value = value / targets.size
                 self.sums[name] += value * value
                 self.model.p[name] += np.float32(0.1 * self.rate) * value / np.sqrt(self.sums[name])
         self.seen += int((targets >= 0).sum())
-        return mean
 
     def changes(self) -> list[tuple[str, bytes, bytes, bytes]]:
         """name, rows that were used, how often, by how much they moved; nothing if there were no windows."""
@@ -261,14 +325,16 @@ class Learner:
 
 
 def _by_row(rows: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rows that occur, the sum of their values, and how often they occur."""
-    uses = np.bincount(rows, minlength=size)
-    found = np.flatnonzero(uses)
-    place = np.zeros(size, np.int64)
-    place[found] = np.arange(len(found))
-    at = place[rows]
-    columns = [np.bincount(at, values[:, k], len(found)) for k in range(values.shape[1])]
-    return found, np.stack(columns, axis=1).astype(np.float32), uses[found].astype(np.float32)
+    """The rows that occur, the sum of their values (one column a value), and how often they occur."""
+    place, own = np.empty(size, np.int64), np.arange(len(rows))
+    place[rows] = own
+    found = rows[place.take(rows) == own]  # one place of each row stays
+    place[found] = own[: len(found)]
+    at = place.take(rows)
+    sums = np.empty((len(values), len(found)), np.float32)
+    for k, value in enumerate(values):
+        sums[k] = np.bincount(at, value, len(found))
+    return found, sums.T, np.bincount(at, minlength=len(found)).astype(np.float32)
 
 
 class Average:
@@ -377,12 +443,6 @@ def averaged(changes: DataFrame, fan: int = 64) -> Average:
     return total
 
 
-def _subwords(ids: WordIds, texts: list[list[bytes]]) -> list[bytes]:
-    """The ids of each text as 16-bit numbers."""
-    ids.add(set().union(*texts))
-    return [np.frombuffer(ids.of(t), "<u4").astype("<u2").tobytes() for t in texts]
-
-
 def _with_end(ids: bytes, end_id: int) -> np.ndarray:
     return np.append(np.frombuffer(ids, "<u2").astype(np.int64), end_id)
 
@@ -414,6 +474,63 @@ def _key(word: bytes) -> bytes:
     return word if len(word) <= 64 else b"\xff" + hashlib.sha256(word).digest()
 
 
+class Lexicon:
+    """Words by number, so that one look-up finds a word's subword ids (16-bit) and its log10(c + 1), -1 if logs has none.
+
+    Keeps the words of logs that it has met; numbers of others hold until numbers() is called again.
+    """
+
+    def __init__(self, ids: WordIds, logs: dict[bytes, float]):
+        self.ids, self.logs, self.passing = ids, logs, []
+        self.index: dict[bytes, int] = {}
+        self.starts, self.known, self.flat = array("q", [0]), array("d"), array("H")
+
+    def _add(self, words: list[bytes]) -> None:
+        data = [self.ids.known[w] for w in words]
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
+        self.known.extend([self.logs.get(_key(w), -1.0) for w in words])
+        self.starts.frombytes((self.starts[-1] + np.cumsum([len(x) // 4 for x in data], dtype=np.int64)).tobytes())
+        self.flat.frombytes(np.frombuffer(b"".join(data), "<u4").astype("<u2").tobytes())
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        for w in self.passing:
+            del self.index[w]
+        kept = len(self.index)
+        del self.flat[self.starts[kept] :], self.starts[kept + 1 :], self.known[kept:]
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        met = [words[k] for k in missing.tolist()]
+        new = set(met)
+        self.passing = [w for w in new if _key(w) not in self.logs]
+        if new:
+            self.ids.add(new)
+            self._add([*new.difference(self.passing)])
+            self._add(self.passing)
+            at[missing] = list(map(self.index.__getitem__, met))
+        return at
+
+    def log_counts(self, numbers: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.known).take(numbers) if len(numbers) else np.zeros(0)
+
+    def subwords(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids, one after the other, and where each word's begin, with their end."""
+        starts = np.frombuffer(self.starts, np.int64)
+        first = starts.take(numbers)
+        ends = np.concatenate(([0], np.cumsum(starts.take(numbers + 1) - first)))
+        at = np.repeat(first - ends[:-1], np.diff(ends)) + np.arange(ends[-1])
+        return (np.frombuffer(self.flat, np.uint16).take(at) if len(at) else np.zeros(0, np.uint16)), ends
+
+
+_lexicons: list[Lexicon] = []
+
+
+def _lexicon(ids: WordIds, logs: dict[bytes, float]) -> Lexicon:
+    """One in a worker, kept between tasks that share ids and logs."""
+    if not _lexicons or _lexicons[0].ids is not ids or _lexicons[0].logs is not logs:
+        _lexicons[:] = [Lexicon(ids, logs)]
+    return _lexicons[0]
+
+
 def _frequent(counts: DataFrame, most_words: int) -> tuple[dict[bytes, float], float]:
     """log10(c + 1) by _key() of the words with at least ``least`` occurrences, least so that they are at most most_words."""
     bands = counts.groupBy(F.floor(F.log2("c") * 16).cast("int").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low")).collect()  # some hundred rows
@@ -492,25 +609,23 @@ def score_documents(
     end_log, end_known = math.log10(n_docs + 1), int(n_docs > 0)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = shared.value
-        ids = word_ids(tokenizer_path, True)
+        lexicon = _lexicon(word_ids(tokenizer_path, True), shared.value)
         for batch in batches:
             for part in slices(batch, 1, 256):
                 texts = [words_of(t) for t in part.column(1).to_pylist()]
-                known, base, rare = [], [], []
-                for words in texts:
-                    values = list(map(logs.get, words))
-                    missing = []
-                    for k, x in enumerate(values):
-                        if x is None and len(words[k]) > 64:
-                            x = values[k] = logs.get(_key(words[k]))
-                        if x is None:
-                            missing.append(words[k])
-                    known.append(len(words) - len(missing) + end_known)
-                    base.append(math.fsum(x for x in values if x is not None) + end_log)
-                    rare.append(b" ".join(missing).decode())
+                words = list(chain.from_iterable(texts))
+                numbers = lexicon.numbers(words)
+                logs = lexicon.log_counts(numbers)
+                ids, ends = lexicon.subwords(numbers)
+                missing = np.flatnonzero(logs < 0)
+                logs[missing] = 0
+                stops = np.cumsum([0, *map(len, texts)])
+                rare = [b" ".join([words[k] for k in missing[a:b]]).decode() for a, b in pairwise(np.searchsorted(missing, stops).tolist())]
+                known = np.diff(stops) - np.diff(np.searchsorted(missing, stops)) + end_known
+                base = [math.fsum(logs[a:b].tolist()) + end_log for a, b in pairwise(stops.tolist())]
+                own = [ids[a:b].tobytes() for a, b in pairwise(ends[stops].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.string()), pa.array(_subwords(ids, texts), pa.binary())],
+                    [part.column(0), part.column(2), pa.array(np.diff(stops) + 1), pa.array(known), pa.array(base, pa.float64()), pa.array(rare, pa.string()), pa.array(own, pa.binary())],
                     names=["id", "held_out", "n_tokens", "n_known", "base", "rare", "ids"],
                 )
 

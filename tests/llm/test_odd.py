@@ -275,6 +275,39 @@ def test_op4_score_equals_a_dense_loop():
         assert model.score([ids])[0] == pytest.approx(total, rel=1e-4)
 
 
+def test_op4_takes_only_decisions_on_the_path():
+    """What is computed for an id are the decisions on its path, not all of the top nodes."""
+    from panelyard.llm import lm_scoring
+
+    rng = np.random.default_rng(4)
+    counts = (1e6 / np.arange(1, 3001)).astype(np.int64)
+    net = lm_scoring.SubwordModel(counts).net
+    ids = rng.choice(3000, 500, p=counts / counts.sum())
+    d = net.decisions(rng.standard_normal((500, net.dims)).astype(np.float32), ids)
+    high = (net.tree.top_sides[ids] != 0).sum(axis=1)
+    assert d.top.shape == (500, high.max()) and high.max() < 10 and len(d.below) == net.tree.lengths[ids].sum()
+    assert np.array_equal(np.sort((d.top_sides != 0).sum(axis=1)), np.sort(high))
+
+
+def test_op4_lexicon_equals_the_tokenizer():
+    """Ids and counts by number are those of the words, those of words without a count until the next call."""
+    from test_llm import WORDS
+
+    from panelyard.llm import lm_scoring, packing
+
+    texts = [packing.words_of(t) for t in ("The cat, the CAT; sat!", "", "\u0301 caf\u00e9 " + "x" * 90, "the cat sat on 3.14 mats " * 3, "\u0000 \ufeff")]
+    logs = {b"the": 1.5, lm_scoring._key(b"x" * 90): 0.5}
+    ids = packing.WordIds(WORDS, plain=True)
+    lexicon = lm_scoring.Lexicon(ids, logs)
+    for words in texts * 2:
+        numbers = lexicon.numbers(words)
+        found, ends = lexicon.subwords(numbers)
+        ids.add(set(words))
+        assert found.tolist() == np.frombuffer(ids.of(words), "<u4").tolist() and len(ends) == len(words) + 1
+        assert lexicon.log_counts(numbers).tolist() == [logs.get(lm_scoring._key(w), -1.0) for w in words]
+        assert len(lexicon.index) <= len(logs) + len(set(words))
+
+
 def test_op7_boilerplate_of_other_languages(spark):
     prose = PROSE["de"]
     notice = "Alle Rechte vorbehalten. Bitte lesen Sie die Nutzungsbedingungen."
