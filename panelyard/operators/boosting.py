@@ -2,24 +2,27 @@
 
 Features are cut into bins once. In a round each class gets a tree, and all trees of the round, and those of all
 candidates of a grid, grow by a level with one pass over the data: a task adds the gradients of its rows by node,
-feature and bin, the histograms of a node meet in one small group, and its best split comes back. So a pass moves
-histograms, whose size depends on leaves, features and bins, and no rows.
+feature and bin, the histograms of a node meet in one task, and its best split comes back. So a pass moves
+histograms, whose size depends on leaves, features and bins, and no rows. Once no tree has many rows left in nodes that
+may still be split, one more pass hands these rows to a task a tree, which goes on by the same steps to the tree's end.
+Passes are many and short, so rows are kept in blocks of arrays, in an RDD that lives from one round to the next.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from panelyard.plans.rank_ic import monthly_rank_ic
-from panelyard.sources.writers import cut_lineage
+from panelyard.sources.writers import cut_lineage, remove
 
 #: The grid of rounds, learning rates and leaves.
 GRID = [
@@ -30,6 +33,14 @@ BINS = 64  # the last one holds missing values
 LEAST_ROWS = 20  # of a leaf
 _LEAST_HESSIAN = 1e-3
 _HANDED = 64  # histograms of a node that one task adds up
+_AT_ONCE = 1 << 23  # bytes of histograms that are added up in one place; no more than these go to the driver
+_ROWS = 50_000  # of a task at least, if there are more tasks than cores
+_FEW = 1 << 16  # rows that one task may hold to finish a tree
+
+#: Rows by column: bins by feature, labels, weights, and margins by candidate and output.
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: Gain, feature, bin, missing_left, and the sums (gradient, hessian, rows) of the left, the right and the whole node; gain 0 if there is no split.
+Split = tuple[float, int, int, bool, list[float], list[float], list[float]]
 
 
 @dataclass
@@ -52,15 +63,37 @@ class Tree:
                 column.append(new)
         return first, first + 1
 
+    def grow(self, nodes: Iterable[int], splits: Iterable[Split], rate: float, most: int) -> dict[int, float]:
+        """Splits the nodes, those of highest gain first while there are fewer than ``most`` leaves; the new ones that may be split in turn, with their rows."""
+        value = lambda s: -rate * s[0] / max(s[1], 1e-12)
+        new = {}
+        for node, (gain, feature, at, missing_left, left, right, whole) in sorted(zip(nodes, splits, strict=True), key=lambda x: -x[1][0]):
+            if node == 0:
+                self.value[0] = value(whole)
+            if gain > 0 and len(self.feature) < 2 * most - 1:
+                new |= zip(self.split(node, feature, at, missing_left, (value(left), value(right))), (left[2], right[2]), strict=True)
+        self.depth += bool(new)
+        return {node: rows for node, rows in new.items() if rows >= 2 * LEAST_ROWS and len(self.feature) < 2 * most - 1}
+
+    def histograms(self, nodes: list[int], bins: np.ndarray, *weights: np.ndarray | None) -> np.ndarray:
+        """Sums of the weights (rows, if None) by node, feature and bin; all nodes together, one after the other in the bins of one count."""
+        place = np.full(len(self.feature), -1)
+        place[nodes] = np.arange(len(nodes)) * BINS
+        at = place[self.leaves(bins)]
+        own = slice(None) if (at >= 0).all() else np.flatnonzero(at >= 0)
+        at, weights, size = at[own], [w if w is None else np.ascontiguousarray(w[own]) for w in weights], len(nodes) * BINS
+        made = [np.stack([np.bincount(at + x, w, size) for w in weights], axis=1).reshape(len(nodes), BINS, -1) for x in bins.T[:, own]]
+        return np.stack(made, axis=1)
+
     def leaves(self, bins: np.ndarray) -> np.ndarray:
         """The leaf of each row of bins."""
-        feature, at, missing, left = (np.array(c) for c in (self.feature, self.bin, self.missing_left, self.left))
+        feature, at, missing, left = (np.array(c)[:, None] for c in (self.feature, self.bin, self.missing_left, self.left))
+        goes_left = np.where(np.arange(BINS) == BINS - 1, missing, np.arange(BINS) <= at)
+        following = np.where(feature >= 0, left + ~goes_left, np.arange(len(feature))[:, None]).ravel()  # by node and bin
+        cells, first = bins.T.ravel(), np.maximum(feature[:, 0], 0) * len(bins)  # a feature after the other
         node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
         for _ in range(self.depth):
-            f = feature[node]
-            x = bins[rows, np.maximum(f, 0)]
-            goes_left = np.where(x == BINS - 1, missing[node], x <= at[node])
-            node = np.where(f >= 0, left[node] + ~goes_left, node)
+            node = following[node * BINS + cells[first[node] + rows]]
         return node
 
     def values(self, bins: np.ndarray) -> np.ndarray:
@@ -133,83 +166,83 @@ def _gradients(margins: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.nd
     return (p - (y[:, None] == np.arange(margins.shape[1]))) * w[:, None], p * (1 - p) * w[:, None]
 
 
-def best_split(h: np.ndarray) -> tuple[float, int, int, bool, tuple[float, float, float], tuple[float, float, float]]:
-    """(gain, feature, bin, missing_left, left sums, right sums) of a histogram (feature, bin, (gradient, hessian, rows)); gain 0 if none."""
-    whole = h[0].sum(axis=0)
+def best_splits(h: np.ndarray) -> list[Split]:
+    """The best split of each histogram; h: (node, feature, bin, (gradient, hessian, rows))."""
+    whole = h[:, 0].sum(axis=1)
     score = lambda s: s[..., 0] ** 2 / np.maximum(s[..., 1], 1e-12)
-    best = (0.0, 0, 0, False, (0.0, 0.0, 0.0), (0.0, 0.0, 0.0))
-    below = np.cumsum(h[:, :-1], axis=1)[:, :-1] if h.shape[1] > 2 else h[:, :0]
+    best: list[Split] = [(0.0, 0, 0, False, [0.0] * 3, [0.0] * 3, w) for w in whole.tolist()]
+    below = np.cumsum(h[:, :, :-1], axis=2)[:, :, :-1]
     for missing_left in (False, True):
-        left = below + h[:, -1:, :] if missing_left else below
-        right = whole - left
+        left = below + h[:, :, -1:] if missing_left else below
+        right = whole[:, None, None] - left
         fine = (left[..., 2] >= LEAST_ROWS) & (right[..., 2] >= LEAST_ROWS) & (left[..., 1] >= _LEAST_HESSIAN) & (right[..., 1] >= _LEAST_HESSIAN)
-        gain = np.where(fine, score(left) + score(right) - score(whole), 0.0)
-        if gain.size and gain.max() > best[0] + 1e-12:
-            f, b = np.unravel_index(int(gain.argmax()), gain.shape)
-            best = (float(gain[f, b]), int(f), int(b), missing_left, tuple(left[f, b].tolist()), tuple(right[f, b].tolist()))
+        gain = np.where(fine, score(left) + score(right) - score(whole)[:, None, None], 0.0).reshape(len(h), -1)
+        for i, at in enumerate(gain.argmax(axis=1).tolist()):
+            if gain[i, at] > best[i][0] + 1e-12:
+                f, b = divmod(at, below.shape[2])
+                best[i] = (float(gain[i, at]), f, b, missing_left, left[i, f, b].tolist(), right[i, f, b].tolist(), best[i][-1])
     return best
 
 
-_SPLIT = "key int, gain double, feature int, bin int, missing_left boolean, gl double, hl double, gr double, hr double, g double, h double"
+def _splits(blocks: RDD, p: int, growing: list[list[Tree]], opened: dict[tuple[int, int], list[int]]) -> dict[tuple[int, int], list[Split]]:
+    """The best splits of the open nodes of trees (candidate, class). p: the count of features."""
+    n, tasks = sum(map(len, opened.values())), blocks.getNumPartitions()
+    shares = -(-tasks // _HANDED)
+    ends = min(n, -(-n * min(tasks, _HANDED) * p * BINS * 24 // _AT_ONCE))  # places that add up, each its nodes
+
+    def run(part: int, blocks: Iterator[Block]) -> Iterator[tuple[int, tuple[int, np.ndarray]]]:
+        sums = np.zeros((n, p, BINS, 3))
+        for bins, y, w, margins in blocks:
+            gradients = {c: _gradients(margins[c].T, y, w) for c in {c for c, _ in opened}}
+            sums += np.concatenate([growing[c][k].histograms(nodes, bins.T, *(x[:, k] for x in gradients[c]), None) for (c, k), nodes in opened.items()])
+        for end in range(ends):
+            yield part % shares * ends + end, (part, sums[end::ends])
+
+    def added(parts: Iterator[tuple[int, tuple[int, np.ndarray]]]) -> Iterator[tuple[int, np.ndarray]]:
+        """In the order of the parts, so that each run has the same sums."""
+        total = None
+        for key, (_, sums) in sorted(parts, key=lambda x: x[1][0]):
+            total = sums if total is None else total + sums
+        if total is not None:
+            yield key, total
+
+    def decide(parts: Iterator[tuple[int, tuple[int, np.ndarray]]]) -> Iterator[tuple[int, Split]]:
+        for end, sums in added(parts):
+            yield from zip(range(end, n, ends), best_splits(sums), strict=True)
+
+    parts = blocks.mapPartitionsWithIndex(run)
+    if shares == ends == 1:
+        found = decide(parts.collect())  # _AT_ONCE at most
+    else:
+        if shares > 1:
+            parts = parts.partitionBy(shares * ends, int).mapPartitions(added).map(lambda x: (x[0] % ends, (x[0] // ends, x[1])))
+        found = parts.partitionBy(ends, int).mapPartitions(decide).collect()  # a row for each open node
+    inorder = iter([split for _, split in sorted(found, key=lambda x: x[0])])
+    return {place: [next(inorder) for _ in nodes] for place, nodes in opened.items()}
 
 
-def _splits(rows: DataFrame, models: list[Boosted], growing: list[list[Tree]], since: int, open_nodes: dict[int, tuple[int, int, int]], tasks: int) -> list:
-    """The best split of each open node: key -> (candidate, class, node). rows: bins, y, w, and the margins up to round ``since``."""
-    outputs, p = len(models[0].base), len(models[0].features)
-    shared = rows.sparkSession.sparkContext.broadcast(([m.trees[since:] for m in models], growing, open_nodes))
+def _finished(blocks: RDD, growing: list[list[Tree]], opened: dict[tuple[int, int], list[int]], points: list[dict]) -> list[tuple[int, Tree]]:
+    """The trees with open nodes, grown to their end in a task each, by their number. The rows of a tree's open nodes are few."""
+    places = list(opened)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, growing, open_nodes = shared.value
-        number = {place: key for key, place in open_nodes.items()}
-        sums = {}
-        for batch in batches:
-            n = batch.num_rows
-            bins = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(n, p)
-            y, w = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            margins = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float64).reshape(n, len(trees), outputs)
-            for c in {place[0] for place in number}:
-                g, h = _gradients(margins[:, c] + _margins(trees[c], bins, outputs), y, w)
-                for k in {place[1] for place in number if place[0] == c}:
-                    leaf = growing[c][k].leaves(bins)
-                    nodes = {node: key for node in np.unique(leaf).tolist() if (key := number.get((c, k, node))) is not None}
-                    if not nodes:
-                        continue
-                    # all open nodes of the tree together: node after node in the bins of one count
-                    place = np.full(int(leaf.max()) + 1, -1)
-                    place[list(nodes)] = np.arange(len(nodes)) * BINS
-                    at = place[leaf]
-                    own = slice(None) if (at >= 0).all() else np.flatnonzero(at >= 0)
-                    at, gk, hk, size = at[own], np.ascontiguousarray(g[own, k]), np.ascontiguousarray(h[own, k]), len(nodes) * BINS
-                    for f in range(p):
-                        x = at + bins[own, f]
-                        made = np.stack([np.bincount(x, weight, size) for weight in (gk, hk, None)], axis=1).reshape(len(nodes), BINS, 3)
-                        for i, key in enumerate(nodes.values()):
-                            sums.setdefault(key, np.zeros((p, BINS, 3)))[f] += made[i]
-        keys = list(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([sums[k].tobytes() for k in keys], pa.binary())], names=["key", "hist"])
-
-    def added(group: pa.Table) -> np.ndarray:
-        return sum(np.frombuffer(x.as_buffer(), np.float64) for x in group.column("hist"))
-
-    def together(group: pa.Table) -> pa.Table:
-        return pa.table({"key": group.column("key").slice(0, 1), "hist": pa.array([added(group).tobytes()], pa.binary())})
-
-    def decide(group: pa.Table) -> pa.Table:
-        h = added(group).reshape(p, BINS, 3)
-        gain, f, b, missing, left, right = best_split(h)
-        whole = h[0].sum(axis=0)
-        row = {"key": group.column("key")[0].as_py(), "gain": gain, "feature": f, "bin": b, "missing_left": missing, "gl": left[0], "hl": left[1], "gr": right[0], "hr": right[1], "g": float(whole[0]), "h": float(whole[1])}
-        return pa.Table.from_pylist([row]).cast(_split_schema)
-
-    parts = rows.mapInArrow(run, "key int, hist binary")
-    if tasks > _HANDED:
-        parts = parts.withColumn("share", F.spark_partition_id() % (-(-tasks // _HANDED))).groupBy("key", "share").applyInArrow(together, "key int, hist binary")
-    return parts.groupBy("key").applyInArrow(decide, _SPLIT).collect()  # a row for each open node
-
-
-_split_schema = pa.schema(
-    [("key", pa.int32()), ("gain", pa.float64()), ("feature", pa.int32()), ("bin", pa.int32()), ("missing_left", pa.bool_()), *[(c, pa.float64()) for c in ("gl", "hl", "gr", "hr", "g", "h")]]
-)
+    def run(part: int, blocks: Iterator[Block]) -> Iterator[tuple[int, tuple[int, tuple]]]:
+        for bins, y, w, margins in blocks:
+            gradients = {c: _gradients(margins[c].T, y, w) for c in {c for c, _ in opened}}
+            for i, (c, k) in enumerate(places):
+                own = np.isin(growing[c][k].leaves(bins.T), opened[c, k])
+                yield i, (part, (bins[:, own], *(x[own, k] for x in gradients[c])))
+
+    def finish(parts: Iterator[tuple[int, tuple[int, tuple]]]) -> Iterator[tuple[int, Tree]]:
+        rows = sorted(parts, key=lambda x: x[1][0])
+        if rows:
+            i = rows[0][0]
+            (c, k), nodes = places[i], opened[places[i]]
+            bins, g, h = (np.concatenate(x, axis=-1) for x in zip(*(block for _, (_, block) in rows), strict=True))
+            while nodes:
+                nodes = list(growing[c][k].grow(nodes, best_splits(growing[c][k].histograms(nodes, bins.T, g, h, None)), points[c]["learning_rate"], points[c]["max_leaf_nodes"]))
+            yield i, growing[c][k]
+
+    return blocks.mapPartitionsWithIndex(run).partitionBy(len(places), int).mapPartitions(finish).collect()  # a row for each tree
 
 
 def fit(train: DataFrame, features: list[str], label: str, grid: list[dict], classes: int | None = 3, weight: str | None = None, edges: list[list[float]] | None = None, every: int = 10) -> list[Boosted]:
@@ -217,73 +250,86 @@ def fit(train: DataFrame, features: list[str], label: str, grid: list[dict], cla
 
     classes: labels are 0 to classes - 1; None: the label is a number and the loss the squared error. Rows without a
     label are left out; missing features are a bin of their own. edges: of the bins, if not found here. Trees grow by levels, the splits of highest gain
-    first while there are leaves left. Every ``every`` rounds the margins are written beside the bins, so that a pass
-    does not go through all trees so far.
+    first while there are leaves left. Points that differ in their rounds alone have the same trees, so the longest is
+    fitted and the others are its first rounds. The margins are kept beside the bins by the executors, and written to
+    the shared folder every ``every`` rounds.
     """
     rows = train.filter(F.col(label).isNotNull())
     edges = bin_edges(rows, features) if edges is None else edges
     w = F.col(weight) if weight else F.lit(1.0)
-    outputs = classes or 1
+    outputs, p = classes or 1, len(features)
     if classes:
-        count = rows.groupBy(F.col(label).cast("int").alias("k")).agg(F.sum(w).alias("w")).collect()  # a row a class
+        count = rows.groupBy(F.col(label).cast("int").alias("k")).agg(F.sum(w).alias("w"), F.count(F.lit(1)).alias("n")).collect()  # a row a class
         share = {r["k"]: r["w"] for r in count}
         total = sum(share.values()) or 1.0
         base = [float(np.log(max(share.get(k, 0.0), 1e-9) / total)) for k in range(classes)]
+        n = sum(r["n"] for r in count)
     else:
-        base = [float(rows.agg(F.sum(w * F.col(label)) / F.sum(w)).first()[0] or 0.0)]
-    models = [Boosted(features, edges, base, dict(params)) for params in grid]
+        mean, n = rows.agg(F.sum(w * F.col(label)) / F.sum(w), F.count(F.lit(1))).first()
+        base = [float(mean or 0.0)]
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = np.tile(np.array(base), len(grid)).tobytes()
         for batch in batches:
-            bins = _binned(batch, edges, 2)
-            yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b in bins], pa.binary()), batch.column(0), batch.column(1), pa.array([start] * len(bins), pa.binary())], names=["bins", "y", "w", "margins"])
-
-    kinds = "bins binary, y double, w double, margins binary"
-    table = rows.select(F.col(label).cast("double").alias("y"), w.cast("double").alias("w"), *[F.col(f).cast("double") for f in features]).mapInArrow(prepare, kinds)
-    table = cut_lineage(table)
-    tasks, since = table.rdd.getNumPartitions(), 0
-    for at in range(max(p["max_iter"] for p in grid)):
-        growing = [[Tree() for _ in range(outputs)] if at < m.params["max_iter"] else [] for m in models]
-        opened = [(c, k, 0) for c, trees in enumerate(growing) for k in range(len(trees))]
-        leaves = dict.fromkeys([place[:2] for place in opened], 1)
+            block = [_binned(batch, edges, 2).T.tobytes(), *(batch.column(i).to_numpy().tobytes() for i in range(2))]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in block], names=["bins", "y", "w"])
+
+    point = lambda params: (params["learning_rate"], params["max_leaf_nodes"])
+    longest = {}
+    for params in grid:
+        if point(params) not in longest or params["max_iter"] > longest[point(params)].params["max_iter"]:
+            longest[point(params)] = Boosted(features, edges, base, dict(params))
+    live = list(longest.values())
+
+    def start(row) -> Block:
+        y = np.frombuffer(row["y"])
+        return np.frombuffer(row["bins"], np.uint8).reshape(p, len(y)), y, np.frombuffer(row["w"]), np.tile(np.array(base)[:, None], (len(live), 1, len(y)))
+
+    table = rows.select(F.col(label).cast("double").alias("y"), w.cast("double").alias("w"), *[F.col(f).cast("double") for f in features])
+    binned = cut_lineage(table.mapInArrow(prepare, "bins binary, y binary, w binary")).rdd
+    binned = binned.coalesce(max(binned.context.defaultParallelism, -(-n // _ROWS)))
+    blocks, last, written = binned.map(start).persist(StorageLevel.MEMORY_AND_DISK), None, None
+    for at in range(max(m.params["max_iter"] for m in live)):
+        if at:
+            still = [c for c, m in enumerate(live) if at < m.params["max_iter"]]
+            last, blocks = blocks, _with_margins(blocks, [live[c].trees[-1] for c in still], still).persist(StorageLevel.MEMORY_AND_DISK)
+            live = [live[c] for c in still]
+            if at % every == 0:
+                blocks.checkpoint()
+        growing = [[Tree() for _ in range(outputs)] for _ in live]
+        opened = {(c, k): {0: n} for c in range(len(live)) for k in range(outputs)}
         while opened:
-            found = _splits(table, models, growing, since, dict(enumerate(opened)), tasks)
-            following = []
-            for s in sorted(found, key=lambda s: (-s["gain"], s["key"])):
-                c, k, node = opened[s["key"]]
-                rate, tree = models[c].params["learning_rate"], growing[c][k]
-                if node == 0:
-                    tree.value[0] = -rate * s["g"] / max(s["h"], 1e-12)
-                if s["gain"] > 0 and leaves[c, k] < models[c].params["max_leaf_nodes"]:
-                    leaves[c, k] += 1
-                    new = tree.split(node, s["feature"], s["bin"], s["missing_left"], (-rate * s["gl"] / max(s["hl"], 1e-12), -rate * s["gr"] / max(s["hr"], 1e-12)))
-                    following += [(c, k, x) for x in new]
-            for c, k in {place[:2] for place in following}:
-                growing[c][k].depth += 1
-            opened = [place for place in following if leaves[place[:2]] < models[place[0]].params["max_leaf_nodes"]]
-        for m, trees in zip(models, growing, strict=True):
-            if trees:
-                m.trees.append(trees)
-        if (at + 1) % every == 0:
-            table, since = cut_lineage(_with_margins(table, models, since)), at + 1
-    return models
-
-
-def _with_margins(table: DataFrame, models: list[Boosted], since: int) -> DataFrame:
-    outputs, p = len(models[0].base), len(models[0].features)
-    shared = table.sparkSession.sparkContext.broadcast([m.trees[since:] for m in models])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            bins = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(n, p)
-            margins = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float64).reshape(n, len(shared.value), outputs).copy()
-            for c, trees in enumerate(shared.value):
-                margins[:, c] += _margins(trees, bins, outputs)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([m.tobytes() for m in margins], pa.binary())], names=["bins", "y", "w", "margins"])
-
-    return table.mapInArrow(run, "bins binary, y double, w double, margins binary")
+            following, nodes = {}, {place: list(of) for place, of in opened.items()}
+            if max(sum(of.values()) for of in opened.values()) <= _FEW:
+                for i, tree in _finished(blocks, growing, nodes, [m.params for m in live]):
+                    c, k = list(nodes)[i]
+                    growing[c][k] = tree
+            else:
+                for (c, k), splits in _splits(blocks, p, growing, nodes).items():
+                    following[c, k] = growing[c][k].grow(nodes[c, k], splits, live[c].params["learning_rate"], live[c].params["max_leaf_nodes"])
+            if last:
+                last.unpersist()
+                last = None
+                if at % every == 0:
+                    if written:
+                        remove(train.sparkSession, written)
+                    written = blocks.getCheckpointFile()
+            opened = {place: of for place, of in following.items() if of}
+        for m, trees in zip(live, growing, strict=True):
+            m.trees.append(trees)
+    blocks.unpersist()
+    if written:
+        remove(train.sparkSession, written)
+    return [Boosted(features, edges, base, dict(params), longest[point(params)].trees[: params["max_iter"]]) for params in grid]
+
+
+def _with_margins(blocks: RDD, trees: list[list[Tree]], still: list[int]) -> RDD:
+    """Blocks with the margins after a round, of those candidates that go on. trees: of the round."""
+
+    def run(block: Block) -> Block:
+        bins, y, w, margins = block
+        return bins, y, w, margins[still] + np.stack([_margins([t], bins.T, margins.shape[1]).T for t in trees])
+
+    return blocks.map(run)
 
 
 def score(df: DataFrame, models: dict[str, Boosted], keep: list[str]) -> DataFrame:

@@ -108,3 +108,33 @@ def test_a_number_and_odd_rows(spark, rows):
     few = df.limit(10).withColumn("label", F.when(F.col("label") < 9, F.lit(None).cast("long")))
     (model,) = boosting.fit(few, ["a"], "label", [{"max_iter": 1, "learning_rate": 0.1, "max_leaf_nodes": 4}])
     assert boosting.score(df.limit(0), {"m": model}, ["y"]).collect() == []
+
+
+def test_the_grid_query_fits_all_rounds_of_the_grid(spark, sf_dir, monkeypatch):
+    from panelyard import queries as panel
+
+    grid, made, fit = [{"max_iter": r, "learning_rate": 0.1, "max_leaf_nodes": 4} for r in (3, 5)], [], boosting.fit
+    full = [(p["max_iter"], p["learning_rate"], p["max_leaf_nodes"]) for p in boosting.GRID]
+    assert full == [(100, 0.03, 31), (100, 0.1, 31), (300, 0.03, 31), (100, 0.03, 63)]
+    monkeypatch.setattr(boosting, "GRID", grid)
+    monkeypatch.setattr(boosting, "fit", lambda *a, **k: made.append(fit(*a, **k)) or made[-1])
+    rows = panel.QUERIES["boosted_grid"](spark, sf_dir).orderBy("candidate").collect()
+    assert [r["max_iter"] for r in rows] == [len(m.trees) for m in made[0]] == [3, 5] and sum(r["selected"] for r in rows) == 1
+
+
+def test_passes_give_the_same_trees_as_tasks_that_finish_them(rows, monkeypatch):
+    frame, df = rows
+    grid = [{"max_iter": 4, "learning_rate": 0.3, "max_leaf_nodes": 6}, {"max_iter": 2, "learning_rate": 0.1, "max_leaf_nodes": 12}, {"max_iter": 2, "learning_rate": 0.3, "max_leaf_nodes": 6}]
+    bins = np.random.default_rng(0).integers(0, boosting.BINS, (200, 3)).astype(np.uint8)
+
+    def fitted(**limits):
+        for name, value in limits.items():
+            monkeypatch.setattr(boosting, name, value)
+        return boosting.fit(df.repartition(5), ["a", "b", "c"], "label", grid, every=2)
+
+    finished = fitted()
+    assert [len(m.trees) for m in finished] == [4, 2, 2] and finished[2].trees == finished[0].trees[:2]  # the same point, fewer rounds
+    # by levels in the driver's place, by several tasks, in two steps of few parts each, and by levels until few rows are left
+    for limits in ({"_FEW": 0}, {"_AT_ONCE": 20_000, "_ROWS": 100}, {"_HANDED": 2}, {"_FEW": 700, "_HANDED": 64}):
+        for a, b in zip(fitted(**limits), finished, strict=True):
+            assert np.allclose(a.margins(bins), b.margins(bins), atol=1e-9), limits
